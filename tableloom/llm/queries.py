@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, simhash, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, language_model, mixing, packing, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_best_fit_packing": packing.op3_packing,
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_language_model": language_model.op10_language_model,
 }
 
 ORACLE_SQL = {
