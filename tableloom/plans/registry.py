@@ -2,21 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import functions_on_tables, incremental_on_tables, pipelines, quality, relational
+from .base import ORACLE_SQL, QUERIES
 
-
-def pip_orders(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    paid = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("amount"))
-    return orders.join(paid, "o_orderkey", "left").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", F.coalesce("amount", F.lit(0.0)).alias("amount")
-    )
-
-
-QUERIES = {"pip_orders": pip_orders}
-ORACLE_SQL = {
-    "pip_orders": """
-SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, coalesce(amount, 0.0) AS amount
-FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
-}
+__all__ = ["ORACLE_SQL", "QUERIES", "functions_on_tables", "incremental_on_tables", "pipelines", "quality", "relational"]
