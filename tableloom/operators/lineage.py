@@ -7,25 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """node, depth: what ``seeds`` (column node) lead to along ``edges`` (src, dst), and themselves.
 
     A breadth-first walk: each step joins the newest nodes to the edges and drops what has been seen.
-    Steps are checkpointed, as a deep graph would otherwise grow the plan; a bound on the depth
-    of a few steps needs none.
+    Every step is checkpointed, so no step is computed twice and the plan does not grow with depth; the
+    walk ends when a step finds nothing.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    newest, depth = seen, 0
+    seen = newest = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        newest = newest.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        if max_depth is None or max_depth > 8:
-            newest = newest.checkpoint()
-            if newest.isEmpty():
-                break
+        found = newest.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        newest = cut_lineage(found.withColumn("depth", F.lit(depth)))
+        if newest.isEmpty():
+            break
         seen = seen.unionByName(newest)
     return seen
 
