@@ -170,3 +170,31 @@ def conversations(messages: DataFrame) -> DataFrame:
 def op4_chat_format(spark, sf_dir):
     out = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
     return out.select("conv_id", "turn", "role", "text", "quote_depth", "reply_conv", "reply_turn", "thread_conv", "reply_depth", "position")
+
+
+#: For tables whose (conv_id, turn) are unique and not null.
+ORACLE = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS old, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+line AS (SELECT conv_id, turn, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM raw),
+marked AS (SELECT *, len(regexp_replace(regexp_extract(l, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, trim(regexp_replace(l, '^(?:[ \t]*>)+', '')) AS body FROM line),
+flow AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM marked WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+runs AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM flow),
+own AS (SELECT conv_id, turn, max(level) AS depth, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(after, 0) > 0
+  AND regexp_matches(l, '(?i)^\s*(on\b.{0,200}\bwrote|.{1,200}\b(wrote|schrieb|a écrit|escribió))\s*:\s*$'))), '') AS text FROM runs GROUP BY 1, 2),
+m AS (SELECT raw.conv_id, raw.turn, role, CASE WHEN depth > 0 THEN regexp_replace(own.text, '^\s+|\s+$', '', 'g') ELSE old END AS text, CAST(depth AS INT) AS quote_depth
+  FROM raw JOIN own ON raw.conv_id = own.conv_id AND raw.turn = own.turn),
+passages AS (SELECT conv_id, turn, run, string_agg(body, chr(10) ORDER BY i) AS text FROM runs WHERE level = 1 GROUP BY 1, 2, 3),
+whole AS (SELECT conv_id, turn, text, false AS quoted FROM m UNION ALL SELECT conv_id, turn, text, true FROM passages),
+part AS (SELECT conv_id, turn, quoted, text AS whole, unnest(list_concat(list_concat([text], regexp_split_to_array(text, '\n\s*\n')), string_split(text, chr(10)))) AS u FROM whole),
+unit AS (SELECT DISTINCT conv_id, turn, quoted, lower(trim(regexp_replace(u, '\s+', ' ', 'g'))) AS u, lower(trim(regexp_replace(whole, '\s+', ' ', 'g'))) AS w FROM part),
+good AS (SELECT DISTINCT conv_id, turn, quoted, u FROM unit WHERE len(u) >= 12 OR (u = w AND len(u) > 0)),
+pairs AS (SELECT q.conv_id, q.turn, len(q.u) AS chars, o.conv_id AS oc, o.turn AS ot FROM good q JOIN good o ON q.u = o.u AND NOT o.quoted AND (o.conv_id, o.turn) < (q.conv_id, q.turn) WHERE q.quoted),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, oc = conv_id DESC, oc, ot) AS rn FROM pairs),
+reply AS (SELECT conv_id, turn, oc, ot FROM best WHERE rn = 1),
+walk(conv_id, turn, path, thread, depth) AS (
+  SELECT conv_id, turn, [{'c': conv_id, 't': turn}], conv_id, 0 FROM m WHERE NOT EXISTS (SELECT 1 FROM reply r WHERE r.conv_id = m.conv_id AND r.turn = m.turn)
+  UNION ALL SELECT r.conv_id, r.turn, list_append(path, {'c': r.conv_id, 't': r.turn}), thread, depth + 1 FROM walk JOIN reply r ON r.oc = walk.conv_id AND r.ot = walk.turn)
+SELECT m.conv_id, m.turn, m.role, m.text, quote_depth, oc AS reply_conv, ot AS reply_turn, thread AS thread_conv, CAST(depth AS INT) AS reply_depth,
+  row_number() OVER (PARTITION BY thread ORDER BY path) - 1 AS position
+FROM m JOIN walk ON walk.conv_id = m.conv_id AND walk.turn = m.turn LEFT JOIN reply ON reply.conv_id = m.conv_id AND reply.turn = m.turn"""

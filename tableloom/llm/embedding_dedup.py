@@ -201,3 +201,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op5_embedding_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs: for small tables only. At those sizes the probes miss none of the links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+walk(node, seen) AS (SELECT a, b FROM links UNION SELECT walk.node, links.b FROM walk JOIN links ON links.a = walk.seen),
+part AS (SELECT node, least(node, min(seen)) AS c FROM walk GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN degree ON a = vec_id LEFT JOIN part ON node = vec_id"""

@@ -194,3 +194,25 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op8_mixing(spark, sf_dir):
     out = taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS pos, row_number() OVER () AS id FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_no FROM d GROUP BY source),
+w AS (SELECT *, (source_no % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM p),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (ORDER BY most / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(most, max(level) OVER () * weight) AS target FROM l),
+s AS (SELECT source, source_no, source_size, target, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks,
+  round(coalesce(sum(target) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(target) OVER (), 1e-300) * {SPAN})::BIGINT AS lo,
+  round(sum(target) OVER (ORDER BY source_no) / greatest(sum(target) OVER (), 1e-300) * {SPAN})::BIGINT AS hi FROM t),
+points AS (SELECT i, ((i % {SPAN}) * {GOLDEN}) % {SPAN} AS point FROM range(0, (SELECT CAST((sum(size) + {BLOCK - 1}) // {BLOCK} AS BIGINT) FROM d)) AS g(i)),
+ranked AS (SELECT source_no, n_blocks, row_number() OVER (PARTITION BY source_no ORDER BY i) - 1 AS k FROM points JOIN s ON point >= lo AND point < hi),
+uses AS (SELECT source_no, k % n_blocks AS block, count(*) AS n FROM ranked WHERE k // n_blocks < {MAX_EPOCHS} GROUP BY 1, 2),
+laid AS (SELECT d.id, d.doc_id, d.size, s.source_no, s.source_size, s.target,
+  sum(d.size) OVER (PARTITION BY s.source_no ORDER BY pos, doc_id, d.size, id ROWS UNBOUNDED PRECEDING) - d.size AS a FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+pieces AS (SELECT *, unnest(range(CAST(a // {BLOCK} AS BIGINT), CAST((a + size - 1) // {BLOCK} + 1 AS BIGINT))) AS block FROM laid WHERE size > 0),
+took AS (SELECT id, sum(n * (least((pieces.block + 1) * {BLOCK}, a + size) - greatest(pieces.block * {BLOCK}, a))) AS taken FROM pieces JOIN uses USING (source_no, block) GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM laid LEFT JOIN took USING (id)"""

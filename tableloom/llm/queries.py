@@ -19,4 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_chat_format": chat_format.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
