@@ -248,10 +248,10 @@ def snk_failures(t):
     return t.spark.table(name)
 
 
-@query("SELECT r_regionkey, r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
 def snk_materialized_view(t):
-    name = _scratch(t, "regions")
-    rows = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_regionkey", "r_name").agg(F.count("n_nationkey").alias("n"))
+    name = _scratch(t, "nations")
+    rows = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
     tables.build_materialized_view(t.spark, name, rows, {"layout": "plain"})
     tables.build_materialized_view(t.spark, name, rows, {"layout": "plain"})
     return t.spark.table(name)

@@ -182,7 +182,7 @@ WITH RECURSIVE {EDGES}, walk(node, depth) AS (SELECT 'r1', 0 UNION ALL SELECT ds
 SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY 1""")
 def lin_reach(t):
     e = edges(t)
-    return lineage.reach(e, e.where("src = 'r1'").select(F.col("src").alias("node")).limit(1), "down", 3)
+    return lineage.reach(e, e.where("src = 'r1'").select(F.col("src").alias("node")), "down", 3)
 
 
 @query(f"""
