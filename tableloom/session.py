@@ -23,8 +23,14 @@ def pinned(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names; only where it names none, in one of its own."""
+    """``df`` checkpointed in the folder that the session names; only where it names none, in one of its own.
+
+    It is held while that is written, as a checkpoint would otherwise compute it twice.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    return out
