@@ -239,3 +239,31 @@ def test_pipeline(spark, sf):
     assert abs(total(mixed) - total(docs)) < 0.05 * total(docs)
     packed = corpus_pipeline.packing_stage(spark, mixed, sf)
     assert packed.where("piece = 0").count() == mixed.count() and packed.columns[:2] == ["doc_id", "piece"]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing names, an empty table."""
+    rows = [(k, f"plain words number {k} and some more of the same kind {k * 7}", "en", "s1", 40) for k in range(20)]
+    rows += [(k, f"nasty text {k} with a vileword in it", "en", "s2", 30) for k in range(20, 32)]
+    rows += [(50, None, None, None, None), (51, "", "de", "s1", 0), (None, "no id at all here", "fr", None, 17), (52, "long " * 9000, "en", "s3", 45000)]
+    rows += [rows[0], rows[0], (1, "another text of the id one, by an other source", "en", "s9", 46), (60, rows[2][1].upper(), "en", "s1", 40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({"row": F.lit(1), "key": F.lit("k"), "score": F.lit(0.5), "slot": F.lit(None).cast("int"), "fp": F.lit(2)})
+    labels = spark.createDataFrame([(k, 0, int(k >= 20)) for k in range(32)] + [(None, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        step = spark.read.parquet(f"{folder}/documents.parquet")
+        counts = []
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            step = corpus_pipeline.materialize(run(spark, step, folder), stage)
+            assert step.columns == docs.columns, stage
+            counts.append(step.count())
+        if name == "none":
+            assert counts == [0, 0, 0, 0] and corpus_pipeline.run(spark, folder).count() == 0
+        else:
+            # three copies of a row, its upper-cased twin and the two empty texts go in exact dedup
+            assert counts[0] >= 28 and counts[1] == counts[0] - 4 and counts[2] <= counts[1]
+            packed = corpus_pipeline.run(spark, folder)
+            assert packed.where("piece = 0").count() == counts[3] and packed.where("length > 1024 or length < 1").count() == 0
