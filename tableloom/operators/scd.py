@@ -165,14 +165,31 @@ def scd2_stage(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> D
 
 
 def scd2_apply(history: DataFrame, staged: DataFrame, rule: Scd2) -> DataFrame:
-    """The history after the staged changes: versions that end, and new ones; new columns are added."""
+    """The history after the staged changes: versions that end, and new ones; new columns are added.
+
+    One full outer join by version, so the staged changes are computed once: an ending meets its
+    current version, a new version meets nothing and comes through.
+    """
     name = rule.name
-    ends = staged.where("change_type <> 'insert'").select(F.col(name("scd_id")).alias("__id"), F.col(name("valid_to")).alias("__end"))
-    ended = F.col("__id").isNotNull() & _is_current(rule, F.col(name("valid_to")))
-    kept = history.join(ends, F.col(name("scd_id")) == F.col("__id"), "left").select(
-        *[F.when(ended, F.col("__end")).otherwise(F.col(c)).alias(c) if c == name("valid_to") else F.col(c) for c in history.columns]
+    columns = history.columns + [c for c in staged.columns if c not in history.columns and c != "change_type"]
+    old = history.select(F.struct("*").alias("old"))
+    new = staged.select("change_type", F.struct(*[c for c in staged.columns if c != "change_type"]).alias("new"))
+    meets = (
+        (F.col(f"old.{name('scd_id')}") == F.col(f"new.{name('scd_id')}"))
+        & (F.col("change_type") != "insert")
+        & _is_current(rule, F.col(f"old.{name('valid_to')}"))
     )
-    return kept.unionByName(staged.where("change_type = 'insert'").drop("change_type"), allowMissingColumns=True)
+    both = old.join(new, meets, "full_outer").where(F.col("old").isNotNull() | (F.col("change_type") == "insert"))
+    was = set(history.columns)
+
+    def cell(c: str) -> Column:
+        kept = F.col(f"old.{c}") if c in was else F.lit(None)
+        if c == name("valid_to"):
+            kept = F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(kept)
+        comes = F.col(f"new.{c}") if c in staged.columns else F.lit(None)
+        return F.when(F.col("old").isNull(), comes).otherwise(kept).alias(c)
+
+    return both.select(*map(cell, columns))
 
 
 def scd2_step(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> DataFrame:
