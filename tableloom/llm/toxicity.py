@@ -1,7 +1,7 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
 Features are the presence of words and of word beginnings (4 and 5 characters, which carry
-inflected forms). Their class counts are summed over all labelled rows by Spark; the features that
+inflected forms). Their class counts are summed over the labelled rows by Spark; the features that
 tell the classes apart most are kept. A logistic model is fitted on a bounded sample of labelled
 rows; beside the usual loss it pays for every labelled sentence whose score changes when its
 identity terms are swapped for others of their group, so that the mention of a group alone does not
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, ship
 
 ship(__name__)
-#: Most labelled rows the model is fitted on, the ones with the smallest hashes (documented bound).
+#: About the most labelled rows the model is fitted on, those with the smallest hashes: the documented bound.
 MAX_SAMPLE = 40_000
 N_FEATURES = 2_000
 #: Chance gives one in a million features a G squared above this.
@@ -57,13 +57,20 @@ def features(text: str | None) -> set[str]:
     return words | found
 
 
-def labelled(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> DataFrame:
-    """text, toxic (0 or 1), at (a hash of doc_id) of the labelled rows that may be learned from."""
+def labelled(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """text, toxic (0 or 1) of the labelled rows that are learned from.
+
+    Of more than ``max_sample`` labels a hashed share of about that many is taken, so the label side
+    of the join is bounded and is broadcast: texts are filtered where they are read, never shuffled.
+    """
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id")
     if held_out:
-        rows = rows.where(~is_held_out())
-    return rows.select("text", "toxic", F.xxhash64("doc_id").alias("at"))
+        marks = marks.where(~is_held_out())
+    marks = materialize(marks, "marks")
+    share = 0.98 * max_sample / max(1, marks.count())
+    if share < 1:
+        marks = marks.where(F.xxhash64("doc_id") < int(-(2**63) + share * 2**64))
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
 
 
 def is_held_out():
@@ -189,15 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample:
     import math
 
     bounded_batches(docs.sparkSession)
-    rows = materialize(labelled(docs, labels, held_out), "labelled")
+    rows = materialize(labelled(docs, labels, held_out, max_sample), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return {}, math.log((n1 + 1) / (n0 + 1))
     names = choose_features(materialize(feature_counts(rows), "features"), n0, n1, n_features)
-    cut = max_sample / (n0 + n1)
-    if cut < 1:  # a hashed share of the rows, about max_sample of them
-        rows = rows.where(F.col("at") < int(-(2**63) + cut * 2**64))
     sample = encode(rows, {f: k for k, f in enumerate(names)}).collect()
     w = fit_weights(sample, len(names))
     return {f: float(w[k]) for k, f in enumerate(names) if abs(w[k]) > 1e-9}, float(w[-1])
