@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 BLOCK = 128
 MAX_EPOCHS = 3
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     deviates from its target, stay unused.
     """
     spark = docs.sparkSession
-    sizes = word_counts(docs)
+    sizes = materialize(word_counts(docs), "word-counts")  # texts are read once
     targets = source_targets(sizes)
     total, n_docs, n_sources = sizes.agg(F.sum("size"), F.count(F.lit(1)), F.approx_count_distinct("source")).first()
     laid = laid_out(sizes, targets, n_docs, n_sources <= FEW_SOURCES)
