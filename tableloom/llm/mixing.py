@@ -93,13 +93,13 @@ def schedule(spark, targets: DataFrame, n_slots: int) -> DataFrame:
 
 
 def laid_out(sizes: DataFrame, targets: DataFrame, n_docs: int, few_sources: bool) -> DataFrame:
-    """doc_id, size, source_no, source_size, target, start: documents end to end in hashed order."""
+    """doc_id, source, size, source_no, source_size, target, start: documents end to end in hashed order."""
     side = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     side = F.broadcast(side) if few_sources else side
     n_runs = max(16, math.isqrt(n_docs))
     order = F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10)
     docs = sizes.join(side, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source_no", "source_size", "target", order.cast("long").alias("at")
+        "doc_id", "source", "size", "source_no", "source_size", "target", order.cast("long").alias("at")
     )
     docs = docs.withColumn("run", F.expr(f"at div {2**48 // n_runs}"))
     runs = docs.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
@@ -117,7 +117,7 @@ def laid_out(sizes: DataFrame, targets: DataFrame, n_docs: int, few_sources: boo
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix: one row per slot and piece of a document in it.
 
-    doc_id, size, source_no, source_size, target, start (of the document in its source), slot,
+    doc_id, source, size, source_no, source_size, target, start (of the document in its source), slot,
     epoch, from_word, to_word (within the document). A document that no slot takes has one row with
     null slot. Slots beyond MAX_EPOCHS rounds of a source, at most the few by which the sequence
     deviates from its target, stay unused.
@@ -164,23 +164,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` stay. A document that its source's share takes only in part (at most
     one per source and round) has its text cut to the words taken; n_chars, if there, follows.
     """
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     parts = (
         mix(docs.select("doc_id", "text", "source"))
         .where("slot is not null")
-        .groupBy("doc_id", "source_no", "start", "size", "epoch")
+        .groupBy("doc_id", "source", "start", "size", "epoch")
         .agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
-        .groupBy("doc_id", "size")
+        .groupBy("doc_id", "source", "size")
         .agg(F.collect_list(F.struct("start", "epoch", "a", "b")).alias("parts"))
     )
-    # rows that repeat a doc_id with the same size share the parts out by their number
-    n = F.regexp_count("text", F.lit(WORD)).cast("long")
-    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_key"), F.coalesce(n, F.lit(0).cast("long")).alias("n_words"))
-    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_key", "n_words").orderBy("row.source")))
+    # rows that repeat doc_id, source and size share the parts out by their number
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_key"), F.col("source").alias("source_key"), n.alias("n_words"))
+    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_key", "source_key", "n_words").orderBy("row.text")))
     starts = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["start"])))
-    joined = held.join(parts, F.col("doc_key").eqNullSafe(parts["doc_id"]) & (F.col("n_words") == parts["size"])).withColumn(
-        "own", F.try_element_at(starts, F.col("nth"))
-    )
+    same = F.col("doc_key").eqNullSafe(parts["doc_id"]) & F.col("source_key").eqNullSafe(parts["source"]) & (F.col("n_words") == parts["size"])
+    joined = held.join(parts, same).withColumn("own", F.try_element_at(starts, F.col("nth")))
     part = joined.select("row", "size", F.explode(F.filter("parts", lambda p: p["start"] == F.col("own"))).alias("p"))
     whole = (F.col("p.a") == 0) & (F.col("p.b") == F.col("size"))
     text = F.when(whole, F.col("row.text")).otherwise(
