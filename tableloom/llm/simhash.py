@@ -29,21 +29,29 @@ SHINGLE = 4
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit fingerprint of one text, as a signed number."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """The hashes of a text's lower-cased shingles; a text of fewer words is one shingle."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     whole = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(whole, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+        return [xxh64_intdigest(whole, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    return [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The 64-bit fingerprint of one text, as a signed number."""
+    import numpy as np
+
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     majority = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(majority, bitorder="little").view(np.int64)[0])

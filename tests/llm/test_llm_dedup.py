@@ -175,3 +175,39 @@ def test_vectors_against_brute_force(spark):
     for k, _ in odd:
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_near_stage_links_five_words_at_point_eight(spark):
+    import corpus_pipeline
+    from tableloom.llm import near_jaccard
+
+    rng = np.random.default_rng(21)
+    texts = []
+    for k in range(60):
+        words = sentence(1000 + k, 200).split()
+        texts.append(" ".join(words))
+        for edits in rng.integers(1, 9, 3):
+            copy = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                copy[at] = "changed"
+            texts.append(" ".join(copy).upper())
+    texts += ["", None, "one two", "ONE two", "three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    sets = [grams(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = union_find(len(sets), pairs)
+    marked = near_jaccard.sketches(docs)
+    node = {r.doc_id: r.node for r in marked.collect()}
+    part = {r.node: r.component for r in near_jaccard.components(docs, marked).collect()}
+    got = [part[node[k]] for k in range(len(texts))]
+    linked = sum(got[a] == got[b] for a, b in pairs)
+    print(f"recall {linked} of {len(pairs)} pairs")
+    assert len(pairs) > 60 and linked >= 0.99 * len(pairs)
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert kept == {k for k in range(len(texts)) if want[k] == k}
