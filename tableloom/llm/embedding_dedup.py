@@ -2,9 +2,10 @@
 
 Equal vectors collapse first. A coarse k-means gives inverted lists, and what is left of a vector
 beside its list's centre is coded in subspaces by small codebooks; both are fitted on a bounded sample,
-all vectors are indexed. A vector probes the lists of its nearest centres; there, distances come
-from lookup tables over the codes, and what passes with a margin is verified by the exact cosine in
-double precision. Lists are dealt in blocks of bounded size on both sides, so no list, however full,
+all vectors are indexed. A vector probes the lists of its nearest centres, those whose centres score
+nearly as well as its own, and, if it lies close to its centre, every list that can hold a link of it.
+There, distances come from lookup tables over the codes, and what passes with a margin is verified by the
+exact cosine in double precision. Lists are dealt in blocks of bounded size on both sides, so no list, however full,
 is one task, and no candidate is dropped by number.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with
@@ -29,7 +30,12 @@ SAMPLE = 8192
 LEAST_LISTS, MOST_LISTS = 16, 1024
 #: Vectors a list should hold; the number of lists follows the number of vectors.
 PER_LIST = 100
+#: Lists that every vector probes, at least.
 PROBES = 8
+#: A list is probed, too, if its centre's cosine falls short of the nearest one's by at most so much.
+SLACK = 0.1
+#: A vector within this angle (radians) of its nearest centre probes all lists that can hold a link.
+TIGHT = 0.5
 SUBSPACES = 16
 CODES = 64
 #: A candidate's estimated cosine may fall short of the threshold by so much.
@@ -64,6 +70,24 @@ def fit(sample, n_lists: int):
     return centres, np.stack(books)
 
 
+def probed(likeness, threshold: float, probes: int):
+    """Which lists vectors probe, from their cosines with the centres: an array of (vectors, lists) flags.
+
+    A link y of q at angle b = acos(threshold) is at most b + angle(q, own) from q's own centre, hence no
+    farther from its own, nearest one, which is so at most 2 b + angle(q, own) from q: exact, and
+    narrow where q lies close to its centre. Elsewhere the nearest centres and the slack decide.
+    """
+    import numpy as np
+
+    wanted = min(probes, likeness.shape[1])
+    out = likeness >= np.partition(likeness, -wanted, axis=1)[:, -wanted][:, None]
+    best = likeness.max(axis=1, keepdims=True)
+    out |= likeness >= best - SLACK
+    angle = np.arccos(np.clip(best, -1, 1))
+    reach = np.cos(np.minimum(2 * np.arccos(threshold) + angle, np.pi)) - 1e-9
+    return out | ((angle <= TIGHT) & (likeness >= reach))
+
+
 def encode(x, lists, centres, books):
     """The residual codes of vectors in their lists: an array of (vectors, SUBSPACES) bytes."""
     import numpy as np
@@ -118,14 +142,13 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
     def deal(batches):
         """Index rows (kind 0, own list and block, all query blocks) and query rows (kind 1, probed lists, all blocks)."""
         centres, books = shared.value
-        wanted = min(probes, len(centres))
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
             x = unit_rows(batch.column(1), width)
             likeness = x @ centres.T
-            near = np.argpartition(-likeness, wanted - 1, axis=1)[:, :wanted]
+            at_query, near = np.nonzero(probed(likeness, threshold, probes))
             own = likeness.argmax(1)
             codes = encode(x, own, centres, books)
             block = node % n_blocks
@@ -134,7 +157,7 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
             for other in range(n_blocks):
                 for kind, at, lists, i, q in (
                     (0, row, own, block, np.full(len(node), other)),
-                    (1, np.repeat(row, wanted), near.ravel(), np.full(len(node) * wanted, other), np.repeat(block, wanted)),
+                    (1, at_query, near, np.full(len(near), other), block[at_query]),
                 ):
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -211,3 +211,17 @@ def test_near_stage_links_five_words_at_point_eight(spark):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
     kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert kept == {k for k in range(len(texts)) if want[k] == k}
+
+
+def test_a_large_group_of_near_copies_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 20)  # as many lists in the group as a large table has
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 32))
+    x[:500] = x[0] / np.linalg.norm(x[0]) + 0.29 * (noise := rng.normal(size=(500, 32))) / np.linalg.norm(noise, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert want[:500].min() > 100 and sum(got.values()) >= 0.99 * want.sum()
+    assert all(got[k] <= want[k] for k in range(1500))
