@@ -4,8 +4,8 @@ Equal vectors collapse first. A coarse k-means gives inverted lists, and what is
 beside its list's centre is coded in subspaces by small codebooks; both are fitted on a bounded sample,
 all vectors are indexed. A vector probes the lists of its nearest centres, those whose centres score
 nearly as well as its own, and, if it lies close to its centre, every list that can hold a link of it.
-There, distances come from lookup tables over the codes, and what passes with a margin is verified by the
-exact cosine in double precision. Lists are dealt in blocks of bounded size on both sides, so no list, however full,
+There, estimates come from lookup tables over the codes; each vector's coding error bounds how far its
+estimate can be off, and what can reach the threshold is verified by the exact cosine in double precision. Lists are dealt in blocks of bounded size on both sides, so no list, however full,
 is one task, and no candidate is dropped by number.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with
@@ -38,8 +38,6 @@ SLACK = 0.1
 TIGHT = 0.5
 SUBSPACES = 16
 CODES = 64
-#: A candidate's estimated cosine may fall short of the threshold by so much.
-MARGIN = 0.2
 BLOCK = 1024
 
 
@@ -89,15 +87,17 @@ def probed(likeness, threshold: float, probes: int):
 
 
 def encode(x, lists, centres, books):
-    """The residual codes of vectors in their lists: an array of (vectors, SUBSPACES) bytes."""
+    """The residual codes of vectors in their lists, an array of (vectors, SUBSPACES) bytes, and the norms
+    of what the codes leave over."""
     import numpy as np
 
     residual, width = x - centres[lists], books.shape[2]
-    out = np.empty((len(x), len(books)), np.uint8)
+    out, left = np.empty((len(x), len(books)), np.uint8), np.zeros(len(x))
     for s, book in enumerate(books):
         part = residual[:, s * width : (s + 1) * width]
         out[:, s] = (-2 * part @ book.T + (book * book).sum(1)[None]).argmin(1)
-    return out
+        left += ((part - book[out[:, s]]) ** 2).sum(1)
+    return out, np.sqrt(left)
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
             likeness = x @ centres.T
             at_query, near = np.nonzero(probed(likeness, threshold, probes))
             own = likeness.argmax(1)
-            codes = encode(x, own, centres, books)
+            codes, left = encode(x, own, centres, books)
             block = node % n_blocks
             row = np.arange(len(node))
             # a block pair (index block i, query block q) of a list is one group
@@ -164,8 +164,9 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
                             pa.array(np.full(len(at), kind, np.int8)), pa.array(lists.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(q.astype(np.int32)),
                             batch.column(2).take(pa.array(at)), pa.array(node[at]), batch.column(1).take(pa.array(at)),
                             pa.array([c.tobytes() for c in codes[at]] if kind == 0 else [b""] * len(at), pa.binary()),
+                            pa.array(left[at]),
                         ],
-                        ["kind", "list", "i", "q", "size", "node", "embedding", "codes"],
+                        ["kind", "list", "i", "q", "size", "node", "embedding", "codes", "error"],
                     )
 
     def search(key, group):
@@ -178,6 +179,7 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
             index, asked = group.take(pa.array(mine)), group.take(pa.array(query))
             y = unit_rows(index.column("embedding").combine_chunks(), width)
             code = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(len(mine), -1)
+            error = index.column("error").to_numpy()
             b, a = index.column("node").to_numpy(), asked.column("node").to_numpy()
             x = unit_rows(asked.column("embedding").combine_chunks(), width)
             part = books.shape[2]
@@ -186,10 +188,11 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
                 estimate = np.tile((q @ centres[key[0].as_py()])[:, None], (1, len(y)))
                 for s, book in enumerate(books):
                     estimate += (q[:, s * part : (s + 1) * part] @ book.T)[:, code[:, s]]
-                r, c = np.nonzero(estimate >= threshold - MARGIN)
+                # |q| = 1, so a cosine is at most the estimate and the norm of what the code leaves over
+                r, c = np.nonzero(estimate + error[None] >= threshold - 1e-9)
                 other = a[k + r] != b[c]
                 r, c = r[other], c[other]
-                cosine = np.einsum("ij,ij->i", q[r], y[c])
+                cosine = (q @ y.T)[r, c]
                 r, c = r[cosine >= threshold], c[cosine >= threshold]
                 found_a.append(np.minimum(a[k + r], b[c]))
                 found_b.append(np.maximum(a[k + r], b[c]))
@@ -198,7 +201,7 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
         return pa.table({"a": one.astype(np.int64), "b": two.astype(np.int64)})
 
     dealt = vectors.select("node", "embedding", "size").mapInArrow(
-        deal, f"kind byte, list int, i int, q int, size int, node long, embedding {vectors.schema['embedding'].dataType.simpleString()}, codes binary"
+        deal, f"kind byte, list int, i int, q int, size int, node long, embedding {vectors.schema['embedding'].dataType.simpleString()}, codes binary, error double"
     )
     return dealt.groupBy("list", "i", "q", "size").applyInArrow(search, "a long, b long").distinct()
 

@@ -225,3 +225,16 @@ def test_a_large_group_of_near_copies_keeps_its_links(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
     assert want[:500].min() > 100 and sum(got.values()) >= 0.99 * want.sum()
     assert all(got[k] <= want[k] for k in range(1500))
+
+
+def test_wide_vectors_keep_their_links(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1000, 256))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for a in range(200):
+        z = rng.normal(size=256)
+        z -= (z @ x[a]) * x[a]
+        x[500 + a] = 0.91 * x[a] + np.sqrt(1 - 0.91**2) * z / np.linalg.norm(z)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert sum(got.values()) >= 0.95 * 400
