@@ -5,7 +5,7 @@ beside its list's centre is coded in subspaces by small codebooks; both are fitt
 all vectors are indexed. A vector probes the lists of its nearest centres, those whose centres score
 nearly as well as its own, and, if it lies close to its centre, every list that can hold a link of it.
 There, estimates come from lookup tables over the codes; each vector's coding error bounds how far its
-estimate can be off, and what can reach the threshold is verified by the exact cosine in double precision. Lists are dealt in blocks of bounded size on both sides, so no list, however full,
+estimate can be off, and what can reach the threshold is verified by the exact cosine in double precision. Lists are dealt in blocks by their counted vectors and queries, so no list, however full,
 is one task, and no candidate is dropped by number.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with
@@ -38,7 +38,10 @@ SLACK = 0.1
 TIGHT = 0.5
 SUBSPACES = 16
 CODES = 64
+#: Vectors of a list, and queries to it, that one group holds, about.
 BLOCK = 1024
+#: Rows of an Arrow batch that dealing gives out, at most.
+DEALT = 16_384
 
 
 def kmeans(x, k: int, rounds: int, seed: int):
@@ -137,37 +140,60 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
     sample = unit_rows(picked.column(0).combine_chunks(), width) if picked.num_rows else np.eye(1, width)
     n_lists = int(min(MOST_LISTS, max(LEAST_LISTS, n // PER_LIST)))
     shared = spark.sparkContext.broadcast(fit(sample, n_lists))
-    n_blocks = -(-max(n, 1) // (min(n_lists, len(sample)) * BLOCK))
 
-    def deal(batches):
-        """Index rows (kind 0, own list and block, all query blocks) and query rows (kind 1, probed lists, all blocks)."""
-        centres, books = shared.value
+    def count(batches):
+        """How many vectors of a batch lie in and probe each list."""
+        centres, _ = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column(0).to_numpy()
-            x = unit_rows(batch.column(1), width)
-            likeness = x @ centres.T
-            at_query, near = np.nonzero(probed(likeness, threshold, probes))
-            own = likeness.argmax(1)
-            codes, left = encode(x, own, centres, books)
-            block = node % n_blocks
-            row = np.arange(len(node))
-            # a block pair (index block i, query block q) of a list is one group
-            for other in range(n_blocks):
+            likeness = unit_rows(batch.column(0), width) @ centres.T
+            mine, asked = np.bincount(likeness.argmax(1), minlength=len(centres)), probed(likeness, threshold, probes).sum(0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(mine.astype(np.int64)), pa.array(asked.astype(np.int64))], ["list", "mine", "asked"]
+            )
+
+    sums = vectors.select("embedding").mapInArrow(count, "list int, mine long, asked long").groupBy("list")
+    blocks = {r["list"]: (-(-r.mine // BLOCK), -(-r.asked // BLOCK)) for r in sums.agg(F.sum("mine").alias("mine"), F.sum("asked").alias("asked")).collect()}
+
+    def spread(at, times):
+        """Each of ``at`` so many times, and the number of each repetition."""
+        return np.repeat(at, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+    def deal(batches):
+        """Index rows (kind 0, own list and block, all query blocks) and query rows (kind 1, probed lists, all index blocks)."""
+        centres, books = shared.value
+        parts = np.array([blocks.get(k, (1, 1)) for k in range(len(centres))])
+        n_index, n_query = np.maximum(parts, 1).T
+        for whole in batches:
+            for low in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(low, BLOCK)
+                node = batch.column(0).to_numpy()
+                x = unit_rows(batch.column(1), width)
+                likeness = x @ centres.T
+                at_query, near = np.nonzero(probed(likeness, threshold, probes))
+                own = likeness.argmax(1)
+                codes, left = encode(x, own, centres, books)
+                # a block pair (index block i, query block q) of a list is one group
+                held, q = spread(np.arange(len(node)), n_query[own])
+                asks, i = spread(np.arange(len(near)), n_index[near])
+                asked, lists = at_query[asks], near[asks]
                 for kind, at, lists, i, q in (
-                    (0, row, own, block, np.full(len(node), other)),
-                    (1, at_query, near, np.full(len(near), other), block[at_query]),
+                    (0, held, own[held], node[held] % n_index[own[held]], q),
+                    (1, asked, lists, i, node[asked] % n_query[lists]),
                 ):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(at), kind, np.int8)), pa.array(lists.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(q.astype(np.int32)),
-                            batch.column(2).take(pa.array(at)), pa.array(node[at]), batch.column(1).take(pa.array(at)),
-                            pa.array([c.tobytes() for c in codes[at]] if kind == 0 else [b""] * len(at), pa.binary()),
-                            pa.array(left[at]),
-                        ],
-                        ["kind", "list", "i", "q", "size", "node", "embedding", "codes", "error"],
-                    )
+                    for k in range(0, len(at), DEALT):
+                        part = slice(k, k + DEALT)
+                        rows = pa.array(at[part])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(rows), kind, np.int8)), pa.array(lists[part].astype(np.int32)), pa.array(i[part].astype(np.int32)), pa.array(q[part].astype(np.int32)),
+                                batch.column(2).take(rows), pa.array(node[at[part]]), batch.column(1).take(rows),
+                                pa.array([c.tobytes() for c in codes[at[part]]] if kind == 0 else [b""] * len(rows), pa.binary()),
+                                pa.array(left[at[part]]),
+                            ],
+                            ["kind", "list", "i", "q", "size", "node", "embedding", "codes", "error"],
+                        )
 
     def search(key, group):
         """Links of one block pair: table lookups over codes, then the exact cosine."""

@@ -238,3 +238,28 @@ def test_wide_vectors_keep_their_links(spark):
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
     assert sum(got.values()) >= 0.95 * 400
+
+
+def test_a_full_list_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 16))
+    x[:200] = np.linspace(1, 3, 200)[:, None] * x[0]  # copies but for their length, which no clustering splits
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = embedding_dedup.distinct_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    vectors = embedding_dedup.materialize(vectors, "vectors")
+    groups = []
+    group_by = type(vectors).groupBy
+
+    def watched(self, *keys):
+        if keys == ("list", "i", "q", "size"):
+            groups.extend(group_by(self, *keys, "kind").count().collect())
+        return group_by(self, *keys)
+
+    monkeypatch.setattr(type(vectors), "groupBy", watched)
+    pairs = embedding_dedup.near_pairs(vectors, 500, 16)
+    assert groups and max(r["count"] for r in groups) <= 3 * 32
+    name = {r.node: r.first_id for r in vectors.collect()}
+    got = {tuple(sorted((name[r.a], name[r.b]))) for r in pairs.collect()}
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))}
+    assert got == want
