@@ -176,30 +176,104 @@ def test_swaps():
     assert toxicity.swapped("Some women came") == ["some men came"] and toxicity.swapped("nobody") == []
 
 
-def test_language_model(spark):
-    rng = np.random.default_rng(4)
+def spoken(seed: int = 4, n: int = 300):
+    """Texts whose next word depends on the two before."""
+    rng = np.random.default_rng(seed)
     rows = []
-    for k in range(300):
-        tongue = "ab" if k % 2 else "cd"
-        rows.append((k, " ".join(f"{tongue[n % 2]}{n}{tongue}" for n in rng.integers(0, 60, 40)) + (f" Rare{k}" if k % 3 else "")))
-    rows += [(1000, None), (1001, ""), (1, rows[1][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in range(n):
+        w = ["on", "the"]
+        for x in rng.random(40):
+            step = zlib.crc32(f"{w[-2]} {w[-1]}".encode()) % 7
+            w.append(f"word{(step * 11 + int(x * 3)) % 60}{'ab'[step % 2]}" if x < 0.8 else f"odd{int(x * 1e6)}")
+        rows.append((k, " ".join(w) + (f" Rare{k}" if k % 3 else "")))
+    return rows
+
+
+def slow_log(model, word: bytes, one: bytes, two: bytes, counts: dict) -> float:
+    """log10 p(word | the word before, the one before that), by plain numbers."""
+    L, full = language_model, 2**64 - 1
+    code = lambda w: model.codes.get(w, (65_536 + zlib.crc32(w)) * L.CLASSES + L.class_of(w))
+
+    def mixed(x):
+        x &= full
+        x = (x ^ (x >> 29)) * L.MIX[1] & full
+        return x ^ (x >> 32)
+
+    a, b, c = code(one) * L.MIX[0], code(two) * L.MIX[1], L.class_of(word)
+    top = L.CONTEXT_BITS - 13
+    both = (mixed(a + b + L.MIX[2]) >> (64 - top)) << 13 | 1 << 12 | L.class_of(two) * L.CLASSES + L.class_of(one)
+    near, far = ((mixed(h) >> (64 - top)) << 13 | mixed(h) & 0xFFF for h in (a + 1, b + 2))
+    if not hasattr(model, "plain"):
+        model.plain = [{int(k): float(v) for k, v in zip(*model.table[i : i + 2]) if k != full} for i in (0, 2)]
+        model.numbers = {w: x // L.CLASSES for w, x in model.codes.items()}
+    norms, weights = model.plain
+    out = float(model.log_class[L.class_of(two) * L.CLASSES + L.class_of(one), c])
+    if both << 7 | L.CLASSES in norms:
+        out += weights.get(both << 16 | L.WHOLE + c, 0.0) - norms[both << 7 | L.CLASSES]
+    for context in (both, near, far):
+        if context << 7 | c in norms:
+            out += weights.get(context << 16 | model.numbers.get(word, L.RARE + c), 0.0) - norms[context << 7 | c]
+            break
+    return out / math.log(10) + math.log10((counts.get(word, 0) + L.ALPHA) / model.in_class[c])
+
+
+def test_language_model(spark):
+    """The base score and the model's score against plain sums over the tokens."""
+    rows = spoken()
+    rows += [(1000, None), (1001, ""), (None, rows[7][1]), (1, rows[1][1]), (1002, "the " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "row": F.lit(1), "n": F.lit(2)})
     got = language_model.score(docs, steps=4).collect()
     tokens = [[*(t or "").encode().lower().split(), b"\n"] for _, t in rows]
-    held = [zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
+    held = [zlib.crc32(str("" if d is None else d).encode()) % 10 == 0 for d, _ in rows]
     c = Counter(w for t, h in zip(tokens, held) for w in t if not h)
     n, v = sum(c.values()), len(c)
-    want = sorted((d, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for (d, _), h, t in zip(rows, held, tokens))
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) + 50
+    base = [round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6) for t in tokens]
+    want = sorted(((d, h, len(t), sum(c[w] > 0 for w in t), n, b) for (d, _), h, t, b in zip(rows, held, tokens, base)), key=repr)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == want
+    model = language_model.Model(docs, steps=4)
+    slow = {}
+    for (d, _), t in zip(rows[:40], tokens):
+        slow[d] = sum(slow_log(model, w, one, two, c) for w, one, two in zip(t, [b"\n", *t], [b"\n", b"\n", *t]))
+    for r in got:
+        if r.doc_id in slow and r.doc_id != 1:
+            assert math.isclose(r.score, slow[r.doc_id], abs_tol=1e-3)
+    gain = sum(r.score - r.base_score for r in got if r.held_out) / sum(r.n_tokens for r in got if r.held_out)
+    print(f"held-out gain {gain:.2f} log10 a token")
+    assert gain > 0.5
     assert language_model.score(docs.limit(0), steps=1).count() == 0
 
 
-def test_class_softmax_sums_to_one():
-    rng = np.random.default_rng(0)
-    history = rng.integers(0, language_model.CLASSES**3, 50)
-    p = np.exp(language_model.log_softmax(history, rng.normal(size=language_model.BUCKETS), rng.normal(size=language_model.CLASSES)))
-    assert np.allclose(p.sum(1), 1)
+def test_language_model_is_a_distribution(spark):
+    """Over all words, and an unseen one for each class, p sums to one whatever went before."""
+    docs = spark.createDataFrame(spoken(5, 120), "doc_id long, text string")
+    model = language_model.Model(docs, steps=3)
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    histories = [(b"the", b"on"), (b"on", b"\n"), (b"\n", b"\n"), (b"never", b"seen"), (b"the", b"never")]
+    frequent = list(model.codes)
+    histories += [(frequent[k], frequent[k * 2 + 1]) for k in range(1, 12)]
+    unseen = {language_model.class_of(w): w for w in (f"zq{k}".encode() for k in range(2000)) if w not in counts}
+    unseen[language_model.END_CLASS] = None
+    assert len(unseen) == language_model.CLASSES and len(model.table[0][model.table[0] != 2**64 - 1]) > 20
+    for one, two in histories:
+        total = sum(10 ** slow_log(model, w, one, two, counts) for w in counts)
+        for c, w in unseen.items():  # the end's class keeps an unseen word as well
+            total += 10 ** slow_log(model, w, one, two, counts) if w else language_model.ALPHA / (counts[b"\n"] + language_model.ALPHA) * 10 ** slow_log(model, b"\n", one, two, counts)
+        assert math.isclose(total, 1, abs_tol=2e-4), (one, two, total)
+
+
+def test_more_frequent_words_than_the_table_holds(spark):
+    rows = [(f"w{k:02d}".encode(), 200_000 + k // 2) for k in range(8)] + [(b"x", 3), (b"\n", 900_000)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    assert language_model.frequent_words(counts, 3) == {b"w06": 200_003, b"w07": 200_003, b"w04": 200_002}
+    assert language_model.frequent_words(counts, 20) == {w: n for w, n in rows if w != b"\n"}
+    assert language_model.frequent_words(counts.limit(0), 3) == {}
+
+
+def test_blocks_of_keys_come_back():
+    rng = np.random.default_rng(3)
+    keys, n = np.unique(rng.integers(0, 2**52, 5000, np.uint64) // np.uint64(2**38), return_counts=True)
+    back = language_model.unpacked(*language_model.packed(keys, n))
+    assert (back[0] == keys).all() and (back[1] == n).all() and n.max() > 1
 
 
 def test_quotations_are_linked_and_ordered(spark):
