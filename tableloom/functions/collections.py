@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalar import ColumnOrName, _c
@@ -33,7 +33,10 @@ def bool_or(x: ColumnOrName) -> Column:
 
 
 def listagg(x: ColumnOrName, separator: str = ",", order_by: ColumnOrName | None = None, limit: int | None = None) -> Column:
-    """The group's texts joined, in order; with ``limit`` only the first ones. Nulls are left out."""
+    """The group's texts joined, in order; with ``limit`` only the first ones. Nulls are left out.
+
+    It holds a whole group; where only the first few of large groups are wanted, :func:`listagg_first` does not.
+    """
     key = _c(order_by if order_by is not None else x)
     pairs = F.array_sort(F.collect_list(F.when(_c(x).isNotNull(), F.struct(key.alias("k"), _c(x).cast("string").alias("v")))))
     texts = F.transform(pairs, lambda p: p["v"])
@@ -41,6 +44,14 @@ def listagg(x: ColumnOrName, separator: str = ",", order_by: ColumnOrName | None
     return F.when(F.count(_c(x)) > 0, joined)
 
 
+def listagg_first(df: DataFrame, keys: Sequence[str], x: str, limit: int, separator: str = ",", order_by: str | None = None, name: str = "listed") -> DataFrame:
+    """keys and ``name``: :func:`listagg` with a limit, of which every task sends on ``limit`` rows a group
+    at most, so no group is ever held. Groups without a value have null."""
+    order = Window.partitionBy(*keys).orderBy(F.col(x).isNull(), *[F.col(c) for c in dict.fromkeys([order_by or x, x])])
+    first = df.select(*dict.fromkeys([*keys, x, order_by or x])).withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= limit)
+    return first.groupBy(*keys).agg(listagg(x, separator, F.col("__nth")).alias(name))
+
+
 def count_each(x: ColumnOrName, values: Sequence, prefix: str = "") -> list[Column]:
     """One conditional count for each value: a pivot whose columns are known before."""
     return [F.count_if(_c(x) == v).alias(f"{prefix}{v}") for v in values]

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERDICT = "failures long, should_warn boolean, should_error boolean"
@@ -97,41 +97,82 @@ def verdict(failing: DataFrame, fail_calc: str = "count(*)", warn_if: str = "!=
     )
 
 
-def with_status(verdicts: DataFrame, severity: str = "error") -> DataFrame:
+def with_status(verdicts: DataFrame, severity: str | Column = "error") -> DataFrame:
     """Adds status: error, warn or pass. A null count is no failure; severity 'warn' never errors."""
-    if severity not in ("warn", "error"):
-        raise ValueError("severity is 'warn' or 'error'")
-    bad = F.coalesce(F.col("should_error"), F.lit(False)) & F.lit(severity == "error")
-    warn = F.coalesce(F.col("should_warn") | F.col("should_error"), F.lit(False)) if severity == "warn" else F.coalesce("should_warn", F.lit(False))
+    if isinstance(severity, str):
+        if severity not in ("warn", "error"):
+            raise ValueError("severity is 'warn' or 'error'")
+        severity = F.lit(severity)
+    error, warns = F.coalesce("should_error", F.lit(False)), F.coalesce("should_warn", F.lit(False))
+    bad = error & (severity == "error")
+    warn = warns | (error & (severity == "warn"))
     return verdicts.withColumn("status", F.when(bad, "error").when(warn, "warn").otherwise("pass"))
 
 
 @dataclass(frozen=True)
 class Check:
-    """A named check for :func:`run_checks`."""
+    """A named check for :func:`run_checks`: by its failing rows, or by ``rows`` and the condition ``bad``
+    on a single row. Those that share their ``rows`` are counted together."""
 
     name: str
     table: str
-    failing: DataFrame
+    failing: DataFrame | None = None
     column: str | None = None
     severity: str = "error"
     fail_calc: str = "count(*)"
     warn_if: str = "!= 0"
     error_if: str = "!= 0"
     limit: int | None = None
+    rows: DataFrame | None = None
+    bad: str | None = None
+
+    def __post_init__(self):
+        if (self.failing is None) == (self.rows is None) or (self.rows is None) != (self.bad is None):
+            raise ValueError("a check has failing rows, or rows and a condition")
+
+
+def _judged(c: Check, verdicts: DataFrame) -> DataFrame:
+    return with_status(verdicts, c.severity).select(
+        F.lit(c.name).alias("check"), F.lit(c.table).alias("table"), F.lit(c.column).cast("string").alias("column"), "failures", "status"
+    )
+
+
+def _counted_together(rows: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """The verdicts of row checks on one table: one scan, one aggregate with a count for each check."""
+    counts = rows.agg(*[F.count_if(F.expr(c.bad)).alias(f"n{k}") for k, c in enumerate(checks)])
+    cells = []
+    for k, c in enumerate(checks):
+        n = F.col(f"n{k}") if c.limit is None else F.least(F.col(f"n{k}"), F.lit(c.limit).cast("long"))
+        cells.append(F.struct(
+            F.lit(c.name).alias("check"), F.lit(c.table).alias("table"), F.lit(c.column).cast("string").alias("column"), F.lit(c.severity).alias("severity"),
+            n.alias("failures"), F.lit(c.warn_if).alias("warn_if"), F.lit(c.error_if).alias("error_if"),
+        ))
+    stacked = counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    for side in ("warn", "error"):
+        told = F.lit(False)
+        for text in dict.fromkeys(getattr(c, f"{side}_if") for c in checks):
+            told = F.when(F.col(f"{side}_if") == text, F.expr(f"failures {text}")).otherwise(told)
+        stacked = stacked.withColumn(f"should_{side}", told)
+    return with_status(stacked, F.col("severity")).select("check", "table", "column", "failures", "status")
 
 
 def run_checks(checks: Iterable[Check]) -> DataFrame:
-    """check, table, column, failures, status: a row for each check, evaluated in one query."""
-    rows = [
-        with_status(verdict(c.failing, c.fail_calc, c.warn_if, c.error_if, c.limit), c.severity).select(
-            F.lit(c.name).alias("check"), F.lit(c.table).alias("table"), F.lit(c.column).cast("string").alias("column"), "failures", "status"
-        )
-        for c in checks
-    ]
-    if not rows:
+    """check, table, column, failures, status: a row for each check, evaluated in one query.
+
+    Row checks on one table that count rows share one scan of it.
+    """
+    checks = list(checks)
+    if not checks:
         raise ValueError("no checks")
-    return reduce(DataFrame.unionByName, rows)
+    parts, together = [], {}
+    for c in checks:
+        if c.rows is not None and c.fail_calc == "count(*)":
+            together.setdefault(id(c.rows), []).append(c)
+        else:
+            failing = c.failing if c.rows is None else c.rows.where(c.bad)
+            parts.append(_judged(c, verdict(failing, c.fail_calc, c.warn_if, c.error_if, c.limit)))
+    parts += [_counted_together(own[0].rows, own) for own in together.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def where(df: DataFrame, condition: str | None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from . import tables
 from .metadata import schema_changes, wider_type
 
 
+#: A batch of at most so many rows, which are counted, is broadcast to its target.
+FEW_ROWS = 100_000
+
+
 class SchemaMismatch(ValueError):
     pass
 
@@ -68,6 +73,9 @@ def merge_rows(target: DataFrame, batch: DataFrame, key: str | Sequence[str] | N
     ``null_safe`` lets null equal null for a single key; keys of several columns always use plain
     equality. Without a key everything is inserted. A key that repeats within the batch is an
     error, found before (``check``), since the result would depend on chance.
+
+    A batch that is counted to be small is broadcast: the target is read twice, the second time its keys
+    only, and never shuffled. Beyond that, or without the count (``check`` off), it is one full outer join.
     """
     keys = _listed(key)
     if not keys:
@@ -89,6 +97,12 @@ def merge_rows(target: DataFrame, batch: DataFrame, key: str | Sequence[str] | N
         both = comes if c in updated and c in known else was
         return F.when(F.col("batch").isNull(), was).when(F.col("target").isNull(), comes).otherwise(both).alias(c)
 
+    if check and batch.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        few = F.broadcast(new)
+        met = old.join(few, match).select(*[F.col(f"batch.{k}").alias(f"__{k}") for k in keys]).distinct()
+        same = reduce(Column.__and__, [F.col(f"batch.{k}").eqNullSafe(F.col(f"__{k}")) for k in keys])
+        added = new.join(met, same, "left_anti").select(F.lit(None).cast(old.schema["target"].dataType).alias("target"), "batch")
+        return old.join(few, match, "left").unionByName(added).select(*map(cell, target.columns))
     return old.join(new, match, "full_outer").select(*map(cell, target.columns))
 
 
@@ -176,29 +190,73 @@ def after_high_water(df: DataFrame, column: str, target: DataFrame, target_colum
 def build_incremental(spark: SparkSession, name: str, batch: DataFrame, strategy: str = "default", key: str | Sequence[str] | None = None, on_schema_change: str = "ignore", full_refresh: bool = False, partition_by: Sequence[str] = (), **options) -> DataFrame:
     """Create the table, rebuild it (full refresh, or a view stands there), or apply the batch to it.
 
-    'append' without a schema change and partition overwrites write the batch alone; the other
-    strategies write new contents and swap them in.
+    What stands in a table keeps its layout, properties and comments. While the schema and the layout stay,
+    'append' writes the batch alone; on a partitioned table an overwrite whose predicate speaks of partition
+    columns only, and a merge whose key has them all, read and write just the partitions touched.
+    Everything else writes new contents and swaps them in.
     """
     tables.recover(spark, name)
     if not is_incremental(spark, name, full_refresh):
-        return tables.build_table(spark, name, batch, partition_by)
-    target = spark.table(name)
+        like = tables.layout_of(spark, name) if tables.relation_type(spark, name) == "table" else None
+        return tables.build_table(spark, name, batch, partition_by, like=like)
+    target, layout = spark.table(name), tables.layout_of(spark, name)
     old, new = align(target, batch, on_schema_change)
-    same = old.schema.simpleString() == target.schema.simpleString()
-    if same and (strategy == "append" or strategy == "default" and not _listed(key)):
-        tables.append(spark, name, new)
-        return spark.table(name)
-    return tables.build_table(spark, name, apply_strategy(expand_column_types(old, new), new, strategy, key, **options), partition_by)
+    new = new.select(*old.columns)
+    parts = set(layout.partition_by)
+    same = [(f.name, f.dataType) for f in expand_column_types(old, new).schema] == [(f.name, f.dataType) for f in target.schema]
+    if same and (not partition_by or set(partition_by) == parts):
+        if strategy == "append" or strategy == "default" and not _listed(key):
+            tables.append(spark, name, new)
+            return spark.table(name)
+        if strategy == "insert_overwrite" and parts and _speaks_of(target, options.get("predicate"), parts):
+            return overwrite_where(spark, name, new, options["predicate"])
+        if strategy in ("merge", "microbatch") and parts and parts <= set(_listed(key)) and not options.get("predicate"):
+            return merge_partitions(spark, name, new, key, sorted(parts), **options)
+    return tables.build_table(spark, name, apply_strategy(expand_column_types(old, new), new, strategy, key, **options), partition_by, like=layout)
+
+
+def _speaks_of(df: DataFrame, predicate: str | None, columns: set[str]) -> bool:
+    """Whether a predicate can be told from these columns alone."""
+    if predicate is None:
+        return False
+    try:
+        df.select(*columns).where(predicate)
+    except AnalysisException:
+        return False
+    return True
+
+
+def overwrite_where(spark: SparkSession, name: str, batch: DataFrame, predicate: str) -> DataFrame:
+    """Replace the partitions that meet ``predicate`` by the batch; no other partition is read or written.
+
+    The batch may have rows of other partitions, which are added, and may read the table. Partitions that
+    meet the predicate and get no rows are dropped.
+    """
+    staging = name + tables.NEW
+    tables.drop_relation(spark, staging)
+    batch.write.saveAsTable(staging)
+    staged, columns = spark.table(staging), list(tables.layout_of(spark, name).partition_by)
+    meets = F.coalesce(F.expr(predicate), F.lit(False))
+    # one row for each partition: their number is bounded by the catalog that lists them
+    keep = staged.where(meets).select(*columns).distinct()
+    same = reduce(Column.__and__, [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns])
+    empty = spark.table(name).select(*columns).distinct().where(meets).alias("p").join(keep.alias("k"), same, "left_anti").collect()
+    tables.overwrite_partitions(spark, name, staged.where(meets))
+    for row in empty:
+        tables.drop_partition(spark, name, row.asDict())
+    tables.append(spark, name, staged.where(~meets))
+    tables.drop_relation(spark, staging)
+    return spark.table(name)
 
 
-def merge_partitions(spark: SparkSession, name: str, batch: DataFrame, key: str | Sequence[str], partition: str, **options) -> DataFrame:
+def merge_partitions(spark: SparkSession, name: str, batch: DataFrame, key: str | Sequence[str], partition: str | Sequence[str], **options) -> DataFrame:
     """A merge that reads and rewrites only the partitions that the batch touches.
 
     Right if a key never moves to another partition. The touched partitions are found by a semi-join,
     which prunes the scan at run time.
     """
-    touched = batch.select(partition).distinct()
-    part = spark.table(name).join(touched, partition, "left_semi")
+    touched = batch.select(*_listed(partition)).distinct()
+    part = spark.table(name).join(touched, _listed(partition), "left_semi")
     staging = name + tables.NEW
     tables.drop_relation(spark, staging)
     merge_rows(part.select(*spark.table(name).columns), batch, key, **options).write.saveAsTable(staging)

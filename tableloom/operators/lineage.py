@@ -7,24 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import discard, materialize
 
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """node, depth: what ``seeds`` (column node) lead to along ``edges`` (src, dst), and themselves.
 
     A breadth-first walk: each step joins the newest nodes to the edges and drops what has been seen.
-    Every step is checkpointed, so no step is computed twice and the plan does not grow with depth; the
-    walk ends when a step finds nothing.
+    Every step is a table in the shared folder, so none is computed twice, the plan does not grow with
+    depth, and its real size lets a small frontier be broadcast: then neither the edges nor what has been
+    seen is shuffled. The walk ends when a step finds nothing.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seen = newest = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = newest = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = newest.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
-        newest = cut_lineage(found.withColumn("depth", F.lit(depth)))
+        found = materialize(newest.join(step, "node").select(F.col("next").alias("node")).distinct(), "reach-found")
+        again = seen.join(found, "node", "left_semi").select("node")
+        newest = materialize(found.join(again, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        discard(found)
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)

@@ -109,7 +109,8 @@ def apply_contract(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def list_relations(spark: SparkSession, schema: str) -> DataFrame:
-    rows = [(schema, t.name, TYPE_LABELS.get(t.tableType, t.tableType.lower())) for t in spark.catalog.listTables(schema)]
+    """schema, name, type of its tables and views; a session's temporary views are in no schema."""
+    rows = [(schema, t.name, TYPE_LABELS.get(t.tableType, t.tableType.lower())) for t in spark.catalog.listTables(schema) if not t.isTemporary]
     return spark.createDataFrame(rows, "schema string, name string, type string")
 
 

@@ -108,13 +108,9 @@ def scd2_init(source: DataFrame, rule: Scd2, now: str) -> DataFrame:
     return _version(source, rule, as_time(now))
 
 
-def scd2_stage(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> DataFrame:
-    """The changes a run makes: change_type (insert, update, delete), and a version for each.
-
-    One full outer join of the current versions with the source classifies every key; a changed row
-    becomes two changes, the end of the old version (its scd_id and new valid_to) and the new one. A
-    key with a null matches nothing, so its row is inserted at every run.
-    """
+def _classified(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> tuple[DataFrame, Column, Column]:
+    """The current versions joined with the source (columns old and new), the changes of each pair, and
+    what stays of its old version. One full outer join; versions that have ended take no part."""
     check_time_types(source, rule)
     time, name = as_time(now), rule.name
     new_record = rule.hard_deletes == "new_record"
@@ -160,24 +156,39 @@ def scd2_stage(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> D
         .when(differs | was_deleted, F.array(ended("update", F.col(f"new.{name('updated_at')}")), insert))
         .otherwise(nothing)
     )
-    staged = old.join(new, same_key, "full_outer").select(F.explode(changes).alias("c"))
-    return staged.select("c.change_type", "c.version.*")
+    stays = F.array(F.struct(F.lit("").alias("change_type"), F.col("old").alias("version")))
+    ends = F.exists(changes, lambda c: c["change_type"] != "insert")
+    kept = F.when(F.col("old").isNull() | ends, nothing).otherwise(stays)
+    return old.join(new, same_key, "full_outer"), changes, kept
+
+
+def scd2_stage(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> DataFrame:
+    """The changes a run makes: change_type (insert, update, delete), and a version for each.
+
+    One full outer join of the current versions with the source classifies every key; a changed row
+    becomes two changes, the end of the old version (its scd_id and new valid_to) and the new one. A
+    key with a null matches nothing, so its row is inserted at every run.
+    """
+    both, changes, _ = _classified(history, source, rule, now)
+    return both.select(F.explode(changes).alias("c")).select("c.change_type", "c.version.*")
 
 
 def scd2_apply(history: DataFrame, staged: DataFrame, rule: Scd2) -> DataFrame:
     """The history after the staged changes: versions that end, and new ones; new columns are added.
 
     One full outer join by version, so the staged changes are computed once: an ending meets its
-    current version, a new version meets nothing and comes through.
+    current version, a new version meets nothing and comes through. Versions that have ended before pass
+    by the join.
     """
     name = rule.name
     columns = history.columns + [c for c in staged.columns if c not in history.columns and c != "change_type"]
-    old = history.select(F.struct("*").alias("old"))
+    current = F.coalesce(_is_current(rule, F.col(name("valid_to"))), F.lit(False))
+    old = history.where(current).select(F.struct("*").alias("old"))
+    ended = history.where(~current).select("*", *[F.lit(None).cast(staged.schema[c].dataType).alias(c) for c in columns if c not in history.columns])
     new = staged.select("change_type", F.struct(*[c for c in staged.columns if c != "change_type"]).alias("new"))
     meets = (
         (F.col(f"old.{name('scd_id')}") == F.col(f"new.{name('scd_id')}"))
         & (F.col("change_type") != "insert")
-        & _is_current(rule, F.col(f"old.{name('valid_to')}"))
     )
     both = old.join(new, meets, "full_outer").where(F.col("old").isNotNull() | (F.col("change_type") == "insert"))
     was = set(history.columns)
@@ -189,11 +200,20 @@ def scd2_apply(history: DataFrame, staged: DataFrame, rule: Scd2) -> DataFrame:
         comes = F.col(f"new.{c}") if c in staged.columns else F.lit(None)
         return F.when(F.col("old").isNull(), comes).otherwise(kept).alias(c)
 
-    return both.select(*map(cell, columns))
+    return ended.select(*columns).unionByName(both.select(*map(cell, columns)))
 
 
 def scd2_step(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> DataFrame:
-    return scd2_apply(history, scd2_stage(history, source, rule, now), rule)
+    """:func:`scd2_stage` and :func:`scd2_apply` in one: the join that classifies the keys gives the
+    current versions' part of the new history as well, so there is one shuffle of current versions and
+    none of those that have ended."""
+    both, changes, kept = _classified(history, source, rule, now)
+    rows = both.select(F.explode(F.concat(kept, changes)).alias("c")).select("c.version.*")
+    current = F.coalesce(_is_current(rule, F.col(rule.name("valid_to"))), F.lit(False))
+    ended = history.where(~current)
+    added = [c for c in rows.columns if c not in history.columns]
+    ended = ended.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in added])
+    return ended.unionByName(rows.select(*history.columns, *added))
 
 
 def snapshot_table(spark: SparkSession, name: str, source: DataFrame, rule: Scd2, now: str) -> DataFrame:

@@ -6,8 +6,10 @@ in by renames. A run that dies between the renames leaves a backup, which the ne
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,13 +76,44 @@ def publish_swap(spark: SparkSession, staging: str, target: str) -> None:
     spark.catalog.refreshTable(target)
 
 
-def build_table(spark: SparkSession, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (), buckets: int = 0, properties: Mapping[str, str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """How a table is stored and described."""
+
+    partition_by: tuple[str, ...] = ()
+    cluster_by: tuple[str, ...] = ()
+    buckets: int = 0
+    properties: Mapping[str, str] = field(default_factory=dict)
+    description: str | None = None
+    columns: Mapping[str, str] = field(default_factory=dict)
+
+
+def layout_of(spark: SparkSession, name: str) -> Layout:
+    """The layout, properties and comments of a stored table."""
+    columns = spark.catalog.listColumns(name)
+    details = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    bucketed = tuple(re.findall(r"`([^`]+)`", details.get("Bucket Columns", "")))
+    properties = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect() if not re.match(r"transient_|spark\.sql\.", r[0])}
+    return Layout(
+        tuple(c.name for c in columns if c.isPartition), bucketed, int(details.get("Num Buckets") or 0) if bucketed else 0, properties,
+        spark.catalog.getTable(name).description, {c.name: c.description for c in columns if c.description},
+    )
+
+
+def build_table(spark: SparkSession, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (), buckets: int = 0, properties: Mapping[str, str] | None = None, like: Layout | None = None) -> DataFrame:
     """Create or replace a table from ``df``, which may read the table itself.
 
     ``cluster_by`` sorts within the files, or with ``buckets`` deals rows into hashed buckets, so that
-    later joins on those columns need no shuffle.
+    later joins on those columns need no shuffle. What is not given is taken from ``like``, so far as
+    ``df`` has the columns.
     """
     recover(spark, name)
+    if like:
+        have = set(df.columns)
+        partition_by = partition_by or tuple(c for c in like.partition_by if c in have)
+        if not cluster_by and have.issuperset(like.cluster_by):
+            cluster_by, buckets = like.cluster_by, like.buckets
+        properties = dict(like.properties) | dict(properties or {})
     drop_relation(spark, name + NEW)
     if cluster_by and not buckets:
         df = df.sortWithinPartitions(*partition_by, *cluster_by)
@@ -93,6 +126,8 @@ def build_table(spark: SparkSession, name: str, df: DataFrame, partition_by: Seq
     if properties:
         pairs = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items())
         spark.sql(f"ALTER TABLE {name + NEW} SET TBLPROPERTIES ({pairs})")
+    if like:
+        persist_docs(spark, name + NEW, like.description, like.columns)
     publish_swap(spark, name + NEW, name)
     return spark.table(name)
 
@@ -179,6 +214,11 @@ def overwrite_partitions(spark: SparkSession, name: str, df: DataFrame) -> None:
         spark.conf.set(key, before)
 
 
+def drop_partition(spark: SparkSession, name: str, values: Mapping[str, object]) -> None:
+    spec = ", ".join(f"`{c}` = " + ("null" if v is None else _text(v)) for c, v in values.items())
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+
+
 def _text(value: str) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 

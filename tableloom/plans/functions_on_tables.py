@@ -50,10 +50,24 @@ def fn_equals(t):
     return t.documents.select("doc_id", fs.equals("lang", other, True).alias("same"), fs.equals(no_en, no_en, True).alias("self"), fs.equals(no_en, "lang").alias("plain"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_tax, 1) AS tax, printf('%05d', l_suppkey) AS supplier, 'r7' AS run_id, TIMESTAMP '2024-02-01' AS run_started_at FROM lineitem")
-def fn_round_format(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", fs.safe_round(F.col("l_extendedprice") * F.col("l_tax"), 1).alias("tax"), fs.format_id("l_suppkey").alias("supplier"))
-    return fs.audit_columns(rows, "r7", "2024-02-01 00:00:00")
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(15, 2)) * CAST(l_tax AS DECIMAL(4, 2)), 1) AS DOUBLE) AS tax,
+  CAST(round(CAST(l_quantity AS DECIMAL(10, 2)) * 0.25, 0) AS BIGINT) AS lots FROM lineitem""")
+def fn_round(t):
+    """Rounded half up, in decimals: of a binary product the tie is a matter of its last bit."""
+    price, tax = F.col("l_extendedprice").cast("decimal(15,2)"), F.col("l_tax").cast("decimal(4,2)")
+    lots = F.col("l_quantity").cast("decimal(10,2)") * F.lit("0.25").cast("decimal(3,2)")
+    return t.lineitem.select("l_orderkey", "l_linenumber", fs.safe_round(price * tax, 1).cast("double").alias("tax"), fs.safe_round(lots, 0).cast("long").alias("lots"))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%05d', l_suppkey) AS supplier, CAST(l_partkey AS VARCHAR) AS part FROM lineitem")
+def fn_format_id(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", fs.format_id("l_suppkey").alias("supplier"), fs.format_id("l_partkey", None).alias("part"))
+
+
+@query("SELECT o_orderkey, 'r7' AS run_id, TIMESTAMP '2024-02-01' AS run_started_at FROM orders")
+def fn_audit_columns(t):
+    return fs.audit_columns(t.orders.select("o_orderkey"), "r7", "2024-02-01 00:00:00")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -11,9 +11,10 @@ from ..operators import incremental as inc
 from ..operators import scd, tables
 from ..streaming import events as ev
 from .base import query
+from .catalog_on_tables import scratch
 
 OLD = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
-NEW = "SELECT o_orderkey, o_custkey, 'N' AS o_orderstatus, round(o_totalprice * 1.1, 2) AS o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01'"
+NEW = "SELECT o_orderkey, o_custkey, 'N' AS o_orderstatus, o_totalprice * 1.1 AS o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01'"
 WITH = f"WITH t AS ({OLD}), b AS ({NEW})"
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
 
@@ -24,7 +25,7 @@ def target(t):
 
 def batch(t):
     rows = t.orders.where("o_orderdate >= timestamp_ntz '1996-06-01'")
-    return rows.select("o_orderkey", "o_custkey", F.lit("N").alias("o_orderstatus"), F.round(F.col("o_totalprice") * 1.1, 2).alias("o_totalprice"), "o_orderdate")
+    return rows.select("o_orderkey", "o_custkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 1.1).alias("o_totalprice"), "o_orderdate")
 
 
 @query(f"{WITH} SELECT * FROM t UNION ALL SELECT * FROM b")
@@ -196,20 +197,14 @@ def evt_microbatch(t):
     return inc.microbatch(stored, window.withColumn("value", F.col("value") * 2).select(*columns), "event_id")
 
 
-def _scratch(t, kind: str) -> str:
-    """A name of its own in a scratch schema."""
-    tables.ensure_schema(t.spark, "tableloom_scratch")
-    return f"tableloom_scratch.{kind}_{uuid.uuid4().hex}"
-
-
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def snk_table(t):
-    return tables.build_table(t.spark, _scratch(t, "orders"), t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+    return tables.build_table(t.spark, scratch(t, "orders"), t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def snk_view(t):
-    name = _scratch(t, "nation_view")
+    name = scratch(t, "nation_view")
     at = lambda x: f"parquet.`{t.folder}/{x}.parquet`"
     return tables.build_view(t.spark, name, f"SELECT n_nationkey, n_name, count(c_custkey) AS n FROM {at('nation')} LEFT JOIN {at('customer')} ON c_nationkey = n_nationkey GROUP BY 1, 2")
 
@@ -217,14 +212,14 @@ def snk_view(t):
 @query("SELECT s_suppkey, s_name, s_acctbal + 1 AS s_acctbal FROM supplier")
 def snk_swap_again(t):
     """Built, then rebuilt from its own contents."""
-    name = _scratch(t, "supplier")
+    name = scratch(t, "supplier")
     first = tables.build_table(t.spark, name, t.supplier.select("s_suppkey", "s_name", "s_acctbal"))
     return tables.build_table(t.spark, name, first.withColumn("s_acctbal", F.col("s_acctbal") + 1))
 
 
 @query("SELECT event_type, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT event_type, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
 def snk_append(t):
-    name = _scratch(t, "events")
+    name = scratch(t, "events")
     rows = t.events.select("event_type", "event_id", "ts")
     tables.build_table(t.spark, name, rows.where("ts < timestamp_ntz '2024-01-10'"), partition_by=["event_type"])
     tables.append(t.spark, name, rows.where("ts >= timestamp_ntz '2024-01-25'").select("ts", "event_type", "event_id"))
@@ -234,7 +229,7 @@ def snk_append(t):
 @query("SELECT event_type, event_id, CASE WHEN event_type = 'click' THEN value * 10 ELSE value END AS value FROM events")
 def snk_partitions(t):
     """A partition-scoped merge: only the click partition is read and written again."""
-    name = _scratch(t, "events_by_type")
+    name = scratch(t, "events_by_type")
     rows = t.events.select("event_id", "value", "event_type")
     tables.build_table(t.spark, name, rows, partition_by=["event_type"])
     clicks = rows.where("event_type = 'click'").withColumn("value", F.col("value") * 10)
@@ -243,14 +238,14 @@ def snk_partitions(t):
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
 def snk_failures(t):
-    name = _scratch(t, "failures")
+    name = scratch(t, "failures")
     tables.write_failures(t.spark, name, ck.is_positive(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal"))
     return t.spark.table(name)
 
 
 @query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
 def snk_materialized_view(t):
-    name = _scratch(t, "nations")
+    name = scratch(t, "nations")
     rows = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
     tables.build_materialized_view(t.spark, name, rows, {"layout": "plain"})
     tables.build_materialized_view(t.spark, name, rows, {"layout": "plain"})
@@ -259,7 +254,115 @@ def snk_materialized_view(t):
 
 @query("SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_size > 25")
 def snk_clone(t):
-    src, dst = _scratch(t, "part"), _scratch(t, "part_clone")
+    src, dst = scratch(t, "part"), scratch(t, "part_clone")
     tables.build_table(t.spark, src, t.part.where("p_size > 25").select("p_partkey", "p_brand", "p_retailprice"), cluster_by=["p_partkey"], buckets=4)
     tables.clone_table(t.spark, src, dst)
     return t.spark.table(dst)
+
+
+@query(f"{WITH} SELECT * FROM b UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)")
+def inc_build(t):
+    """A view stands in the way, then a first run, a full refresh, and two merges of one batch."""
+    name = scratch(t, "orders")
+    tables.build_view(t.spark, name, "SELECT 1 AS one")
+    inc.build_incremental(t.spark, name, batch(t).limit(0), "merge", "o_orderkey")
+    inc.build_incremental(t.spark, name, target(t), "merge", "o_orderkey", full_refresh=True)
+    inc.build_incremental(t.spark, name, batch(t), "merge", "o_orderkey")
+    return inc.build_incremental(t.spark, name, batch(t), "merge", "o_orderkey")
+
+
+@query("""
+SELECT o_orderkey, o_totalprice * CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS o_totalprice, o_orderstatus FROM orders""")
+def inc_build_partitions(t):
+    """A merge whose key has the partition column touches one partition of the table, which keeps its layout."""
+    name, rows = scratch(t, "orders"), t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    inc.build_incremental(t.spark, name, rows, "merge", ["o_orderkey", "o_orderstatus"], partition_by=["o_orderstatus"])
+    some = rows.where("o_orderstatus = 'F' and o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return inc.build_incremental(t.spark, name, some, "merge", ["o_orderkey", "o_orderstatus"])
+
+
+@query("SELECT event_id, value, event_type FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, 0.5, event_type FROM events WHERE event_type = 'click' AND event_id % 3 = 0 UNION ALL SELECT -event_id, 1.0, event_type FROM events WHERE event_type = 'purchase'")
+def inc_build_overwrite(t):
+    """Two partitions replaced, of which one gets no rows; rows of a third are added."""
+    name, rows = scratch(t, "events"), t.events.select("event_id", "value", "event_type")
+    inc.build_incremental(t.spark, name, rows, partition_by=["event_type"])
+    clicks = rows.where("event_type = 'click' and event_id % 3 = 0").withColumn("value", F.lit(0.5))
+    more = rows.where("event_type = 'purchase'").select((-F.col("event_id")).alias("event_id"), F.lit(1.0).alias("value"), "event_type")
+    return inc.build_incremental(t.spark, name, clicks.union(more), "insert_overwrite", predicate="event_type in ('click', 'view')")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def inc_is_incremental(t):
+    """The model reads all that is needed at first, later only what lies above its high-water mark."""
+    name = scratch(t, "events")
+    for upto in ("2024-01-10", "2030-01-01"):
+        rows = t.events.where(f"ts < timestamp_ntz '{upto}'").select("event_id", "ts")
+        if inc.is_incremental(t.spark, name):
+            rows = inc.after_high_water(rows, "ts", t.spark.table(name), "ts", "1970-01-01 00:00:00")
+        inc.build_incremental(t.spark, name, rows, "append")
+    return t.spark.table(name)
+
+
+@query("SELECT s_suppkey, s_name, 'columns differ' AS refused FROM supplier")
+def inc_fail_columns(t):
+    """A batch of other columns is refused; the table stays as it was."""
+    name = scratch(t, "supplier")
+    inc.build_incremental(t.spark, name, t.supplier.select("s_suppkey", "s_name"))
+    said = ""
+    try:
+        inc.build_incremental(t.spark, name, t.supplier.select("s_suppkey", "s_acctbal"), on_schema_change="fail")
+    except inc.SchemaMismatch:
+        said = "columns differ"
+    return t.spark.table(name).withColumn("refused", F.lit(said))
+
+
+@query("""
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2""")
+def evt_run_microbatch(t):
+    """Four days, each a batch of its own; one day runs twice."""
+    name = scratch(t, "daily")
+    model = lambda events: events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    for day in (8, 9, 10, 9, 11):
+        ev.run_microbatch(t.spark, model, {"events": t.events}, {"events": "ts"}, f"2024-01-{day:02d}", f"2024-01-{day + 1:02d}", name, ["user_id", "day"])
+    return t.spark.table(name)
+
+
+CHECKED = _history(T1, T2, "h.nation IS DISTINCT FROM v2.nation", "")
+
+
+@query(f"SELECT * REPLACE (coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to) FROM ({CHECKED})")
+def scd_sentinel(t):
+    """Current versions end at a far date instead of null."""
+    rule = scd.Scd2(["c_custkey"], scd.Check(["nation"]), valid_to_current="9999-12-31 00:00:00")
+    return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), version_2(t), rule, NOW2)
+
+
+@query(f"SELECT * EXCLUDE (valid_from, valid_to, scd_id), valid_from AS seen_from, valid_to AS seen_until, scd_id AS version FROM ({CHECKED})")
+def scd_names(t):
+    names = {"valid_from": "seen_from", "valid_to": "seen_until", "scd_id": "version"}
+    rule = scd.Scd2(["c_custkey"], scd.Check(["nation"]), names=names)
+    return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), version_2(t), rule, NOW2)
+
+
+@query(f"SELECT * REPLACE (md5(c_custkey || '|' || c_name || '|' || CAST(updated_at AS VARCHAR)) AS scd_id) FROM ({CHECKED})")
+def scd_composite(t):
+    """A key of two columns, staged and applied one after the other."""
+    rule = scd.Scd2(["c_custkey", "c_name"], scd.Check(["nation"]))
+    first = scd.scd2_init(version_1(t), rule, NOW1)
+    return scd.scd2_apply(first, scd.scd2_stage(first, version_2(t), rule, NOW2), rule)
+
+
+@query(f"SELECT x.*, CASE WHEN x.updated_at = {T2} THEN c_mktsegment END AS segment FROM ({CHECKED}) x JOIN customer USING (c_custkey)")
+def scd_new_column(t):
+    """A column that the history lacks is added, null in old versions."""
+    rule = scd.Scd2(["c_custkey"], scd.Check(["nation"]))
+    wider = version_2(t).join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey")
+    return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), wider, rule, NOW2)
+
+
+@query(f"WITH v1 AS ({V1}) {_open_version('changed', '(SELECT * REPLACE (CAST(changed AS DATE) AS changed) FROM v1)').replace('changed AS updated_at', 'CAST(changed AS TIMESTAMP) AS updated_at').replace('changed AS valid_from', 'CAST(changed AS TIMESTAMP) AS valid_from').replace('CAST(changed AS VARCHAR)', 'CAST(CAST(changed AS TIMESTAMP) AS VARCHAR)')}")
+def scd_date_times(t):
+    """Dates as times of change: a warning, and times at midnight."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return scd.scd2_init(version_1(t).withColumn("changed", F.col("changed").cast("date")), scd.Scd2(["c_custkey"], scd.Timestamp("changed")), NOW1)

@@ -37,6 +37,16 @@ def pip_staging(t):
     )
 
 
+@query("SELECT c_custkey AS customer_id, c_name AS name, c_nationkey AS nation_id FROM customer")
+def pip_staging_customers(t):
+    return t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_id"))
+
+
+@query("SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS ordered_at, o_orderstatus AS status FROM orders")
+def pip_staging_orders(t):
+    return t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("ordered_at"), F.col("o_orderstatus").alias("status"))
+
+
 def daily_summary(events):
     return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), fs.safe_round(F.avg("value"), 7).alias("avg_value")
@@ -64,10 +74,12 @@ def pip_pivot(t):
 
 
 @query("""
-WITH m AS (SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price FROM orders GROUP BY 1)
+WITH m AS (SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE) / count(*) AS avg_price FROM orders GROUP BY 1)
 SELECT printf('%05d', c_custkey) AS customer, c_name, n, avg_price, 'run-1' AS run_id FROM customer JOIN m ON o_custkey = c_custkey WHERE n >= 5""")
 def pip_active(t):
-    metrics = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), fs.safe_round(F.avg("o_totalprice"), 2).alias("avg_price"))
+    # prices summed as decimals: a sum of doubles depends on its order
+    total = F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double")
+    metrics = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), (total / F.count(F.lit(1))).alias("avg_price"))
     active = t.customer.join(metrics, F.col("o_custkey") == F.col("c_custkey")).where("n >= 5")
     return fs.audit_columns(active.select(fs.format_id("c_custkey").alias("customer"), "c_name", "n", "avg_price"), "run-1", "2024-01-01").drop("run_started_at")
 

@@ -92,11 +92,14 @@ def chk_verdict(t):
 
 @query(f"""
 SELECT 'not_null' AS "check", 'documents' AS "table", 'quality' AS "column", count(*) AS failures, CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status FROM {LABELLED} WHERE quality IS NULL
+UNION ALL SELECT 'is_positive', 'documents', 'doc_id', least(7, count(*)), CASE WHEN least(7, count(*)) > 5 THEN 'error' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END FROM documents WHERE doc_id < 10
 UNION ALL SELECT 'unique', 'orders', 'o_orderkey', count(*), CASE WHEN count(*) > 0 THEN 'error' ELSE 'pass' END FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'accepted_values', 'events', 'event_type', count(*), CASE WHEN count(*) > 0 THEN 'error' ELSE 'pass' END FROM (SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click'))""")
 def chk_report(t):
+    docs = labelled(t)
     return ck.run_checks([
-        ck.Check("not_null", "documents", ck.not_null(labelled(t), "quality"), "quality", severity="warn"),
+        ck.Check("not_null", "documents", column="quality", severity="warn", rows=docs, bad="quality is null"),
+        ck.Check("is_positive", "documents", column="doc_id", rows=docs, bad="doc_id < 10", error_if="> 5", limit=7),
         ck.Check("unique", "orders", ck.unique(t.orders, "o_orderkey"), "o_orderkey"),
         ck.Check("accepted_values", "events", ck.accepted_values(t.events, "event_type", ["click"]), "event_type"),
     ])

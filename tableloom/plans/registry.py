@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions_on_tables, incremental_on_tables, pipelines, quality, relational
+from . import catalog_on_tables, functions_on_tables, incremental_on_tables, pipelines, quality, relational
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "functions_on_tables", "incremental_on_tables", "pipelines", "quality", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog_on_tables", "functions_on_tables", "incremental_on_tables", "pipelines", "quality", "relational"]

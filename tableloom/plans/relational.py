@@ -152,7 +152,7 @@ def agg_listagg(t):
 SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS first_orders
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 3 GROUP BY 1""")
 def agg_listagg_limit(t):
-    return t.orders.groupBy("o_custkey").agg(fc.listagg("o_orderkey", ",", limit=3).alias("first_orders"))
+    return fc.listagg_first(t.orders, ["o_custkey"], "o_orderkey", 3, name="first_orders")
 
 
 @query("""

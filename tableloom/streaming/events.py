@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, tables
+from ..operators import incremental
 
 
 def event_time_window(df: DataFrame, column: str | None, start: str | None, end: str | None) -> DataFrame:
@@ -50,7 +50,3 @@ def merge_stream(stream: DataFrame, name: str, key: str | Sequence[str], checkpo
         incremental.build_incremental(spark, name, batch.dropDuplicates(keys), "microbatch", keys)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def table_is_there(spark: SparkSession, name: str) -> bool:
-    return tables.relation_type(spark, name) == "table"

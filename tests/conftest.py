@@ -9,6 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Rounding ties and rare values show only in more rows.
+QUERY_SF = os.environ.get("TEST_QUERY_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
@@ -31,9 +33,17 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tableloom.session import clear
+
+    clear(session)
     session.stop()
 
 
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(scope="session")
+def query_sf():
+    return QUERY_SF

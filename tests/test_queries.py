@@ -6,9 +6,9 @@ from tableloom.plans import registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_matches_sql(spark, sf, name):
-    df = registry.QUERIES[name](spark, sf)
+def test_matches_sql(spark, query_sf, name):
+    df = registry.QUERIES[name](spark, query_sf)
     if name in registry.ORACLE_SQL:
-        compare(df, registry.ORACLE_SQL[name], sf)
+        compare(df, registry.ORACLE_SQL[name], query_sf)
     else:
         df.count()
