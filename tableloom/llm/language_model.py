@@ -60,7 +60,7 @@ WORD_STEPS = 8
 #: Keys that one group of contexts adds up, about.
 GROUP_KEYS = 1_000_000
 #: Tokens that a task counts before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A key is a context of CONTEXT_BITS bits and a word number of 16 bits. Frequent words come first; the other
 #: words of class c are RARE + c, and a class as what follows a context is WHOLE + c.
 CONTEXT_BITS = 36
@@ -88,7 +88,7 @@ class Codes(dict):
     """word -> number * CLASSES + class. Frequent words are given; others get 65536 + a hash, and a
     bounded number of them is remembered."""
 
-    most = 300_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         code = (65_536 + zlib.crc32(word)) * CLASSES + class_of(word)
@@ -183,7 +183,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 seen.update(words)
             code, one, two, _ = coded(docs, codes)
             cells += np.bincount(((two % CLASSES) * CLASSES + one % CLASSES) * CLASSES + code % CLASSES, minlength=CLASSES**3)
-            if len(seen) > 400_000:
+            if len(seen) > 300_000:
                 yield out(0, list(seen), list(seen.values()))
                 seen.clear()
         yield out(0, list(seen), list(seen.values()))
@@ -538,7 +538,7 @@ class Model:
         known = sc.broadcast({"codes": self.codes})
         grams = word_grams(docs, known, self.groups)
         shards = materialize(word_table(grams, {"word": base, "class": cls}, self.log_class, self.groups, self.slots), "word-features")
-        self.table = hash_table(shards.collect(), self.groups, self.slots)
+        self.table = hash_table(shards.toLocalIterator(), self.groups, self.slots)  # a part at a time
 
     def shared(self) -> tuple:
         import numpy as np
