@@ -1,19 +1,22 @@
 """SimHash near-duplicates found by multi-index hashing.
 
 A text's fingerprint has a bit for every bit that over half of its shingle hashes set. Equal
-fingerprints collapse first; the distinct ones are cut into three segments of 23, 23 and 18 bits.
-If two fingerprints differ in at most 4 bits, then they differ in at most one bit of one of the
-first two segments or not at all in the third (otherwise 2 + 2 + 1 bits differ), so a small
-Hamming ball is enumerated in the first two (24 keys each) and one key in the third. The matches of
-the segment tables are verified over all 64 bits, and links are joined to components.
+fingerprints collapse first; the distinct ones are cut into segments with a radius each, such that two
+fingerprints that differ in at most 4 bits differ within the radius in one of the segments at least. A
+Hamming ball of that radius is enumerated in each segment; the matches of the segment tables are verified
+over all 64 bits, and links are joined to components. Wide segments make more probes and fewer chance
+matches, so the cut follows the number of distinct fingerprints (:func:`segments_for`).
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null doc_id is
-ignored as a component's id unless a component has no other; repeated rows share a fingerprint;
-other columns are ignored; an empty table gives an empty result.
+ignored as a component's id unless a component has no other; repeated rows share a fingerprint; texts
+are taken whole however long they are; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +25,15 @@ from .common import bounded_batches, keep_rows, materialize, row_key, ship
 from .components import connected_components
 
 ship(__name__)
-#: (lowest bit, bits, whether one differing bit is probed)
-SEGMENTS = ((0, 23, True), (23, 23, True), (46, 18, False))
 MAX_BITS = 4
+#: Ways to cut a fingerprint: (lowest bit, bits, radius) of each segment. As the radii and one more for each
+#: segment add up to MAX_BITS + 1 or more, no pair is missed.
+CUTS = (
+    ((0, 23, 1), (23, 23, 1), (46, 18, 0)),
+    ((0, 22, 1), (22, 21, 1), (43, 21, 1)),
+    ((0, 38, 2), (38, 26, 1)),
+    ((0, 32, 2), (32, 32, 2)),
+)
 SHINGLE = 4
 SEED = 42
 
@@ -75,15 +84,30 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def near_pairs(fps: DataFrame) -> DataFrame:
+def ball(bits: int, radius: int) -> list[int]:
+    """What to flip in a segment: all sets of at most ``radius`` bits."""
+    return [sum(1 << i for i in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
+
+
+def segments_for(n: int):
+    """The cut that costs least for n distinct fingerprints: its probes, and the chance matches they meet."""
+    return min(CUTS, key=lambda cut: sum(math.comb(bits, r) * (1 + n / 2**bits) for _, bits, radius in cut for r in range(radius + 1)))
+
+
+def around(key, flips: list[int]):
+    """An array of the keys that ``flips`` make of one."""
+    return F.transform(F.lit(flips).cast("array<bigint>"), lambda x: key.bitwiseXOR(x))
+
+
+def near_pairs(fps: DataFrame, segments=CUTS[0]) -> DataFrame:
     """a, b: pairs of distinct fingerprints (column fp) that differ in at most MAX_BITS bits."""
     held, probed = [], []
-    for k, (low, bits, ball) in enumerate(SEGMENTS):
-        own = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(k << 32))
+    for k, (low, bits, radius) in enumerate(segments):
+        own = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(k << 40))
         held.append(own)
-        probed += [own] + [own.bitwiseXOR(F.lit(1 << i)) for i in range(bits if ball else 0)]
+        probed.append(around(own, ball(bits, radius)))
     tables = fps.select(F.col("fp").alias("b"), F.explode(F.array(*held)).alias("key"))
-    probes = fps.select(F.col("fp").alias("a"), F.explode(F.array(*probed)).alias("key"))
+    probes = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probed))).alias("key"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     return probes.join(tables, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
@@ -96,9 +120,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first")
     distinct = materialize(marked.groupBy("fp").agg(first), "distinct-fingerprints")
-    parts = connected_components(near_pairs(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
-    placed = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    pairs = near_pairs(distinct.select("fp"), segments_for(distinct.count()))
+    parts = connected_components(pairs).select(F.col("node").alias("fp"), "component")
+    placed = materialize(distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "fingerprint-parts")
+    # the heads are a table of their own, so that the join back can split a component that holds much
+    heads = materialize(placed.groupBy("component").agg(F.min("first").alias("head")), "component-heads")
     placed = placed.join(heads, "component").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.text_key").alias("first_key"))
     placed = materialize(placed, "placed")
     return marked.join(placed, "fp").select("doc_id", "text_key", "fp", "component_id", "first_key")
