@@ -6,8 +6,9 @@ fewest bytes. Rebalancing edits the map: growing by one shard moves slots into t
 only. Only the slot table, whose size is fixed, is ever planned on the driver.
 
 Defined results: null text has no bytes (a record still costs ``OVERHEAD``); a null doc_id is
-hashed like any value; repeated rows share a slot; an empty table gives an empty result and a
-map over empty slots; other columns are ignored.
+hashed like any value; of repeated rows the n-th has a hash of its own, so that they spread over slots,
+the same ones at every run; an empty table gives an empty result and a map over empty slots; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 N_SLOTS = 16_384
 N_SHARDS = 40
@@ -25,15 +26,34 @@ OVERHEAD = 16
 MAP_SCHEMA = "virtual_slot int, shard int, first_row long"
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds copy, gapless from 0 among the rows that agree in ``keys``.
+
+    Copies are numbered within the parts that a table was read in, and after the counted copies of
+    the parts before, so no task holds all copies of a row.
+    """
+    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "numbered-rows")
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0))) - 1)
+    same = F.col("part") == F.col("_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return within.join(counts, same).withColumn("copy", (F.col("copy") + F.col("before")).cast("long")).drop("part", "before", "_part", *[f"_{k}" for k in keys])
+
+
 def hashed(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and overhead), text_crc32, virtual_slot."""
+    """doc_id, size (UTF-8 bytes and overhead), text_crc32, virtual_slot, copy: written once, as sizes are read twice."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", text).alias("mark"),
     )
+    slot = F.pmod(F.xxhash64("mark", "copy"), F.lit(n_slots)).cast("int")
+    return materialize(numbered(rows, ["mark"]).withColumn("virtual_slot", slot), "records")
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:
@@ -98,28 +118,39 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     The map has ``N_SLOTS`` rows whatever the input, so it is broadcast. Places are counted within
     a virtual slot, so no task ever holds a whole shard.
     """
-    place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "mark", "copy")
     return records.join(F.broadcast(slot_map), "virtual_slot").withColumn(
         "slot", F.col("first_row") + F.row_number().over(place) - 1
     )
 
 
+def moved(placed: DataFrame, edited_map: DataFrame) -> DataFrame:
+    """Adds next_shard: where an edited version of the map holds the record."""
+    return placed.join(F.broadcast(edited_map.select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot")
+
+
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard, slot; version 1 of the map is at ``map_path``."""
+    """doc_id, size, text_crc32, virtual_slot, shard, slot, and next_shard after a rebalancing.
+
+    Version 1 of the map, by which shard and slot are, and version 2, edited for one more shard, are at
+    ``map_path``.
+    """
     import uuid
 
     spark = docs.sparkSession
     path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     records = hashed(docs)
     table = slot_sizes(records).collect()
-    plan = plan_map({r[0]: r[1] for r in table}, n_shards)
-    save_map(spark, path, 1, plan, {r[0]: r[2] for r in table})
-    return assign(records, load_map(spark, path, 1)).drop("first_row")
+    sizes, rows = {r[0]: r[1] for r in table}, {r[0]: r[2] for r in table}
+    plan = plan_map(sizes, n_shards)
+    save_map(spark, path, 1, plan, rows)
+    save_map(spark, path, 2, grow_map({r.virtual_slot: r.shard for r in load_map(spark, path, 1).collect()}, sizes), rows)
+    return moved(assign(records, load_map(spark, path, 1)), load_map(spark, path, 2)).drop("first_row", "mark", "copy")
 
 
 def op9_sharding(spark, sf_dir):
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard",
     )
