@@ -5,8 +5,11 @@ beside its list's centre is coded in subspaces by small codebooks; both are fitt
 all vectors are indexed. A vector probes the lists of its nearest centres, those whose centres score
 nearly as well as its own, and, if it lies close to its centre, every list that can hold a link of it.
 There, estimates come from lookup tables over the codes; each vector's coding error bounds how far its
-estimate can be off, and what can reach the threshold is verified by the exact cosine in double precision. Lists are dealt in blocks by their counted vectors and queries, so no list, however full,
-is one task, and no candidate is dropped by number.
+estimate can be off, and what can reach the threshold is verified by the exact cosine in double precision.
+Lists are dealt in blocks by their counted vectors and queries, so no list, however full, is one task, and
+no candidate is dropped by number. A group of blocks counts links and hands on a tree of each of its
+components instead of all pairs. A vector carries the lists that it probes, so a pair found from both
+sides counts once.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with
 nothing and are their own component; vectors of different lengths never link; equal vectors are
@@ -26,8 +29,11 @@ from .components import connected_components
 ship(__name__)
 THRESHOLD = 0.9
 #: Vectors that centres and codebooks are fitted on (the smallest hashes), at most.
-SAMPLE = 8192
-LEAST_LISTS, MOST_LISTS = 16, 1024
+SAMPLE = 32_768
+#: Lists, at most; their centres are held by every task (4 MB in 64 dimensions).
+LEAST_LISTS, MOST_LISTS = 16, 8192
+#: So many lists or more are clustered in two levels.
+TWO_LEVELS = 512
 #: Vectors a list should hold; the number of lists follows the number of vectors.
 PER_LIST = 100
 #: Lists that every vector probes, at least.
@@ -63,9 +69,17 @@ def fit(sample, n_lists: int):
     """(centres, codebooks): codebooks has CODES entries for each subspace of the residuals."""
     import numpy as np
 
-    centres = kmeans(sample, min(n_lists, len(sample)), 8, 1)
+    n_lists = min(n_lists, len(sample))
+    if n_lists < TWO_LEVELS:
+        centres = kmeans(sample, n_lists, 8, 1)
+    else:  # clusters of clusters, as many in each as its share of the sample
+        tops = kmeans(sample, int(n_lists**0.5), 8, 1)
+        near = ((tops * tops).sum(1)[None] - 2 * sample @ tops.T).argmin(1)
+        parts = [sample[near == k] for k in range(len(tops)) if (near == k).any()]
+        centres = np.concatenate([kmeans(x, max(1, round(n_lists * len(x) / len(sample))), 6, 1000 + k) for k, x in enumerate(parts)])
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    residual = sample - centres[(sample @ centres.T).argmax(1)]
+    own = np.concatenate([(sample[k : k + 1024] @ centres.T).argmax(1) for k in range(0, len(sample), 1024)])
+    residual = sample - centres[own]
     width = sample.shape[1] // SUBSPACES
     books = [kmeans(residual[:, s * width : (s + 1) * width], min(CODES, len(sample)), 8, 2 + s) for s in range(SUBSPACES)]
     return centres, np.stack(books)
@@ -129,8 +143,26 @@ def unit_rows(column, width: int):
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
-    """a, b (nodes, a < b): pairs with a cosine of at least ``threshold``, verified exactly."""
+def roots(a, b):
+    """The nodes of some links and, for each, the smallest one that the links lead to."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def near_links(vectors: DataFrame, n: int, width: int, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+    """node, other, links: how many vectors (copies counted) a node has at a cosine of at least ``threshold``, in
+    parts (other is null), and a tree over each component of a group (links is 0). All verified exactly."""
     import numpy as np
 
     spark = vectors.sparkSession
@@ -173,6 +205,8 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
                 likeness = x @ centres.T
                 at_query, near = np.nonzero(probed(likeness, threshold, probes))
                 own = likeness.argmax(1)
+                times = np.bincount(at_query, minlength=len(node))
+                asks_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(near.astype(np.int32)))
                 codes, left = encode(x, own, centres, books)
                 # a block pair (index block i, query block q) of a list is one group
                 held, q = spread(np.arange(len(node)), n_query[own])
@@ -188,11 +222,12 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(np.full(len(rows), kind, np.int8)), pa.array(lists[part].astype(np.int32)), pa.array(i[part].astype(np.int32)), pa.array(q[part].astype(np.int32)),
-                                batch.column(2).take(rows), pa.array(node[at[part]]), batch.column(1).take(rows),
+                                batch.column(2).take(rows), pa.array(node[at[part]]), batch.column(1).take(rows), batch.column(3).take(rows),
                                 pa.array([c.tobytes() for c in codes[at[part]]] if kind == 0 else [b""] * len(rows), pa.binary()),
-                                pa.array(left[at[part]]),
+                                pa.array(left[at[part]]), pa.array(own[at[part]].astype(np.int32)),
+                                asks_of.take(rows) if kind == 0 else pa.array([[]] * len(rows), pa.list_(pa.int32())),
                             ],
-                            ["kind", "list", "i", "q", "size", "node", "embedding", "codes", "error"],
+                            ["kind", "list", "i", "q", "size", "node", "embedding", "copies", "codes", "error", "own", "asks"],
                         )
 
     def search(key, group):
@@ -200,36 +235,52 @@ def near_pairs(vectors: DataFrame, n: int, width: int, threshold: float = THRESH
         centres, books = shared.value
         kind = group.column("kind").to_numpy()
         mine, query = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        found_a, found_b = [], []
-        if len(mine) and len(query):
-            index, asked = group.take(pa.array(mine)), group.take(pa.array(query))
-            y = unit_rows(index.column("embedding").combine_chunks(), width)
-            code = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(len(mine), -1)
-            error = index.column("error").to_numpy()
-            b, a = index.column("node").to_numpy(), asked.column("node").to_numpy()
-            x = unit_rows(asked.column("embedding").combine_chunks(), width)
-            part = books.shape[2]
-            for k in range(0, len(x), 512):
-                q = x[k : k + 512]
-                estimate = np.tile((q @ centres[key[0].as_py()])[:, None], (1, len(y)))
-                for s, book in enumerate(books):
-                    estimate += (q[:, s * part : (s + 1) * part] @ book.T)[:, code[:, s]]
-                # |q| = 1, so a cosine is at most the estimate and the norm of what the code leaves over
-                r, c = np.nonzero(estimate + error[None] >= threshold - 1e-9)
-                other = a[k + r] != b[c]
-                r, c = r[other], c[other]
-                cosine = (q @ y.T)[r, c]
-                r, c = r[cosine >= threshold], c[cosine >= threshold]
-                found_a.append(np.minimum(a[k + r], b[c]))
-                found_b.append(np.maximum(a[k + r], b[c]))
-        one = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        two = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": one.astype(np.int64), "b": two.astype(np.int64)})
-
-    dealt = vectors.select("node", "embedding", "size").mapInArrow(
-        deal, f"kind byte, list int, i int, q int, size int, node long, embedding {vectors.schema['embedding'].dataType.simpleString()}, codes binary, error double"
+        found_r, found_c = [], []
+        if not len(mine) or not len(query):
+            return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        index, asked = group.take(pa.array(mine)), group.take(pa.array(query))
+        y = unit_rows(index.column("embedding").combine_chunks(), width)
+        code = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(len(mine), -1)
+        error = index.column("error").to_numpy()
+        b, a = index.column("node").to_numpy(), asked.column("node").to_numpy()
+        x = unit_rows(asked.column("embedding").combine_chunks(), width)
+        part = books.shape[2]
+        for k in range(0, len(x), 512):
+            q = x[k : k + 512]
+            estimate = np.tile((q @ centres[key[0].as_py()])[:, None], (1, len(y)))
+            for s, book in enumerate(books):
+                estimate += (q[:, s * part : (s + 1) * part] @ book.T)[:, code[:, s]]
+            # |q| = 1, so a cosine is at most the estimate and the norm of what the code leaves over
+            r, c = np.nonzero(estimate + error[None] >= threshold - 1e-9)
+            other = a[k + r] != b[c]
+            r, c = r[other], c[other]
+            cosine = (q @ y.T)[r, c]
+            found_r.append(k + r[cosine >= threshold])
+            found_c.append(c[cosine >= threshold])
+        r, c = np.concatenate(found_r), np.concatenate(found_c)
+        # the index vector meets this pair as a query, too, where it probes the other's list
+        asks = index.column("asks").combine_chunks()
+        pairs = np.repeat(np.arange(len(mine)), asks.value_lengths().to_numpy()) * len(centres) + asks.flatten().to_numpy()
+        alone = ~np.isin(c * len(centres) + asked.column("own").to_numpy()[r], pairs)
+        links_a = np.bincount(r, index.column("copies").to_numpy()[c], len(a)).astype(np.int64)
+        links_b = np.bincount(c[alone], asked.column("copies").to_numpy()[r[alone]], len(b)).astype(np.int64)
+        nodes, root = roots(a[r], b[c])
+        tree = nodes != root
+        some_a, some_b = links_a > 0, links_b > 0
+        counts = np.concatenate([links_a[some_a], links_b[some_b]])
+        node = np.concatenate([a[some_a], b[some_b], nodes[tree]])
+        other = np.concatenate([np.zeros(len(counts), np.int64), root[tree]])
+        return pa.table({
+            "node": node,
+            "other": pa.array(other, pa.int64(), mask=np.arange(len(node)) < len(counts)),
+            "links": np.concatenate([counts, np.zeros(len(node) - len(counts), np.int64)]),
+        })
+
+    vector = vectors.schema["embedding"].dataType.simpleString()
+    dealt = vectors.select("node", "embedding", "size", "copies").mapInArrow(
+        deal, f"kind byte, list int, i int, q int, size int, node long, embedding {vector}, copies long, codes binary, error double, own int, asks array<int>"
     )
-    return dealt.groupBy("list", "i", "q", "size").applyInArrow(search, "a long, b long").distinct()
+    return dealt.groupBy("list", "i", "q", "size").applyInArrow(search, "node long, other long, links long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -238,13 +289,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     vectors = materialize(distinct_vectors(rows), "vectors")
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first()
-    pairs = materialize(near_pairs(vectors, n, width, threshold), "vector-links")
-    weight = vectors.select("node", "copies")
-    ends = pairs.select("a", F.col("b").alias("node")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("node")))
-    degree = ends.join(weight, "node").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    parts = connected_components(pairs)
+    found = materialize(near_links(vectors, n, width, threshold), "vector-links")
+    degree = found.where("other is null").groupBy("node").agg(F.sum("links").alias("others"))
+    parts = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     placed = vectors.join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    placed = materialize(placed, "vector-parts")
+    # the heads are a table of their own, so that the join back can split a component that holds much
+    heads = materialize(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "component-heads")
     placed = placed.join(heads, "component").select("embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(materialize(placed, "placed-vectors"), "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
