@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize, shared_dir
+
+__all__ = ["UPPER", "WORD", "ascii_lower", "bounded_batches", "discard", "keep_rows", "materialize", "numbered", "row_key", "shared_dir", "ship", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,27 +25,6 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (``spark.checkpoint.dir``).
-
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -75,3 +56,20 @@ def keep_rows(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
     """
     held = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), digest).alias("key"))
     return held.join(kept.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds copy, gapless from 0 among the rows that agree in ``keys``.
+
+    Copies are numbered within the parts that a table was read in, and after the counted copies of
+    the parts before, so no task holds all copies of a row.
+    """
+    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "numbered-rows")
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0))) - 1)
+    same = F.col("part") == F.col("_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return within.join(counts, same).withColumn("copy", (F.col("copy") + F.col("before")).cast("long")).drop("part", "before", "_part", *[f"_{k}" for k in keys])

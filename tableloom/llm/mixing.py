@@ -1,6 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule (DataFrame functions only).
 
-Every source's documents are laid end to end in a hashed order and cut into blocks of ``BLOCK``
+Every source's documents are laid end to end in a hashed order (of their ids, and of their numbers among
+rows that repeat id, source and size) and cut into blocks of ``BLOCK``
 words. Slot i of the mix takes the golden-ratio point u(i) = i * g mod 2**32; the source whose
 span of the cumulative target weights holds u(i) fills the slot, and the k-th slot of a source
 takes its block k mod (number of blocks). Slots and blocks meet in an equi-join on
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, numbered
 
 BLOCK = 128
 MAX_EPOCHS = 3
@@ -37,12 +38,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(words, F.lit(0).cast("long")).alias("size"))
 
 
-def source_targets(sizes: DataFrame, cap: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_no, source_size, target, lo, hi: one row per source.
+def source_targets(sizes: DataFrame, cap: int = MAX_EPOCHS, block: int = BLOCK) -> DataFrame:
+    """source, source_no, source_size, target, n_blocks, slots, lo, hi: one row per source.
 
     Shares follow WEIGHTS in code-point order. A target above ``cap`` times its source is cut and
     the excess reshared by weight until none is above: with r = cap * size / weight ascending, the
-    water level is the largest (total - capped before) / (weights from here), in closed form.
+    water level is the largest (total - capped before) / (weights from here), in closed form. A source's slots
+    are its target over the mean size of its blocks, so a last block that is short costs it nothing.
     """
     everything = Window.partitionBy(F.lit(0))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
@@ -57,12 +59,14 @@ def source_targets(sizes: DataFrame, cap: int = MAX_EPOCHS) -> DataFrame:
     )
     per = per.withColumn("level", level)
     per = per.withColumn("target", F.least("most", F.max("level").over(everything) * F.col("weight")))
-    total = F.greatest(F.sum("target").over(everything), F.lit(1e-300))
-    upto = F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    per = per.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    per = per.withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
+    total = F.greatest(F.sum("slots").over(everything), F.lit(1e-300))
+    upto = F.coalesce(F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return per.select(
-        "source", "source_no", "source_size", "target",
+        "source", "source_no", "source_size", "target", "n_blocks", "slots",
         F.round(upto / total * SPAN).cast("long").alias("lo"),
-        F.round((upto + F.col("target")) / total * SPAN).cast("long").alias("hi"),
+        F.round((upto + F.col("slots")) / total * SPAN).cast("long").alias("hi"),
     )
 
 
@@ -93,19 +97,20 @@ def schedule(spark, targets: DataFrame, n_slots: int) -> DataFrame:
 
 
 def laid_out(sizes: DataFrame, targets: DataFrame, n_docs: int, few_sources: bool) -> DataFrame:
-    """doc_id, source, size, source_no, source_size, target, start: documents end to end in hashed order."""
+    """doc_id, source, size, copy, source_no, source_size, target, start: documents end to end in hashed order."""
     side = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     side = F.broadcast(side) if few_sources else side
     n_runs = max(16, math.isqrt(n_docs))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10)
+    name = F.concat(F.lit("mix|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("copy").cast("string"))
+    order = F.conv(F.substring(F.md5(name), 1, 12), 16, 10)
     docs = sizes.join(side, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "source_no", "source_size", "target", order.cast("long").alias("at")
+        "doc_id", "source", "size", "copy", "source_no", "source_size", "target", order.cast("long").alias("at")
     )
     docs = docs.withColumn("run", F.expr(f"at div {2**48 // n_runs}"))
     runs = docs.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("source_no", "run", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("first"))
-    within = Window.partitionBy("source_no", "run").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_no", "run").orderBy("at", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
     return (
         docs.withColumn("start", F.sum("size").over(within) - F.col("size"))
         .join(runs, ["source_no", "run"])
@@ -123,12 +128,11 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     deviates from its target, stay unused.
     """
     spark = docs.sparkSession
-    sizes = materialize(word_counts(docs), "word-counts")  # texts are read once
-    targets = source_targets(sizes)
-    total, n_docs, n_sources = sizes.agg(F.sum("size"), F.count(F.lit(1)), F.approx_count_distinct("source")).first()
+    sizes = materialize(numbered(word_counts(docs), ["doc_id", "source", "size"]), "word-counts")  # texts are read once
+    targets = source_targets(sizes, block=block)
+    n_docs, n_sources = sizes.agg(F.count(F.lit(1)), F.approx_count_distinct("source")).first()
     laid = laid_out(sizes, targets, n_docs, n_sources <= FEW_SOURCES)
-    n_slots = -(-(total or 0) // block)
-    n_blocks = F.expr(f"(source_size + {block - 1}) div {block}")
+    n_slots = round(targets.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0])
     pieces = laid.withColumn(
         "block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     ).select(
@@ -136,7 +140,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("from_word"),
         F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")).alias("to_word"),
     )
-    counts = targets.select("source_no", n_blocks.alias("n_blocks"))
+    counts = targets.select("source_no", "n_blocks")
     counts = F.broadcast(counts) if n_sources <= FEW_SOURCES else counts
     slots = schedule(spark, targets, n_slots).join(counts, "source_no").where("n_blocks > 0").select(
         "slot", "source_no", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("epoch")
@@ -147,13 +151,10 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def taken_words(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, source_no."""
     words = F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word")).otherwise(0))
-    # the start, not only the id, tells repeated rows apart; rows without words may share one
     return (
         mix(docs)
-        .groupBy("doc_id", "size", "source_no", "source_size", "target", "start")
-        .agg(words.alias("taken"), F.count(F.when(F.col("size") == 0, 1)).alias("wordless"))
-        .withColumn("taken", F.col("taken").cast("long"))
-        .withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest("wordless", F.lit(1)))))
+        .groupBy("doc_id", "size", "copy", "source_no", "source_size", "target", "start")
+        .agg(words.cast("long").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken", "source_no")
     )
 
@@ -167,19 +168,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     parts = (
         mix(docs.select("doc_id", "text", "source"))
         .where("slot is not null")
-        .groupBy("doc_id", "source", "start", "size", "epoch")
+        .groupBy("doc_id", "source", "copy", "size", "epoch")
         .agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
-        .groupBy("doc_id", "source", "size")
-        .agg(F.collect_list(F.struct("start", "epoch", "a", "b")).alias("parts"))
+        .groupBy("doc_id", "source", "copy", "size")
+        .agg(F.collect_list(F.struct("epoch", "a", "b")).alias("parts"))  # MAX_EPOCHS at most
     )
     # rows that repeat doc_id, source and size share the parts out by their number
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_key"), F.col("source").alias("source_key"), n.alias("n_words"))
-    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_key", "source_key", "n_words").orderBy("row.text")))
-    starts = F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["start"])))
-    same = F.col("doc_key").eqNullSafe(parts["doc_id"]) & F.col("source_key").eqNullSafe(parts["source"]) & (F.col("n_words") == parts["size"])
-    joined = held.join(parts, same).withColumn("own", F.try_element_at(starts, F.col("nth")))
-    part = joined.select("row", "size", F.explode(F.filter("parts", lambda p: p["start"] == F.col("own"))).alias("p"))
+    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_key", "source_key", "n_words").orderBy("row.text")) - 1)
+    same = F.col("doc_key").eqNullSafe(parts["doc_id"]) & F.col("source_key").eqNullSafe(parts["source"]) & (F.col("n_words") == parts["size"]) & (F.col("nth") == parts["copy"])
+    part = held.join(parts, same).select("row", "size", F.explode("parts").alias("p"))
     whole = (F.col("p.a") == 0) & (F.col("p.b") == F.col("size"))
     text = F.when(whole, F.col("row.text")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.col("p.a") + 1, F.col("p.b") - F.col("p.a")), " ")
@@ -195,22 +194,25 @@ def op8_mixing(spark, sf_dir):
 
 
 ORACLE = rf"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS pos, row_number() OVER () AS id FROM documents),
+    row_number() OVER () AS id FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size ORDER BY id) - 1 AS copy FROM d0),
+d AS (SELECT *, ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy), 1, 12))::BIGINT AS pos FROM c),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_no FROM d GROUP BY source),
 w AS (SELECT *, (source_no % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM p),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(weight) OVER (ORDER BY most / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, least(most, max(level) OVER () * weight) AS target FROM l),
-s AS (SELECT source, source_no, source_size, target, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks,
-  round(coalesce(sum(target) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(target) OVER (), 1e-300) * {SPAN})::BIGINT AS lo,
-  round(sum(target) OVER (ORDER BY source_no) / greatest(sum(target) OVER (), 1e-300) * {SPAN})::BIGINT AS hi FROM t),
-points AS (SELECT i, ((i % {SPAN}) * {GOLDEN}) % {SPAN} AS point FROM range(0, (SELECT CAST((sum(size) + {BLOCK - 1}) // {BLOCK} AS BIGINT) FROM d)) AS g(i)),
+b AS (SELECT *, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks, CASE WHEN source_size > 0 THEN target * ((source_size + {BLOCK - 1}) // {BLOCK}) / source_size ELSE 0.0 END AS slots FROM t),
+s AS (SELECT source, source_no, source_size, target, n_blocks,
+  round(coalesce(sum(slots) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(slots) OVER (), 1e-300) * {SPAN})::BIGINT AS lo,
+  round((coalesce(sum(slots) OVER (ORDER BY source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + slots) / greatest(sum(slots) OVER (), 1e-300) * {SPAN})::BIGINT AS hi FROM b),
+points AS (SELECT i, ((i % {SPAN}) * {GOLDEN}) % {SPAN} AS point FROM range(0, (SELECT CAST(round(sum(slots)) AS BIGINT) FROM b)) AS g(i)),
 ranked AS (SELECT source_no, n_blocks, row_number() OVER (PARTITION BY source_no ORDER BY i) - 1 AS k FROM points JOIN s ON point >= lo AND point < hi),
 uses AS (SELECT source_no, k % n_blocks AS block, count(*) AS n FROM ranked WHERE k // n_blocks < {MAX_EPOCHS} GROUP BY 1, 2),
 laid AS (SELECT d.id, d.doc_id, d.size, s.source_no, s.source_size, s.target,
-  sum(d.size) OVER (PARTITION BY s.source_no ORDER BY pos, doc_id, d.size, id ROWS UNBOUNDED PRECEDING) - d.size AS a FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+  sum(d.size) OVER (PARTITION BY s.source_no ORDER BY pos, doc_id, d.size, copy ROWS UNBOUNDED PRECEDING) - d.size AS a FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 pieces AS (SELECT *, unnest(range(CAST(a // {BLOCK} AS BIGINT), CAST((a + size - 1) // {BLOCK} + 1 AS BIGINT))) AS block FROM laid WHERE size > 0),
 took AS (SELECT id, sum(n * (least((pieces.block + 1) * {BLOCK}, a + size) - greatest(pieces.block * {BLOCK}, a))) AS taken FROM pieces JOIN uses USING (source_no, block) GROUP BY id)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM laid LEFT JOIN took USING (id)"""

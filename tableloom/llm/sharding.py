@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, numbered, shared_dir
 
 N_SLOTS = 16_384
 N_SHARDS = 40
@@ -26,23 +26,6 @@ OVERHEAD = 16
 MAP_SCHEMA = "virtual_slot int, shard int, first_row long"
 
 
-def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds copy, gapless from 0 among the rows that agree in ``keys``.
-
-    Copies are numbered within the parts that a table was read in, and after the counted copies of
-    the parts before, so no task holds all copies of a row.
-    """
-    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "numbered-rows")
-    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0))) - 1)
-    same = F.col("part") == F.col("_part")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return within.join(counts, same).withColumn("copy", (F.col("copy") + F.col("before")).cast("long")).drop("part", "before", "_part", *[f"_{k}" for k in keys])
-
-
 def hashed(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes and overhead), text_crc32, virtual_slot, copy: written once, as sizes are read twice."""
     text = F.coalesce("text", F.lit(""))
