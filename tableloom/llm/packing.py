@@ -4,7 +4,7 @@ Documents are tokenised and cut into pieces of at most ``CAPACITY`` tokens. Only
 length, ``CAPACITY`` numbers at most, reach the driver: best-fit decreasing runs over counts, and
 each of its steps is a slot row "ranks r0..r1 of length l go, k to a sequence, into sequences
 s0.., at offset o". Pieces then take their slots by joining on length and rank within length; ranks
-come from hashed runs whose counts are summed first, so a hot length is never in one task.
+come from runs whose counts are summed first, so a hot length is never in one task.
 
 Defined results: null text counts as empty and packs as its end token alone; repeated rows pack as
 separate documents; null doc_id stays null; other columns are ignored; an empty table gives an
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
 import zlib
 from array import array
 
@@ -29,8 +31,6 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Rows numbered together for one length, on average.
-RUN_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts with characters beyond these, or with special tokens, go to ``tokenizers`` itself.
 WIDE = re.compile("[^\u0000-\u024f\u2010-\u2027]")
@@ -66,12 +66,10 @@ class Encoder:
 
 def _encoder(path: str, ranks: str) -> Encoder:
     """One encoder for each Python worker, whichever task it runs."""
-    import public_tokenizers
-
-    own = public_tokenizers.__dict__.setdefault("encoders_by_path", {})
-    if path not in own:
-        own[path] = Encoder(path, ranks)
-    return own[path]
+    held = sys.modules.setdefault("tableloom_encoders", types.ModuleType("tableloom_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path, ranks)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -144,11 +142,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Adds rank, gapless from 0 within a length, in the order of (run, doc_id, piece)."""
-    n_runs = max(64, sum(counts.values()) // RUN_ROWS)
-    run = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_runs))
-    cut = cut.withColumn("run", run)
+def ranked(cut: DataFrame) -> DataFrame:
+    """Adds rank, gapless from 0 within a length, in the order of (run, doc_id, piece).
+
+    ``run`` is the part that a piece was written in, so a run never grows beyond a task, however many
+    rows are equal.
+    """
     upto = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = cut.groupBy("length", "run").agg(F.count(F.lit(1)).alias("n"))
     runs = runs.select("length", "run", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
@@ -164,13 +163,13 @@ def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: PIECES, sequence_id, offset. The slot table is broadcast: its size is bounded by plan()."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id), "pieces")
+    cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id).withColumn("run", F.spark_partition_id()), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     rows = plan(counts, capacity)
     slots = spark.createDataFrame(rows, "length long, r0 long, r1 long, each long, s0 long, at long")
     here = (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1"))
     place = F.col("rank") - F.col("r0")
-    return ranked(cut, counts).join(F.broadcast(slots), "length").where(here).select(
+    return ranked(cut).join(F.broadcast(slots), "length").where(here).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("s0") + F.floor(place / F.col("each"))).alias("sequence_id"),
         (F.col("at") + place % F.col("each") * F.col("length")).alias("offset"),
