@@ -4,9 +4,10 @@ A message's lines are parsed for nested quote marks, ``>`` once per level. Runs
 are passages; a passage, its paragraphs and its lines are normalised (lower case, single spaces) and
 hashed. The messages' own texts are hashed the same way and pre-aggregated to one row for each hash
 (and for each hash in a conversation), the earliest message, so the join to the originals never
-pairs up the messages that share a common line. A quoting message replies to the original of its
-longest first-level match: the earliest message before it in its own conversation, else the earliest
-before it in (conv_id, turn) order anywhere. Replies follow from their thread's first message by
+pairs up the messages that share a common line. A quoting message replies to the original of the
+match at the lowest quote level, of these the longest: the earliest message before it in its own
+conversation, else the earliest before it in (conv_id, turn) order anywhere. So a deeper passage links
+where none above it has an original. Replies follow from their thread's first message by
 pointer doubling over paths; within a thread messages are ordered by path, that is by reply.
 
 Defined results: null text counts as empty and stays empty; a message without quote marks keeps its text
@@ -25,7 +26,7 @@ from .common import materialize
 
 MARK = r"^(?:[ \t]*>)+"
 #: A line that introduces a quotation, dropped if a quoted line follows it.
-INTRODUCES = r"(?i)^\s*(on\b.{0,200}\bwrote|.{1,200}\b(wrote|schrieb|a écrit|escribió))\s*:\s*$"
+INTRODUCES = r"(?i)^\s*(on\b.*\bwrote|.+\b(wrote|schrieb|a écrit|escribió))\s*:\s*$"
 MIN_CHARS = 12
 
 
@@ -79,19 +80,21 @@ def units(c: Column) -> Column:
 def reply_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_conv, reply_turn: one row for each (conv_id, turn) that replies."""
     known = messages.where("conv_id is not null and turn is not null")
+    quoted = known.where("quote_depth > 0").select("conv_id", "turn", F.explode("passages").alias("p"))
+    quoted = quoted.select("conv_id", "turn", "p.level", F.explode(units(F.col("p.text"))).alias("u"))
+    quoted = quoted.groupBy("conv_id", "turn", F.col("u.hash").alias("hash"), F.col("u.chars").alias("chars")).agg(F.min("level").alias("level"))
+    quoted = materialize(quoted, "quoted-units")
     own = known.select("conv_id", "turn", F.explode(units(F.col("text"))).alias("u")).select("conv_id", "turn", F.col("u.hash").alias("hash"))
-    first = F.min(F.struct("conv_id", "turn")).alias("o")
-    here = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"))
-    there = own.groupBy("hash").agg(first)
-    quoted = known.where("quote_depth > 0").select("conv_id", "turn", F.explode("passages").alias("p")).where("p.level = 1")
-    quoted = quoted.select("conv_id", "turn", F.explode(units(F.col("p.text"))).alias("u"))
-    quoted = quoted.select("conv_id", "turn", F.col("u.hash").alias("hash"), F.col("u.chars").alias("chars")).distinct()
+    own = own.join(materialize(quoted.select("hash").distinct(), "quoted-hashes"), "hash", "left_semi")
+    # tables of their own, so that the joins can split a line that very many messages quote
+    here = materialize(own.groupBy("hash", "conv_id").agg(F.min("turn").alias("here")), "originals-here")
+    there = materialize(here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("o")), "originals")
     met = quoted.join(here, ["hash", "conv_id"], "left").join(there, "hash", "left")
     me = F.struct("conv_id", "turn")
     original = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn"))).when(F.col("o") < me, F.col("o"))
-    found = met.select("conv_id", "turn", "chars", original.alias("original")).where("original is not null")
-    # the longest match; of equal ones the same conversation, then the earliest
-    rank = F.struct("chars", (F.col("original.conv_id") == F.col("conv_id")).alias("same"), -F.col("original.conv_id"), -F.col("original.turn"))
+    found = met.select("conv_id", "turn", "level", "chars", original.alias("original")).where("original is not null")
+    # the lowest level, then the longest match; of equal ones the same conversation, then the earliest
+    rank = F.struct(-F.col("level"), "chars", (F.col("original.conv_id") == F.col("conv_id")).alias("same"), -F.col("original.conv_id"), -F.col("original.turn"))
     best = found.groupBy("conv_id", "turn").agg(F.max_by("original", rank).alias("original"))
     return best.select("conv_id", "turn", F.col("original.conv_id").alias("reply_conv"), F.col("original.turn").alias("reply_turn"))
 
@@ -181,16 +184,16 @@ marked AS (SELECT *, len(regexp_replace(regexp_extract(l, '^(?:[ \t]*>)+'), '[^>
 flow AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM marked WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
 runs AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM flow),
 own AS (SELECT conv_id, turn, max(level) AS depth, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(after, 0) > 0
-  AND regexp_matches(l, '(?i)^\s*(on\b.{0,200}\bwrote|.{1,200}\b(wrote|schrieb|a écrit|escribió))\s*:\s*$'))), '') AS text FROM runs GROUP BY 1, 2),
+  AND regexp_matches(l, '(?i)^\s*(on\b.*\bwrote|.+\b(wrote|schrieb|a écrit|escribió))\s*:\s*$'))), '') AS text FROM runs GROUP BY 1, 2),
 m AS (SELECT raw.conv_id, raw.turn, role, CASE WHEN depth > 0 THEN regexp_replace(own.text, '^\s+|\s+$', '', 'g') ELSE old END AS text, CAST(depth AS INT) AS quote_depth
   FROM raw JOIN own ON raw.conv_id = own.conv_id AND raw.turn = own.turn),
-passages AS (SELECT conv_id, turn, run, string_agg(body, chr(10) ORDER BY i) AS text FROM runs WHERE level = 1 GROUP BY 1, 2, 3),
-whole AS (SELECT conv_id, turn, text, false AS quoted FROM m UNION ALL SELECT conv_id, turn, text, true FROM passages),
+passages AS (SELECT conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY i) AS text FROM runs WHERE level > 0 GROUP BY 1, 2, 3, 4),
+whole AS (SELECT conv_id, turn, text, 0 AS quoted FROM m UNION ALL SELECT conv_id, turn, text, level FROM passages),
 part AS (SELECT conv_id, turn, quoted, text AS whole, unnest(list_concat(list_concat([text], regexp_split_to_array(text, '\n\s*\n')), string_split(text, chr(10)))) AS u FROM whole),
 unit AS (SELECT DISTINCT conv_id, turn, quoted, lower(trim(regexp_replace(u, '\s+', ' ', 'g'))) AS u, lower(trim(regexp_replace(whole, '\s+', ' ', 'g'))) AS w FROM part),
 good AS (SELECT DISTINCT conv_id, turn, quoted, u FROM unit WHERE len(u) >= 12 OR (u = w AND len(u) > 0)),
-pairs AS (SELECT q.conv_id, q.turn, len(q.u) AS chars, o.conv_id AS oc, o.turn AS ot FROM good q JOIN good o ON q.u = o.u AND NOT o.quoted AND (o.conv_id, o.turn) < (q.conv_id, q.turn) WHERE q.quoted),
-best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, oc = conv_id DESC, oc, ot) AS rn FROM pairs),
+pairs AS (SELECT q.conv_id, q.turn, q.quoted AS level, len(q.u) AS chars, o.conv_id AS oc, o.turn AS ot FROM good q JOIN good o ON q.u = o.u AND o.quoted = 0 AND (o.conv_id, o.turn) < (q.conv_id, q.turn) WHERE q.quoted > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, oc = conv_id DESC, oc, ot) AS rn FROM pairs),
 reply AS (SELECT conv_id, turn, oc, ot FROM best WHERE rn = 1),
 walk(conv_id, turn, path, thread, depth) AS (
   SELECT conv_id, turn, [{'c': conv_id, 't': turn}], conv_id, 0 FROM m WHERE NOT EXISTS (SELECT 1 FROM reply r WHERE r.conv_id = m.conv_id AND r.turn = m.turn)
