@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,10 +65,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for these frames; nothing may read them afterwards."""
+    """Delete what :func:`materialize` wrote for these frames, which nothing may read afterwards, and let Spark
+    drop the shuffle files of plans that are no longer referred to: it learns of those as the driver collects
+    its garbage, which in a job of many steps can come late."""
     for df in frames:
         if path := getattr(df, "kept_at", None):
             delete(df.sparkSession, path)
+    if spark := SparkSession.getActiveSession():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
