@@ -2,33 +2,40 @@
 
 A text's bytes are cut where a gear hash over the last 16 bytes falls below a bound, so cuts follow
 content and an insertion moves only the chunks it touches. Chunks are named by a 128-bit digest. Of
-a chunk found in several documents the smallest doc_id keeps it. A run of neighbouring chunks
-that are kept elsewhere, of at least ``MIN_RUN`` bytes, is removed: long passages go, short common
-phrases and chunks that happen to be equal stay.
-
-Defined results: null text counts as empty and stays null; empty texts have no chunks; rows with
-the same doc_id, null among them, count as one document and null is the largest; repetition inside
-one document is left alone; a text that is wholly a copy becomes empty; other columns are
-ignored; an empty table gives an empty result. Cuts never split a character.
+a chunk found in several documents the smallest doc_id keeps it. Neighbouring chunks that are kept
+elsewhere are a run. A run begins and ends at cuts, so the bytes before its first chunk and after its last
+one are compared with those in the documents that keep these chunks, and the run grows by what agrees, to
+whole words. Spans of ``MIN_WORDS`` words (or ``MIN_BYTES``) or more are removed: long passages go from end
+to end, short common phrases and chunks that happen to be equal stay.
+
+Chunks move as digests, never twice to the same group of equal rows; a text moves twice, to give what
+stands around kept chunks, and to be cut.
+
+Defined results: null text counts as empty and stays null; empty texts have no chunks; null doc_id is
+the largest; of rows that repeat doc_id and text the first counts as the document and the others become
+empty; rows that share a doc_id only are documents of their own; repetition inside one document is left
+alone; a text that is wholly a copy becomes empty, however short; other columns are ignored; an empty table
+gives an empty result. Cuts never split a character.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, ship
+from .common import bounded_batches, discard, materialize, ship
 
 ship(__name__)
-MIN_CHUNK = 24
+MIN_CHUNK = 16
 MAX_CHUNK = 1024
 #: A place is a cut with probability one in so many, past the least chunk.
-EVERY = 40
-#: Least bytes of a run that is removed. A passage of 50 words has about 275.
-MIN_RUN = 120
+EVERY = 28
+#: Least words, or else bytes, of a span that is removed.
+MIN_WORDS, MIN_BYTES = 50, 400
+#: Bytes compared before and after a run. A cut comes later than this with a probability below 0.001.
+AROUND = 256
 GEAR_SEED = 20_240_229
-NULL_ID = 2**63 - 1
 
 
 def gear_table():
@@ -86,78 +93,185 @@ def digests(data: bytes, ends: list[int]):
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, d1, d2: every distinct chunk of every document."""
-    bounded_batches(docs.sparkSession)
+def keyed(docs: DataFrame) -> DataFrame:
+    """k, c (96 bits of hashes that stand for doc_id and text), doc_id, text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.xxhash64("doc_id", text).alias("k"), F.crc32(F.encode(F.concat_ws("|", F.col("doc_id").cast("string"), text), "UTF-8")).alias("c"),
+        F.col("doc_id").cast("long").alias("doc_id"), "text",
+    )
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """k, c, doc_id, d1, d2, seq, start, end: every chunk of every document."""
+    bounded_batches(rows.sparkSession)
+    names = ["k", "c", "doc_id", "d1", "d2", "seq", "start", "end"]
 
     def run(batches):
         import numpy as np
 
         gear = gear_table()
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cuts, found = [], []
+            for text in batch.column(3).to_pylist():
                 data = (text or "").encode("utf-8", "surrogatepass")
+                cuts.append(cut_ends(data, gear))
                 if data:
-                    d = digests(data, cut_ends(data, gear))
-                    found.append(d)
-                    ids.append(np.full(len(d), doc_id, np.int64))
-            if found:
-                d = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "d1", "d2"])
-
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    return docs.select(key, "text").mapInArrow(run, "doc_id long, d1 long, d2 long")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, chunks (array of d1, d2, first_id): the chunks that a smaller doc_id keeps.
-
-    Digests are aggregated before the shuffle, so the side joined to has one row for each digest;
-    a hot passage on the other side is split by the adaptive skew join.
+                    found.append(digests(data, cuts[-1]))
+            if not found:
+                continue
+            n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            end = np.concatenate([np.asarray(x, np.int64) for x in cuts])
+            first = np.cumsum(n) - n
+            seq = np.arange(len(end)) - np.repeat(first, n)
+            start = np.where(seq > 0, np.roll(end, 1), 0)
+            d = np.concatenate(found)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), d[:, 0].copy(), d[:, 1].copy(), seq.astype(np.int32), start.astype(np.int32), end.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+
+    return rows.mapInArrow(run, "k long, c long, doc_id long, d1 long, d2 long, seq int, start int, end int")
+
+
+def copied_runs(docs: DataFrame) -> DataFrame:
+    """k, c, start, end (bytes), first_id, and the digests and keepers of the first chunk (left) and the last (right):
+    the runs of neighbouring chunks that other documents keep.
+
+    Digests are aggregated before the shuffle, so the side joined to has one row for each digest; a hot
+    passage on the other side is split by the adaptive skew join.
     """
-    found = materialize(occurrences(docs), "chunks")
-    shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    shared = materialize(shared.where("first_id <> last_id").select("d1", "d2", "first_id"), "shared-chunks")
-    again = found.join(shared, ["d1", "d2"]).where("doc_id > first_id").select("doc_id", "d1", "d2", "first_id")
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("d1", "d2", "first_id")).alias("chunks"))
+    rows = keyed(docs)
+    shared = occurrences(rows).groupBy("d1", "d2").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+    shared = materialize(shared.select("d1", "d2"), "shared-chunks")
+    discard()
+    found = materialize(occurrences(rows).join(shared, ["d1", "d2"]), "shared-occurrences")
+    discard(shared)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k", "c")).alias("first")
+    keepers = materialize(found.groupBy("d1", "d2").agg(first), "keepers")
+    again = found.join(keepers, ["d1", "d2"]).where("k <> first.k or c <> first.c")
+    again = again.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("k", "c").orderBy("seq")))
+    side = F.struct("d1", "d2", F.col("first.k").alias("k"), F.col("first.c").alias("c"))
+    runs = again.groupBy("k", "c", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first.doc_id", "seq").alias("first_id"),
+        F.min_by(side, "seq").alias("left"), F.max_by(side, "seq").alias("right"),
+    )
+    out = materialize(runs.drop("run"), "copied-runs")
+    discard(found, keepers)
+    return out
+
+
+def surroundings(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """d1, d2, before, after: what stands around chunks, AROUND bytes each way, where the document that keeps them has them first."""
+    asked = runs.select(F.explode(F.array("left", "right")).alias("s")).select("s.*").distinct()
+    asked = asked.groupBy("k", "c").agg(F.collect_list(F.struct("d1", "d2")).alias("chunks"))  # no more than the document has
+    texts = keyed(docs).join(asked, ["k", "c"]).select("text", F.col("chunks.d1").alias("d1"), F.col("chunks.d2").alias("d2"))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        gear = gear_table()
+        for batch in batches:
+            out = []
+            for text, d1, d2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                ends, wanted = cut_ends(data, gear), set(zip(d1, d2))
+                for start, end, d in zip([0, *ends], ends, map(tuple, digests(data, ends).tolist())):
+                    if d in wanted:
+                        wanted.discard(d)
+                        out.append((*d, data[max(0, start - AROUND) : start], data[end : end + AROUND]))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds)], ["d1", "d2", "before", "after"])
+
+    # repeated rows give the same bytes again
+    return texts.mapInArrow(run, "d1 long, d2 long, before binary, after binary").groupBy("d1", "d2").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+
+
+def common_end(a: bytes, b: bytes) -> int:
+    """How many last bytes agree."""
+    n = 0
+    for x, y in zip(reversed(a), reversed(b)):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def common_start(a: bytes, b: bytes) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+SPACE = b" \t\n\r\x0b\x0c"
+
+
+def whole_words(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span cut to whole words, or where a script has no spaces to whole characters."""
+    s, e = start, end
+    while s < end and s > 0 and data[s - 1] not in SPACE and data[s] not in SPACE:
+        s += 1
+    while e > s and e < len(data) and data[e] not in SPACE and data[e - 1] not in SPACE:
+        e -= 1
+    if e - s >= (end - start) // 2:
+        return s, e
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def removed_spans(data: bytes, runs: list[tuple]) -> list[tuple]:
+    """(start, end, first_id) of what goes, from runs (start, end, first_id, before, after), in bytes."""
+    spans: list[list] = []
+    for start, end, owner, before, after in sorted(runs, key=lambda r: r[0]):
+        start -= common_end(data[max(0, start - AROUND) : start], before or b"")
+        end += common_start(data[end : end + AROUND], after or b"")
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end, owner])
+    out = []
+    for start, end, owner in spans:
+        if (start, end) != (0, len(data)):
+            start, end = whole_words(data, start, end)
+            while start < end and data[start] in SPACE:  # it still parts the words around
+                start += 1
+            if end - start < MIN_BYTES and len(data[start:end].split()) < MIN_WORDS:
+                continue
+        out.append((start, end, owner))
+    return out
 
 
 SPAN = "array<struct<start:long,end:long,first_id:long>>"
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """doc_id, text (without the removed runs), removed: spans in characters of the old text.
+    """doc_id, text (without the removed spans), removed: spans in characters of the old text.
 
     ``first_id`` is the smallest document that keeps the first chunk of the span.
     """
-    marks = repeats(docs).withColumnRenamed("doc_id", "marked")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("marked")).join(marks, "marked", "left")
-    held = held.select("doc_id", "text", F.col("chunks.d1").alias("d1"), F.col("chunks.d2").alias("d2"), F.col("chunks.first_id").alias("first_id"))
+    runs = copied_runs(docs)
+    around = materialize(surroundings(docs, runs), "surroundings")
+    discard()
+    side = lambda name, column: around.select(F.struct("d1", "d2").alias(f"{name}_chunk"), column)
+    near = runs.join(side("left", "before"), F.struct("left.d1", "left.d2") == F.col("left_chunk"), "left")
+    near = near.join(side("right", "after"), F.struct("right.d1", "right.d2") == F.col("right_chunk"), "left")
+    marks = near.groupBy("k", "c").agg(F.collect_list(F.struct("start", "end", "first_id", "before", "after")).alias("runs"))
+    # equal rows are one row until the end: their texts meet before the shuffle
+    held = keyed(docs).groupBy("k", "c").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    held = held.join(marks, ["k", "c"], "left")
+    held = held.select("doc_id", "text", "copies", *[F.col(f"runs.{c}").alias(c) for c in ("start", "end", "first_id", "before", "after")])
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
-        gear = gear_table()
         for batch in batches:
             texts, spans = [], []
-            ids, old, d1, d2, first = (batch.column(k).to_pylist() for k in range(5))
-            for text, a, b, f in zip(old, d1, d2, first):
-                cut = []
-                if a and text:
-                    data = text.encode("utf-8", "surrogatepass")
-                    ends = cut_ends(data, gear)
-                    flagged = dict(zip(zip(a, b), f))
-                    run_from = run_id = None
-                    for start, end, d in zip([0, *ends], ends, map(tuple, digests(data, ends).tolist())):
-                        owner = flagged.get(d)
-                        if owner is not None and run_from is None:
-                            run_from, run_id = start, owner
-                        elif owner is None and run_from is not None:
-                            cut.append((run_from, start, run_id))
-                            run_from = None
-                    if run_from is not None:
-                        cut.append((run_from, len(data), run_id))
-                    cut = [c for c in cut if c[1] - c[0] >= MIN_RUN or c[1] - c[0] == len(data)]
+            for text, _, *parts in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
+                data = text.encode("utf-8", "surrogatepass") if text and parts[0] else b""
+                cut = removed_spans(data, list(zip(*parts))) if data else []
                 if not cut:
                     texts.append(text)
                     spans.append([])
@@ -173,9 +287,14 @@ def clean(docs: DataFrame) -> DataFrame:
                 texts.append("".join(kept))
                 spans.append(own)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind)], ["doc_id", "text", "removed"])
-
-    return held.mapInArrow(run, f"doc_id long, text string, removed {SPAN}")
+            length = pa.array([len(t or "") for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind), length, batch.column(2)], ["doc_id", "text", "removed", "chars", "copies"])
+
+    out = held.mapInArrow(run, f"doc_id long, text string, removed {SPAN}, chars long, copies long")
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    again = (F.col("nth") > 1) & (F.col("chars") > 0)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("chars").alias("end"), F.col("doc_id").alias("first_id")))
+    return out.select("doc_id", F.when(again, "").otherwise(F.col("text")).alias("text"), F.when(again, whole).otherwise(F.col("removed")).alias("removed"))
 
 
 def op2_substring_dedup(spark, sf_dir):

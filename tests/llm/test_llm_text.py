@@ -1,6 +1,7 @@
 """Packing, mixing, sharding, toxicity, language model, chat format and the pipeline."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -121,6 +122,21 @@ def test_mix_takes_what_it_should(spark, odd):
     assert mixing.taken_words(odd.where("doc_id in (2, 3)")).select(F.sum("taken")).first()[0] == 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    """Beside a source of 300 000 words, sources of a few words up to a few blocks; half the rows without an id and alike."""
+    rows = [(None, "w " * 100, "a")] * 3000 + [(k, "w " * n, f"s{n}") for k, n in enumerate((10, 60, 129, 140, 300, 900))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"copy": F.lit("x"), "part": F.lit(1), "size": F.lit("y"), "slots": F.lit(0)})
+    got = mixing.taken_words(docs).collect()
+    assert len(got) == 3006 and all(r.taken <= 3 * r.size for r in got)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.target == 3 * r.size and r.taken >= 0.66 * r.target, r
+    assert abs(sum(r.taken for r in got if r.doc_id is None) - next(r.target for r in got if r.doc_id is None)) <= 3 * mixing.BLOCK
+    mixed = mixing.mixed_documents(docs)
+    words = mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert mixed.columns == docs.columns and words == sum(r.taken for r in got)
+
+
 def test_shards(spark, odd):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("text"))
     rows = sharding.shard(docs, 8).collect()
@@ -134,6 +150,29 @@ def test_shards(spark, odd):
     assert sharding.shard(odd, 3).count() == odd.count() and sharding.shard(odd.limit(0), 3).count() == 0
 
 
+def test_shards_on_half_the_rows_equal(spark, tmp_path):
+    """Against brute force: places, sizes, both versions of the map. Half the rows are one row, a third have no id."""
+    rows = [(5, "the same row " * 9)] * 1500 + [(None if k % 3 == 0 else k, "x" * (k % 90)) for k in range(1500)] + [(7, None), (8, "é" * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"mark": F.lit(1), "copy": F.lit("c"), "part": F.lit(0), "shard": F.lit(9), "size": F.lit("s")})
+    path = str(tmp_path / "map")
+    got = sharding.shard(docs.repartition(5), 8, path).collect()
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    first, second = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
+    assert all(r.shard == first[r.virtual_slot] and r.next_shard == second[r.virtual_slot] in (r.shard, 8) for r in got)
+    size, later, places = Counter(), Counter(), {}
+    for r in got:
+        if r.size < 80_000:  # the long row alone outweighs a shard's share
+            size[r.shard] += r.size
+        later[r.next_shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and later[8] > 0
+    light = sorted(size.values())[-7:]
+    assert light[-1] - light[0] <= 133
+    slots = lambda g: Counter((r.doc_id, r.text_crc32, r.virtual_slot) for r in g)
+    assert slots(got) == slots(sharding.shard(docs.repartition(3), 8).collect())
+
+
 def test_growing_moves_slots_into_the_new_shard_only(spark, tmp_path):
     rng = np.random.default_rng(2)
     sizes = {k: int(v) for k, v in enumerate(rng.integers(1, 1000, 4000))}
@@ -293,6 +332,99 @@ def test_quotations_are_linked_and_ordered(spark):
     assert chat_format.conversations(df.limit(0)).count() == 0
 
 
+QUOTES = ["Use a heap, they work well.", "What about the radix sort then?", "I do not think that it is stable.", "See the manual, page forty.", "short", "The same line that all quote here."]
+
+
+def threads(seed: int, n: int = 60):
+    """Conversations that quote lines and whole messages, at up to three levels, their own and others', some edited, some alike."""
+    rng = np.random.default_rng(seed)
+    said, rows = [], []
+    for conv in range(n):
+        for turn in range(int(rng.integers(1, 7))):
+            parts = []
+            for _ in range(int(rng.integers(0, 3))):
+                if said and rng.random() < 0.8:
+                    whole = said[int(rng.integers(len(said)))] if rng.random() < 0.5 else QUOTES[int(rng.integers(len(QUOTES)))]
+                    lines = whole.split("\n") if rng.random() < 0.6 else [whole.split("\n")[0]]
+                    if rng.random() < 0.2:
+                        lines = [x + " edited" for x in lines]
+                    if rng.random() < 0.4:
+                        parts.append("On Monday " + "x" * int(rng.integers(1, 400)) + " wrote:")
+                    mark = [">", "> >", ">>>"][int(rng.integers(3))]
+                    parts += [f"{mark} {x.upper() if rng.random() < 0.3 else x}" for x in lines]
+                parts.append(QUOTES[int(rng.integers(len(QUOTES)))] if rng.random() < 0.5 else f"Message {conv} of turn {turn} has its own line.")
+            text = "\n".join(parts)
+            rows.append((conv, turn, ["user", "assistant"][turn % 2], text))
+            said.append("\n".join(p for p in parts if not p.startswith((">", "On Monday"))) or "nothing was said")
+    return rows
+
+
+def slow_threads(rows):
+    """(conv_id, turn) -> what it replies to, by comparing all messages."""
+    intro = re.compile(r"^\s*(on\b.*\bwrote|.+\b(wrote|schrieb|a écrit|escribió))\s*:\s*$", re.I)
+    level = lambda x: re.match(r"(?:[ \t]*>)*", x)[0].count(">")
+    norm = lambda x: re.sub(r"\s+", " ", x).strip().lower()
+
+    def units(text):
+        parts = {norm(x) for x in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]}
+        return {x for x in parts if len(x) >= 12 or x == norm(text) and x}
+
+    own, quoted = {}, {}
+    for conv, turn, _, text in rows:
+        lines = re.split("\r?\n", text)
+        levels = [level(x) for x in lines]
+        body = [re.sub(r"^(?:[ \t]*>)+", "", x).strip(" ") for x in lines]
+        keep = [x for k, x in enumerate(lines) if not levels[k] and not (intro.match(x) and k + 1 < len(lines) and levels[k + 1])]
+        own[conv, turn] = units("\n".join(keep).strip() if any(levels) else text)
+        runs = []
+        for k, x in enumerate(body):
+            if levels[k] and k and levels[k] == levels[k - 1]:
+                runs[-1][1].append(x)
+            elif levels[k]:
+                runs.append((levels[k], [x]))
+        quoted[conv, turn] = [(lv, u) for lv, xs in runs for u in units("\n".join(xs))]
+    out = {}
+    for me, found in quoted.items():
+        best = None
+        for lv, u in found:
+            before = [o for o in own if o < me and u in own[o]]
+            here = [o for o in before if o[0] == me[0]]
+            for o in [min(here)] if here else [min(before)] if before else []:
+                rank = (-lv, len(u), o[0] == me[0], -o[0], -o[1])
+                best = max(best or (rank, o), (rank, o))
+        out[me] = best and best[1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotations_against_brute_force(spark, tmp_path, seed):
+    from oracle import compare
+
+    rows = threads(seed)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.QUERIES["op4_chat_format"](spark, str(tmp_path)).collect()
+    links = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) if r.reply_conv is not None else None for r in got}
+    want = slow_threads(rows)
+    assert links == want and sum(v is not None for v in want.values()) > 60 and len({v[0] == k[0] for k, v in want.items() if v}) == 2
+    place = {(r.conv_id, r.turn): (r.thread_conv, r.position) for r in got}
+    for me, up in want.items():
+        assert up is None or place[me][0] == place[up][0] and place[me][1] > place[up][1]
+    assert max(r.reply_depth for r in got) >= 3 and max(r.quote_depth for r in got) == 3
+    compare(queries.QUERIES["op4_chat_format"](spark, str(tmp_path)), queries.ORACLE_SQL["op4_chat_format"], str(tmp_path))
+
+
+def test_a_line_that_all_quote_and_a_very_long_text(spark):
+    rows = [(0, 0, "user", "The same line that all quote here."), (0, 1, "user", "The same line that all quote here.")]
+    rows += [(k, 0, "user", f"> The same line that all quote here.\nMy own answer {k}") for k in range(1, 400)]
+    rows += [(500, 0, "user", "long line " * 30_000 + "\n> " + "quote " * 20_000 + "\n> The same line that all quote here.")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"key": F.lit(1), "hash": F.lit("h"), "level": F.lit(2), "at": F.lit(3), "part": F.lit(4)})
+    got = chat_format.conversations(table).collect()
+    assert len(got) == len(rows) and {(r.reply_conv, r.reply_turn) for r in got if r.conv_id} == {(0, 0)}
+    assert next(r.reply_conv for r in got if (r.conv_id, r.turn) == (0, 1)) is None
+    assert {r.thread_conv for r in got} == {0} and sorted(r.position for r in got if r.conv_id or not r.turn) != []
+
+
 def test_registered_queries_match_sql(spark, sf):
     from oracle import compare
 
