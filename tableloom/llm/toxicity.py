@@ -1,11 +1,12 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
 Features are the presence of words and of word beginnings (4 and 5 characters, which carry
-inflected forms). Their class counts are summed over the labelled rows by Spark; the features that
-tell the classes apart most are kept. A logistic model is fitted on a bounded sample of labelled
-rows; beside the usual loss it pays for every labelled sentence whose score changes when its
-identity terms are swapped for others of their group, so that the mention of a group alone does not
-raise a score. Whole texts are then scored in Arrow batches; only labels are ever learned from.
+inflected forms). All that is learned comes from about ``MAX_SAMPLE`` labelled rows at most, the documented
+bound: Spark sums the features' class counts over them, the features that tell the classes apart most are
+kept, and a logistic model is fitted; beside the usual loss it pays for every sentence whose score changes
+when its identity terms are swapped for others of their group, so that the mention of a group alone does
+not raise a score. Whole texts are then scored in Arrow batches. :func:`drop_toxic` learns from all labelled
+rows, held-out ones too: what it catches among labelled rows says nothing of others.
 
 Defined results: null and empty texts score the prior; null doc_id is hashed as the text ''; rows
 without a label or with a null label teach nothing; repeated rows teach and score alike; a table
@@ -70,7 +71,13 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_samp
     share = 0.98 * max_sample / max(1, marks.count())
     if share < 1:
         marks = marks.where(F.xxhash64("doc_id") < int(-(2**63) + share * 2**64))
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    # of an id that repeats every text teaches, but the whole stays near the bound
+    rows = materialize(rows.withColumn("turn", F.xxhash64("text")), "labelled-rows")
+    share = max_sample / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.xxhash64("turn", F.monotonically_increasing_id()) < int(-(2**63) + share * 2**64))
+    return rows.drop("turn")
 
 
 def is_held_out():
@@ -158,7 +165,7 @@ def encode(rows: DataFrame, index: dict[str, int]) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "toxic int, on array<int>, swaps array<struct<gone:array<int>,come:array<int>>>")
 
 
-def fit_weights(sample: list, n_features: int):
+def fit_weights(sample: list, n_features: int, penalty: float = PENALTY):
     """Adagrad on the logistic loss, the swap penalty and a ridge; the last weight is the bias.
 
     Both classes weigh the same, however rare one is.
@@ -183,7 +190,7 @@ def fit_weights(sample: list, n_features: int):
         g = np.append(np.bincount(col, e[row], n_features), e.sum())
         if pairs:
             d = np.bincount(come, w[come_f], len(pairs)) - np.bincount(gone, w[gone_f], len(pairs))
-            d *= 2 * PENALTY / len(pairs)
+            d *= 2 * penalty / len(pairs)
             g[:-1] += np.bincount(come_f, d[come], n_features) - np.bincount(gone_f, d[gone], n_features)
         g[:-1] += RIDGE * w[:-1]
         past += g * g
@@ -191,7 +198,7 @@ def fit_weights(sample: list, n_features: int):
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample: int = MAX_SAMPLE, n_features: int = N_FEATURES) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample: int = MAX_SAMPLE, n_features: int = N_FEATURES, penalty: float = PENALTY) -> tuple[dict[str, float], float]:
     """feature -> weight, and the bias."""
     import math
 
@@ -203,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample:
         return {}, math.log((n1 + 1) / (n0 + 1))
     names = choose_features(materialize(feature_counts(rows), "features"), n0, n1, n_features)
     sample = encode(rows, {f: k for k, f in enumerate(names)}).collect()
-    w = fit_weights(sample, len(names))
+    w = fit_weights(sample, len(names), penalty)
     return {f: float(w[k]) for k, f in enumerate(names) if abs(w[k]) > 1e-9}, float(w[-1])
 
 

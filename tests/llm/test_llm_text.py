@@ -193,22 +193,60 @@ def test_toxicity_on_held_out_rows(spark):
     rows, marks = [], []
     for k in range(600):
         bad = k % 4 == 0
-        words = [f"w{n}" for n in rng.integers(0, 300, 60)] + (["nasty", "vileword"] if bad else []) + (["women"] if k % 8 in (0, 1) and k % 3 else [])
+        words = [f"w{n}" for n in rng.integers(0, 300, 60)] + (["nasty", "vileword"] if bad else [])
         rng.shuffle(words)
         rows.append((k, " ".join(words) + ". Another sentence"))
         marks.append((k, int(bad)))
-    docs = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string").withColumn("score", F.lit(1))
-    labels = spark.createDataFrame(marks + [(900, None)], "doc_id long, toxic int")
+    odd = [(900, None), (901, ""), (None, "no id, but a vileword and nasty"), (902, "long " * 60_000 + "nasty vileword")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumns({"score": F.lit(1), "row": F.lit("r"), "toxic": F.lit(2)})
+    labels = spark.createDataFrame(marks + [(900, None), (None, 1)], "doc_id long, toxic int")
     weights, bias = toxicity.train(docs, labels)
-    assert abs(weights.get("women", 0.0) - weights.get("men", 0.0)) < 0.5
     got = toxicity.score(docs, weights, bias).select("row.doc_id", "score").collect()
-    held = [r for r in got if r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     right = sum((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in held)
-    assert len(held) > 100 and right / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got) and len(got) == 602
+    assert len(held) > 100 and right / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got) and len(got) == 604
+    slow = lambda t: 1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in toxicity.features(t)))))
+    assert all(math.isclose(r.score, slow(t), rel_tol=1e-9) for r, t in zip(sorted(got, key=lambda r: str(r.doc_id)), [t for _, t in sorted(rows + odd, key=lambda r: str(r[0]))]))
+    assert min(r.score for r in got if r.doc_id in (None, 902)) > 0.7
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and 440 <= kept.count() <= 460
     nothing, prior = toxicity.train(docs, labels.where("toxic = 0"))
     assert nothing == {} and prior < 0
+    assert toxicity.train(docs.limit(0), labels)[0] == {} and toxicity.score(docs.limit(0), weights, bias).count() == 0
+
+
+def test_the_penalty_spares_neutral_mentions(spark):
+    """Toxic rows mention one group far more often. Without the penalty the mention alone raises a score."""
+    rng = np.random.default_rng(6)
+    rows, marks = [], []
+    for k in range(900):
+        bad = k % 2 == 0
+        words = [f"w{n}" for n in rng.integers(0, 400, 25)] + (["vileword"] if bad and rng.random() < 0.75 else [])
+        words += ["women"] if rng.random() < (0.8 if bad else 0.08) else ["men"] if rng.random() < 0.5 else []
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    neutral = [" ".join(f"w{n}" for n in rng.integers(0, 400, 25)) + " women" for _ in range(300)]
+    alarms = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        weights, bias = toxicity.train(docs, labels, penalty=penalty)
+        gap = weights.get("women", 0.0) - weights.get("men", 0.0)
+        z = [bias + sum(weights.get(f, 0.0) for f in toxicity.features(t)) for t in neutral]
+        caught = bias + weights["vileword"] + weights.get("women", 0.0)
+        alarms[penalty] = (gap, sum(x > 0 for x in z) / len(z), caught)
+    print(alarms)
+    assert alarms[0.0][0] > 1 and abs(alarms[toxicity.PENALTY][0]) < 0.3
+    assert alarms[0.0][1] > 0.5 and alarms[toxicity.PENALTY][1] < 0.2 and alarms[toxicity.PENALTY][2] > 0
+
+
+def test_toxicity_on_the_tables(spark, query_sf):
+    """Held-out rows of the given tables: the share of (toxic, clean) pairs in the right order."""
+    got = queries.QUERIES["op6_toxicity"](spark, query_sf).join(spark.read.parquet(f"{query_sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    bad, good = ([r.score for r in got if r.toxic == t] for t in (1, 0))
+    auc = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
+    print(f"AUC {auc:.3f} on {len(bad)} toxic and {len(good)} clean rows")
+    assert auc > 0.7 and sum(x >= 0.7 for x in bad) >= 0.7 * len(bad) and sum(y >= 0.7 for y in good) <= 0.05 * len(good)
 
 
 def test_swaps():
@@ -447,6 +485,62 @@ def test_pipeline(spark, sf):
     assert packed.where("piece = 0").count() == mixed.count() and packed.columns[:2] == ["doc_id", "piece"]
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, held against plain Python."""
+    from test_llm_dedup import sentence, union_find
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(160):
+        words = sentence(100 + k, 120).split()
+        rows.append((k, " ".join(words)))
+        if k % 8 == 0:
+            rows.append((500 + k, " ".join(words).upper()))
+        if k % 5 == 0:
+            near = list(words)
+            for at in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+                near[at] = "edited"
+            rows.append((700 + k, " ".join(near)))
+        if k % 4 == 0:
+            rows.append((1000 + k, f"{sentence(400 + k, 40)} vileword nasty {sentence(800 + k, 40)}"))
+    docs = [(d, t, "en", f"s{d % 3}", len(t)) for d, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, 0, int(d >= 1000)) for d, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder, steps = str(tmp_path), {}
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        table = corpus_pipeline.materialize(stage(spark, table, folder), name)
+        steps[name] = table.collect()
+    text = dict(rows)
+    kept = {d for d in text if "vileword" not in text[d]}
+    assert {r.doc_id for r in steps["toxicity"]} == kept
+    last: dict = {}
+    for d in sorted(kept):
+        last[text[d].lower()] = d
+    assert {r.doc_id for r in steps["exact_dedup"]} == set(last.values())
+    left = sorted(last.values())
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (text[d].lower().split() for d in left)]
+    comp = union_find(len(left), [(a, b) for a in range(len(left)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])])
+    want = {d for k, d in enumerate(left) if comp[k] == k}
+    assert {r.doc_id for r in steps["simhash_near_dedup"]} == want and len(want) < len(left) < len(kept)
+    size = {s: sum(len(text[d].split()) for d in want if d % 3 == s) for s in range(3)}
+    took = Counter()
+    for r in steps["mixing"]:
+        assert f" {r.text} " in f" {text[r.doc_id]} " and r.n_chars == len(r.text) and r.doc_id in want
+        took[r.doc_id % 3] += len(r.text.split())
+    goal = {s: sum(size.values()) * (s + 1) / 6 for s in range(3)}
+    assert max(g / size[s] for s, g in goal.items()) < 3 and all(abs(took[s] - goal[s]) <= 3 * mixing.BLOCK for s in range(3))
+    e, ids = encoder(), Counter()
+    for r in steps["mixing"]:
+        ids[r.doc_id, len(e.encode(r.text)) // 4 + 1] += 1
+    packed: dict = {}
+    for r in steps["packing"]:
+        packed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert Counter((r.doc_id, r.length) for r in steps["packing"]) == ids  # none is longer than a sequence
+    for parts in packed.values():
+        assert all(o == sum(n for _, n in sorted(parts)[:k]) for k, (o, _) in enumerate(sorted(parts))) and sum(n for _, n in parts) <= 1024
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Nulls in every column, empty and long texts, repeated rows and ids, clashing names, an empty table."""
     rows = [(k, f"plain words number {k} and some more of the same kind {k * 7}", "en", "s1", 40) for k in range(20)]
