@@ -66,7 +66,10 @@ def update_columns(columns: Sequence[str], update: Sequence[str] | None, exclude
     return [c for c in columns if c.lower() not in dropped]
 
 
-def merge_rows(target: DataFrame, batch: DataFrame, key: str | Sequence[str] | None, update: Sequence[str] | None = None, exclude: Sequence[str] | None = None, predicate: str | None = None, null_safe: bool = False, check: bool = True) -> DataFrame:
+def merge_rows(
+    target: DataFrame, batch: DataFrame, key: str | Sequence[str] | None, update: Sequence[str] | None = None,
+    exclude: Sequence[str] | None = None, predicate: str | None = None, null_safe: bool = False, check: bool = True,
+) -> DataFrame:
     """Update the target rows that the batch matches, insert the batch rows that match none.
 
     ``predicate`` speaks of the rows as ``target.column`` and ``batch.column`` and is part of the match.
@@ -101,7 +104,7 @@ def merge_rows(target: DataFrame, batch: DataFrame, key: str | Sequence[str] | N
         few = F.broadcast(new)
         met = old.join(few, match).select(*[F.col(f"batch.{k}").alias(f"__{k}") for k in keys]).distinct()
         same = reduce(Column.__and__, [F.col(f"batch.{k}").eqNullSafe(F.col(f"__{k}")) for k in keys])
-        added = new.join(met, same, "left_anti").select(F.lit(None).cast(old.schema["target"].dataType).alias("target"), "batch")
+        added = new.join(F.broadcast(met), same, "left_anti").select(F.lit(None).cast(old.schema["target"].dataType).alias("target"), "batch")
         return old.join(few, match, "left").unionByName(added).select(*map(cell, target.columns))
     return old.join(new, match, "full_outer").select(*map(cell, target.columns))
 
@@ -187,7 +190,10 @@ def after_high_water(df: DataFrame, column: str, target: DataFrame, target_colum
     return df.where(F.col(column) > mark)
 
 
-def build_incremental(spark: SparkSession, name: str, batch: DataFrame, strategy: str = "default", key: str | Sequence[str] | None = None, on_schema_change: str = "ignore", full_refresh: bool = False, partition_by: Sequence[str] = (), **options) -> DataFrame:
+def build_incremental(
+    spark: SparkSession, name: str, batch: DataFrame, strategy: str = "default", key: str | Sequence[str] | None = None,
+    on_schema_change: str = "ignore", full_refresh: bool = False, partition_by: Sequence[str] = (), **options,
+) -> DataFrame:
     """Create the table, rebuild it (full refresh, or a view stands there), or apply the batch to it.
 
     What stands in a table keeps its layout, properties and comments. While the schema and the layout stay,

@@ -100,7 +100,10 @@ def layout_of(spark: SparkSession, name: str) -> Layout:
     )
 
 
-def build_table(spark: SparkSession, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (), buckets: int = 0, properties: Mapping[str, str] | None = None, like: Layout | None = None) -> DataFrame:
+def build_table(
+    spark: SparkSession, name: str, df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (),
+    buckets: int = 0, properties: Mapping[str, str] | None = None, like: Layout | None = None,
+) -> DataFrame:
     """Create or replace a table from ``df``, which may read the table itself.
 
     ``cluster_by`` sorts within the files, or with ``buckets`` deals rows into hashed buckets, so that

@@ -155,7 +155,11 @@ def scd_check(t):
     return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), version_2(t), rule, NOW2)
 
 
-@query(_history(T1, T2, "(h.nation IS DISTINCT FROM v2.nation OR h.changed IS DISTINCT FROM v2.changed OR h.c_name IS DISTINCT FROM v2.c_name)", f"UNION ALL SELECT c_custkey, {T2} FROM h WHERE c_custkey NOT IN (SELECT c_custkey FROM v2)"))
+ANY = "(h.nation IS DISTINCT FROM v2.nation OR h.changed IS DISTINCT FROM v2.changed OR h.c_name IS DISTINCT FROM v2.c_name)"
+GONE = f"UNION ALL SELECT c_custkey, {T2} FROM h WHERE c_custkey NOT IN (SELECT c_custkey FROM v2)"
+
+
+@query(_history(T1, T2, ANY, GONE))
 def scd_invalidate(t):
     rule = scd.Scd2(["c_custkey"], scd.Check("all"), hard_deletes="invalidate")
     return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), version_2(t), rule, NOW2)
@@ -281,7 +285,10 @@ def inc_build_partitions(t):
     return inc.build_incremental(t.spark, name, some, "merge", ["o_orderkey", "o_orderstatus"])
 
 
-@query("SELECT event_id, value, event_type FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, 0.5, event_type FROM events WHERE event_type = 'click' AND event_id % 3 = 0 UNION ALL SELECT -event_id, 1.0, event_type FROM events WHERE event_type = 'purchase'")
+@query("""
+SELECT event_id, value, event_type FROM events WHERE event_type NOT IN ('click', 'view')
+UNION ALL SELECT event_id, 0.5, event_type FROM events WHERE event_type = 'click' AND event_id % 3 = 0
+UNION ALL SELECT -event_id, 1.0, event_type FROM events WHERE event_type = 'purchase'""")
 def inc_build_overwrite(t):
     """Two partitions replaced, of which one gets no rows; rows of a third are added."""
     name, rows = scratch(t, "events"), t.events.select("event_id", "value", "event_type")
@@ -360,7 +367,10 @@ def scd_new_column(t):
     return scd.scd2_step(scd.scd2_init(version_1(t), rule, NOW1), wider, rule, NOW2)
 
 
-@query(f"WITH v1 AS ({V1}) {_open_version('changed', '(SELECT * REPLACE (CAST(changed AS DATE) AS changed) FROM v1)').replace('changed AS updated_at', 'CAST(changed AS TIMESTAMP) AS updated_at').replace('changed AS valid_from', 'CAST(changed AS TIMESTAMP) AS valid_from').replace('CAST(changed AS VARCHAR)', 'CAST(CAST(changed AS TIMESTAMP) AS VARCHAR)')}")
+@query(f"""
+WITH v1 AS (SELECT * REPLACE (CAST(changed AS DATE) AS changed), CAST(changed AS TIMESTAMP) AS at FROM ({V1}))
+SELECT c_custkey, c_name, nation, changed, md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(at AS VARCHAR)) AS scd_id,
+  at AS updated_at, at AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to FROM v1""")
 def scd_date_times(t):
     """Dates as times of change: a warning, and times at midnight."""
     with warnings.catch_warnings():

@@ -29,7 +29,10 @@ def windowed(inputs: Mapping[str, DataFrame], event_times: Mapping[str, str], st
     return {name: event_time_window(df, event_times.get(name), start, end) for name, df in inputs.items()}
 
 
-def run_microbatch(spark: SparkSession, model: Callable[..., DataFrame], inputs: Mapping[str, DataFrame], event_times: Mapping[str, str], start: str, end: str, name: str, key: str | Sequence[str]) -> DataFrame:
+def run_microbatch(
+    spark: SparkSession, model: Callable[..., DataFrame], inputs: Mapping[str, DataFrame], event_times: Mapping[str, str],
+    start: str, end: str, name: str, key: str | Sequence[str],
+) -> DataFrame:
     """Run a model on one window of its inputs and merge the result into its table by key.
 
     The key makes a second run over the same window change nothing.

@@ -5,6 +5,8 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from tableloom import session
+from tableloom.functions import collections
 from tableloom.functions import dates as fd
 from tableloom.functions import scalar as fs
 from tableloom.functions import udfs
@@ -300,3 +302,104 @@ def test_event_time(spark, name, tmp_path):
     events.merge_stream(stream, name, "k", str(tmp_path / "cp")).awaitTermination(60)
     spark.catalog.refreshTable(name)  # the stream has a session of its own
     assert spark.table(name).count() == 3
+
+
+def test_built_tables_keep_their_layout(spark, name):
+    """Partitions, properties and comments outlive a merge, a new column and a full refresh that do not name them."""
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "y")], "k int, v string, p string")
+    inc.build_incremental(spark, name, rows, partition_by=["p"])
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('team' = 'me')")
+    tables.persist_docs(spark, name, "about it", {"v": "a value"})
+    for strategy, batch, options in (
+        ("merge", rows.where("k = 2").withColumn("v", F.lit("B")), {"key": "k"}),
+        ("merge", rows.where("k = 3").withColumn("w", F.lit(1)), {"key": "k", "on_schema_change": "append_new_columns"}),
+        ("append", rows, {"full_refresh": True}),
+    ):
+        inc.build_incremental(spark, name, batch, strategy, **options)
+        layout = tables.layout_of(spark, name)
+        assert layout.partition_by == ("p",) and layout.properties["team"] == "me" and layout.description == "about it" and layout.columns["v"] == "a value"
+    assert got(spark.table(name).select("k", "v", "p")) == got(rows)
+    bucketed = name + "b"
+    tables.build_table(spark, bucketed, rows, cluster_by=["k"], buckets=3)
+    inc.build_incremental(spark, bucketed, rows.where("k = 1"), "merge", "k")
+    assert tables.layout_of(spark, bucketed).buckets == 3 and tables.layout_of(spark, bucketed).cluster_by == ("k",)
+
+
+def test_only_touched_partitions_are_written(spark, name):
+    rows = spark.createDataFrame([(k, k % 3, f"p{k % 3}") for k in range(9)] + [(9, 9, None)], "k int, v int, p string")
+    inc.build_incremental(spark, name, rows, partition_by=["p"])
+    files = lambda: {r[0]: r[1] for r in spark.table(name).select("p", "_metadata.file_path").distinct().collect()}
+    before = files()
+    inc.build_incremental(spark, name, rows.where("p = 'p1'").withColumn("v", F.lit(7)), "merge", ["k", "p"])
+    after = files()
+    assert {p for p in before if before[p] != after[p]} == {"p1"} and spark.table(name).where("v = 7").count() == 3
+    added = spark.createDataFrame([(20, 20, "p2"), (21, 21, "new"), (22, 22, None)], "k int, v int, p string")
+    inc.build_incremental(spark, name, added, "insert_overwrite", predicate="p in ('p1', 'p2')")
+    assert got(spark.table(name)) == sorted([(k, 0, "p0") for k in (0, 3, 6)] + [(9, 9, None), (20, 20, "p2"), (21, 21, "new"), (22, 22, None)], key=repr)
+    assert files()["p0"] == before["p0"] and "p1" not in {r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+
+
+def test_a_small_batch_does_not_shuffle_its_target(spark):
+    old = spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    new = spark.createDataFrame([(5, "b"), (None, "n"), (2000, "c")], "k long, v string")
+    merged = inc.merge_rows(old, new, "k")
+    assert got(merged.where("v <> 'a'")) == sorted([(5, "b"), (None, "n"), (2000, "c")], key=repr) and merged.count() == 1002
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert sorted(got(inc.merge_rows(old, new, "k", check=False).where("v <> 'a'")), key=repr) == got(merged.where("v <> 'a'"))
+
+
+def test_checks_that_share_a_scan(spark):
+    df = spark.createDataFrame([(1, "a"), (-1, None), (None, "z")], "k int, v string")
+    listed = [
+        checks.Check("not_null", "t", column="v", rows=df, bad="v is null", severity="warn"),
+        checks.Check("positive", "t", column="k", rows=df, bad="k < 0", warn_if="> 0", error_if="> 5"),
+        checks.Check("few", "t", rows=df, bad="true", limit=2, error_if="> 2"),
+        checks.Check("sum", "t", column="k", rows=df, bad="k > 0", fail_calc="sum(k)", error_if="= 1"),
+        checks.Check("unique", "t", checks.unique(df, "v"), "v"),
+    ]
+    out = checks.run_checks(listed)
+    assert {(r.check, r.failures, r.status) for r in out.collect()} == {("not_null", 1, "warn"), ("positive", 1, "warn"), ("few", 2, "warn"), ("sum", 1, "error"), ("unique", 0, "pass")}
+    for bad in (dict(), dict(rows=df), dict(failing=df, rows=df, bad="true")):
+        with pytest.raises(ValueError):
+            checks.Check("x", "t", **bad)
+
+
+def test_first_of_a_group(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (1, "c"), (2, None)], "k int, v string")
+    assert got(collections.listagg_first(df, ["k"], "v", 2)) == sorted([(1, "a,b"), (2, None)], key=repr)
+    assert got(df.groupBy("k").agg(collections.listagg("v", limit=2).alias("listed"))) == sorted([(1, "a,b"), (2, None)], key=repr)
+
+
+def test_history_steps_agree_with_stage_and_apply(spark):
+    """One join or two: the same history, over versions that have ended, sentinels and deletions."""
+    runs_ = [[(1, "a"), (2, "b"), (3, "c")], [(1, "A"), (3, "c")], [(1, "A"), (2, "b"), (4, "d")], [(None, "n"), (2, "B")]]
+    for hard in scd.HARD_DELETES:
+        for sentinel in (None, "9999-12-31 00:00:00"):
+            rule = scd.Scd2(["k"], scd.Check(["v"]), hard, sentinel)
+            frames = [spark.createDataFrame(r, "k int, v string") for r in runs_]
+            history = scd.scd2_init(frames[0], rule, "2024-01-01 00:00:00")
+            for n, source in enumerate(frames[1:]):
+                now = f"2024-02-0{n + 1} 00:00:00"
+                two = scd.scd2_apply(history, scd.scd2_stage(history, source, rule, now), rule)
+                history = spark.createDataFrame(scd.scd2_step(history, source, rule, now).collect(), two.schema)
+                assert got(history) == got(two)
+
+
+def test_kept_steps_come_and_go(spark):
+    df = session.materialize(spark.range(5), "five")
+    assert df.count() == 5 and session.own_dir(spark) in df.kept_at
+    session.discard(df)
+    with pytest.raises(Exception):
+        spark.read.schema(df.schema).parquet(df.kept_at).count()
+
+    class Cluster:
+        master = "spark://there:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
