@@ -72,11 +72,11 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_samp
     if share < 1:
         marks = marks.where(F.xxhash64("doc_id") < int(-(2**63) + share * 2**64))
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
-    # of an id that repeats every text teaches, but the whole stays near the bound
-    rows = materialize(rows.withColumn("turn", F.xxhash64("text")), "labelled-rows")
+    # ids that repeat bring more rows than labels; a hashed share of the rows keeps to the bound
+    rows = materialize(rows.withColumn("turn", F.xxhash64("text", F.monotonically_increasing_id())), "labelled-rows")
     share = max_sample / max(1, rows.count())
     if share < 1:
-        rows = rows.where(F.xxhash64("turn", F.monotonically_increasing_id()) < int(-(2**63) + share * 2**64))
+        rows = rows.where(F.col("turn") < int(-(2**63) + share * 2**64))
     return rows.drop("turn")
 
 
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_sample:
     import math
 
     bounded_batches(docs.sparkSession)
-    rows = materialize(labelled(docs, labels, held_out, max_sample), "labelled")
+    rows = labelled(docs, labels, held_out, max_sample)
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:

@@ -215,6 +215,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(docs.limit(0), labels)[0] == {} and toxicity.score(docs.limit(0), weights, bias).count() == 0
 
 
+def test_an_id_that_repeats_stays_within_the_bound(spark):
+    rows = spark.createDataFrame([(1, "the same text")] * 4000 + [(k, f"text {k}") for k in range(2, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    assert 200 < toxicity.labelled(rows, labels, False, 300).count() < 400
+
+
 def test_the_penalty_spares_neutral_mentions(spark):
     """Toxic rows mention one group far more often. Without the penalty the mention alone raises a score."""
     rng = np.random.default_rng(6)
