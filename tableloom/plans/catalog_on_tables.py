@@ -203,7 +203,7 @@ def met_changes(t):
     """What a batch of another schema changes, beside the rows that it touches."""
     old = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     new = t.customer.select("c_custkey", F.length("c_name").alias("c_name"), F.lit("x").alias("c_phone"))
-    return metadata.schema_change_report(old, new).join(F.broadcast(new.agg(F.count(F.lit(1)).alias("n"))))
+    return metadata.schema_change_report(old, new).withColumn("n", new.agg(F.count(F.lit(1))).scalar())
 
 
 @query("""
