@@ -368,9 +368,9 @@ def scd_new_column(t):
 
 
 @query(f"""
-WITH v1 AS (SELECT * REPLACE (CAST(changed AS DATE) AS changed), CAST(changed AS TIMESTAMP) AS at FROM ({V1}))
-SELECT c_custkey, c_name, nation, changed, md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(at AS VARCHAR)) AS scd_id,
-  at AS updated_at, at AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to FROM v1""")
+WITH v1 AS (SELECT * REPLACE (CAST(changed AS DATE) AS changed), CAST(changed AS TIMESTAMP) AS midnight FROM ({V1}))
+SELECT c_custkey, c_name, nation, changed, md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(midnight AS VARCHAR)) AS scd_id,
+  midnight AS updated_at, midnight AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to FROM v1""")
 def scd_date_times(t):
     """Dates as times of change: a warning, and times at midnight."""
     with warnings.catch_warnings():
