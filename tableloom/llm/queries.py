@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, language_model, mixing, packing, sharding, simhash, substring_dedup, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, language_model, line_dedup, mixing, packing, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_language_model": language_model.op10_language_model,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.ORACLE,
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }
