@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, bounded_batches, materialize, ship
+from .common import UPPER, bounded_batches, discard, materialize, ship
 
 ship(__name__)
 #: A shorter key, in code points, is no line worth dropping.
 MIN_LENGTH = 10
-ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: What names a row: whether it lacks an id, the id (or else a hash of the text), and a hash of the text.
 ROW = ["late", "doc", "t"]
 MARK = "kind int, h1 long, h2 long, late boolean, doc long, t long, pos int, n_lines int"
@@ -44,10 +43,30 @@ def row_name(doc_id: Column, text: Column) -> list[Column]:
 
 def line_records(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """h1, h2 (the key's hash), ROW, pos, n_lines: one row for each line that may be dropped."""
-    lines = docs.select(*row_name(F.col("doc_id"), F.col("text")), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    lines = lines.select(*ROW, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select(*ROW, "n_lines", "pos", ascii_lower(F.btrim("line", F.lit(ASCII_SPACE))).alias("key")).where(F.char_length("key") >= min_length)
-    return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), *ROW, "pos", "n_lines")
+    bounded_batches(docs.sparkSession)
+    names = ["h1", "h2", *ROW, "pos", "n_lines"]
+
+    def run(batches):
+        import numpy as np
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            hashes, at, pos, n_lines = [], [], [], []
+            for k, text in enumerate(batch.column(3).to_pylist()):
+                lines = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")  # bytes: A-Z only
+                n_lines.append(len(lines))
+                for i, line in enumerate(lines):
+                    key = line.strip()
+                    if len(key) >= min_length and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_length):
+                        hashes.append(xxh3_128_digest(key))
+                        at.append(k)
+                        pos.append(i)
+            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            take, n = pa.array(at, pa.int32()), np.asarray(n_lines, np.int32)[np.asarray(at, np.int32)]
+            rows = [batch.column(i).take(take) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *rows, pa.array(pos, pa.int32()), pa.array(n)], names)
+
+    return docs.select(*row_name(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "h1 long, h2 long, late boolean, doc long, t long, pos int, n_lines int")
 
 
 def marked(records: DataFrame) -> DataFrame:
@@ -93,7 +112,9 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 
     A document's positions meet as a set, which is gathered before the shuffle and has no more members than it has lines.
     """
-    marks = materialize(marked(line_records(docs, min_length)), "line-marks")
+    records = materialize(line_records(docs, min_length), "line-records")  # ranges are found by a pass of their own
+    marks = materialize(marked(records), "line-marks")
+    discard(records)
     edges = marks.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.min(F.struct("late", "doc")).alias("first"))
     waiting = marks.where(F.col("kind") == WAITS).join(edges, ["h1", "h2"]).where(F.col("first") < F.struct("late", "doc"))
     gone = marks.where(F.col("kind") == DROPPED).select(*ROW, "n_lines", "pos").unionByName(waiting.select(*ROW, "n_lines", "pos"))
