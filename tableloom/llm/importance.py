@@ -219,7 +219,7 @@ def bucket_gains(documents, target):
     import numpy as np
 
     n, s, t = len(documents), documents.astype(np.float64), target.astype(np.float64)
-    return np.floor(1000.0 * np.log((t + 1) * (t.sum() + n) / ((s + 1) * (s.sum() + n)))).astype(np.int64)
+    return np.floor(1000.0 * np.log((t + 1) * (s.sum() + n) / ((s + 1) * (t.sum() + n)))).astype(np.int64)
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -295,7 +295,7 @@ hashed AS (
     lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM known, crc),
 counted AS (SELECT bucket, count(*) FILTER (WHERE src = 0) AS s, count(*) FILTER (WHERE src = 1) AS t FROM features JOIN hashed USING (f) GROUP BY bucket),
 gains AS (
-  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(t) OVER () + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (sum(s) OVER () + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counted),
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counted),
 weights AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE src = 0 GROUP BY doc_id),
 scored AS (
   SELECT doc_id, greatest(0, 2 * len(w) - 1) AS n_features, len(w) AS n_words, coalesce(weight, 0) AS weight,
