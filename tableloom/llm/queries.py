@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, importance, language_model, line_dedup, mixing, packing, sharding, simhash, substring_dedup, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, importance, language_model, line_dedup, mixing, packing, sharding, simhash, substring_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_language_model": language_model.op10_language_model,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
