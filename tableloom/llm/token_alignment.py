@@ -36,7 +36,7 @@ from .packing import RANKS, TOKENIZER, Encoder
 
 ship(__name__)
 PIECES = "piece_bpe_32k.model"
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Id pairs of remembered windows in a worker, and pairs that a task counts before it hands them on.
 MAX_REMEMBERED, MAX_COUNTED = 2_000_000, 4_000_000
 #: Pairs whose counts are sent to all tasks: 16 bytes each.
@@ -44,25 +44,12 @@ MAX_FREQUENT = 300_000
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 
 
-def groups_of(a: list[int], b: list[int], lengths_a: list[int], lengths_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The tokens of both sides, which have as many bytes, cut where both end one."""
-    out, i, j, end_a, end_b, k = [], 0, 0, 0, 0, 0
-    for n, token in enumerate(a, 1):
-        end_a += lengths_a[token]
-        while end_b < end_a:
-            end_b += lengths_b[b[k]]
-            k += 1
-        if end_a == end_b:
-            out.append((a[i:n], b[j:k]))
-            i, j = n, k
-    return out
-
-
 class Windows:
     """Windows by their id tuples: groups, links, the groups' text, and the id pairs with their numbers of links."""
 
     def __init__(self, lengths_a: list[int], lengths_b: list[int]):
         self.lengths = lengths_a, lengths_b
+        self.names = list(map(str, range(max(len(lengths_a), len(lengths_b)))))
         self.clear()
 
     def clear(self) -> None:
@@ -72,29 +59,42 @@ class Windows:
         self.ends.append(0)
 
     def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (list(memoryview(x).cast("H")) for x in key)
-        groups = groups_of(a, b, *self.lengths)
-        size_b, links = len(self.lengths[1]), {}
-        for left, right in groups:
-            if len(left) * len(right) <= 16:
+        """Cut a window where tokens of both sides end, and pair the ids of each group."""
+        lengths_a, lengths_b = self.lengths
+        size_b, names = len(lengths_b), self.names
+        a, b = array("H", key[0]), array("H", key[1])
+        links: dict[int, int] = {}
+        texts, n_links, i, j, k, end_a, end_b = [], 0, 0, 0, 0, 0, 0
+        for n, token in enumerate(a, 1):
+            end_a += lengths_a[token]
+            while end_b < end_a:
+                end_b += lengths_b[b[k]]
+                k += 1
+            if end_a != end_b:
+                continue
+            left, right = a[i:n], b[j:k]
+            texts.append(",".join([names[x] for x in left]) + "|" + ",".join([names[y] for y in right]))
+            n_links += len(left) * len(right)
+            if len(left) * len(right) <= 64:
                 for x in left:
                     for y in right:
                         code = x * size_b + y
                         links[code] = links.get(code, 0) + 1
             else:
-                right_ids = Counter(right).items()
+                times = Counter(right).items()
                 for x, m in Counter(left).items():
-                    for y, n in right_ids:
+                    for y, r in times:
                         code = x * size_b + y
-                        links[code] = links.get(code, 0) + m * n
-        self.groups.append(len(groups))
-        self.links.append(sum(len(x) * len(y) for x, y in groups))
-        self.texts.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
+                        links[code] = links.get(code, 0) + m * r
+            i, j = n, k
+        self.groups.append(len(texts))
+        self.links.append(n_links)
+        self.texts.append(";".join(texts))
         self.codes.extend(links)
         self.times.extend(links.values())
         self.ends.append(len(self.codes))
-        self.index[key] = len(self.groups) - 1
-        return len(self.groups) - 1
+        self.index[key] = known = len(self.groups) - 1
+        return known
 
 
 class Aligner:
@@ -114,60 +114,97 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for byte, p in named]
         self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.marked_a, self.marked_b = (np.array([x.startswith(b" ") for x in y]) for y in (self.bytes_a, self.bytes_b))
+        self.spelled_a, self.spelled_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
         self.windows = Windows(self.lengths_a.tolist(), self.lengths_b.tolist())
 
     def tokens(self, texts: list[str]):
-        """The ids of both sides for each text, or None where they don't give its bytes."""
+        """The ids of both sides of each text, and whether both give its bytes after a space."""
         import numpy as np
 
-        for text, b in zip(texts, self.model.encode(texts, num_threads=1)):
-            data = b" " + text.encode("utf-8", "surrogatepass")
-            a = np.frombuffer(self.encoder.encode(" " + text), "<u4") if text else ()
-            good = text and b"".join(map(self.bytes_b.__getitem__, b)) == data and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == data
-            yield (a, b) if good else None
+        a = [np.frombuffer(self.encoder.encode(" " + x), "<u4") for x in texts]
+        b = [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+        want = [b" " + x.encode("utf-8", "surrogatepass") for x in texts]
+        good = np.fromiter(map(bool, texts), np.bool_, len(texts))
+        for ids, lengths, spelled in ((a, self.lengths_a, self.spelled_a), (b, self.lengths_b, self.spelled_b)):
+            good &= np.fromiter((lengths[x].sum() for x in ids), np.int64, len(ids)) == np.fromiter(map(len, want), np.int64, len(want))
+            some = np.flatnonzero(good).tolist()
+            if not some:
+                break
+            first = np.cumsum(lengths) - lengths
+            flat = np.concatenate([ids[k] for k in some])
+            sizes = lengths[flat]
+            place = np.arange(sizes.sum()) + np.repeat(first[flat] - np.cumsum(sizes) + sizes, sizes)
+            differs = spelled[place] != np.frombuffer(b"".join([want[k] for k in some]), np.uint8)
+            ends = np.cumsum([len(want[k]) for k in some])
+            good[np.array(some)[np.searchsorted(ends, np.flatnonzero(differs), "right")]] = False
+        return a, b, good.tolist()
 
     def align(self, texts: list[str]):
         """For each text: (n_a, n_b, n_groups, n_links, digest, pairs), or None."""
         import numpy as np
 
-        found = list(self.tokens(texts))
-        good = [x for x in found if x]
-        if not good:
+        all_a, all_b, good = self.tokens(texts)
+        some = [k for k, x in enumerate(good) if x]
+        if not some:
             return [None] * len(texts)
         if len(self.windows.codes) > MAX_REMEMBERED:
             self.windows.clear()
-        a, b = np.concatenate([x[0] for x in good]).astype(np.int64), np.concatenate([np.array(x[1], np.int64) for x in good])
+        a, b = (np.concatenate([x[k] for k in some]).astype(np.int64) for x in (all_a, all_b))
         at_a, at_b = (np.cumsum(n[x]) - n[x] for n, x in ((self.lengths_a, a), (self.lengths_b, b)))
-        first = np.cumsum([0] + [len(x[0]) for x in good])  # of each text, in a
+        first = np.cumsum([0] + [len(all_a[k]) for k in some])  # of each text, in a
         # anchors: both sides begin a token with a space; a text's first tokens always do
-        size = int(at_a[-1] + self.lengths_a[a[-1]]) + 1
-        begins = np.zeros(size, np.bool_)
+        begins = np.zeros(int(at_a[-1]) + len(self.bytes_a[a[-1]]), np.bool_)
         begins[at_b[self.marked_b[b]]] = True
         from_a = np.flatnonzero(self.marked_a[a] & begins[at_a])
         from_b = np.searchsorted(at_b, at_a[from_a])
         ids = self.ids(a, b, from_a, from_b)
         who = np.searchsorted(first, from_a, "right") - 1
-        w, n = self.windows, len(good)
+        w, n = self.windows, len(some)
         groups, links = (np.array(x, np.int64)[ids] for x in (w.groups, w.links))
         cuts = np.searchsorted(who, np.arange(n + 1))
         total = lambda x: np.diff(np.r_[0, np.cumsum(x)][cuts])
         words = list(map(w.texts.__getitem__, ids.tolist()))
         digests = [hashlib.sha256(";".join(words[i:j]).encode()).hexdigest() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        out = iter(zip((len(x[0]) for x in good), (len(x[1]) for x in good), total(groups).tolist(), total(links).tolist(), digests, self.pairs(who, ids, n)))
-        return [next(out) if x else None for x in found]
+        out = iter(zip((len(all_a[k]) for k in some), (len(all_b[k]) for k in some), total(groups).tolist(), total(links).tolist(), digests, self.pairs(who, ids, n)))
+        return [next(out) if x else None for x in good]
 
     def ids(self, a, b, from_a, from_b):
-        """The window at each anchor."""
+        """The window at each anchor. Windows that occur again in the block are found by a hash and compared, so each
+        pair of tuples is looked up once."""
         import numpy as np
 
         raw_a, raw_b = a.astype(np.uint16).tobytes(), b.astype(np.uint16).tobytes()
-        bounds = [np.r_[x, len(y)] * 2 for x, y in ((from_a, a), (from_b, b))]
-        index, add, out = self.windows.index, self.windows.add, []
-        for i, j, k, m in zip(*(x for y in bounds for x in (y[:-1].tolist(), y[1:].tolist()))):
-            key = raw_a[i:j], raw_b[k:m]
-            known = index.get(key)
-            out.append(add(key) if known is None else known)
-        return np.array(out, np.int64)
+        index, add, n = self.windows.index, self.windows.add, len(from_a)
+        sides = [(x, start, np.diff(np.r_[start, len(x)])) for x, start in ((a, from_a), (b, from_b))]
+        mixed = np.zeros(n, np.uint64)
+        for x, start, size in sides:
+            place = np.arange(len(x)) - np.repeat(start, size)
+            h = (x.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = mixed * np.uint64(3) + np.add.reduceat(h ^ (h >> np.uint64(32)), start)
+        _, first, again = np.unique(mixed, return_index=True, return_inverse=True)
+        like = first[again]
+        odd = np.zeros(n, np.bool_)
+        for _, _, size in sides:
+            odd |= size != size[like]
+        like[odd] = np.flatnonzero(odd)
+        for x, start, size in sides:
+            differs = x != x[np.arange(len(x)) + np.repeat(start[like] - start, size)]
+            odd |= np.logical_or.reduceat(differs, start)
+
+        def looked_up(rows):
+            out = []
+            spans = [y[rows].tolist() for _, start, size in sides for y in (2 * start, 2 * (start + size))]
+            for i, j, k, m in zip(*spans):
+                key = raw_a[i:j], raw_b[k:m]
+                known = index.get(key)
+                out.append(add(key) if known is None else known)
+            return np.array(out, np.int64)
+
+        out = looked_up(first)[again]
+        if odd.any():  # two windows with one hash
+            out[odd] = looked_up(np.flatnonzero(odd))
+        return out
 
     def pairs(self, who, ids, n: int) -> list[bytes]:
         """Each text's distinct id pairs and their numbers of links, packed."""
