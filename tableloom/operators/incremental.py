@@ -10,15 +10,18 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from . import tables
 from .metadata import schema_changes, wider_type
 
 
 #: A batch of at most so many rows, which are counted, is broadcast to its target.
 FEW_ROWS = 100_000
+#: Partitions that are named one by one; a load that touches more rewrites its table.
+MAX_PARTITIONS = 2_000
 
 
 class SchemaMismatch(ValueError):
@@ -44,16 +47,23 @@ def delete_insert(target: DataFrame, batch: DataFrame, key: str | Sequence[str],
     """
     keys = _listed(key)
     gone = batch.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    match = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
+    match = _matches(keys, "{}", "__{}")
     if predicate:
         match &= F.expr(predicate)
     return target.join(gone, match, "left_anti").unionByName(batch.select(*target.columns))
 
 
-def repeated_keys(batch: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """The keys, without nulls, that more than one row of a batch has."""
+def repeated_keys(batch: DataFrame, key: str | Sequence[str], null_safe: bool = False) -> DataFrame:
+    """The keys that more than one row of a batch has. Those with nulls count only if null matches null."""
     keys = _listed(key)
-    return batch.dropna(subset=keys).groupBy(*keys).count().where("count > 1").drop("count")
+    rows = batch if null_safe and len(keys) == 1 else batch.dropna(subset=keys)
+    return rows.groupBy(*keys).count().where("count > 1").drop("count")
+
+
+def _matches(keys: Sequence[str], left: str, right: str, null_safe: bool = False) -> Column:
+    """Equality of the keys of two sides; null equals null for a single key at most."""
+    pairs = [(F.col(left.format(k)), F.col(right.format(k))) for k in keys]
+    return reduce(Column.__and__, [a.eqNullSafe(b) if null_safe and len(keys) == 1 else a == b for a, b in pairs])
 
 
 def update_columns(columns: Sequence[str], update: Sequence[str] | None, exclude: Sequence[str] | None) -> list[str]:
@@ -83,12 +93,11 @@ def merge_rows(
     keys = _listed(key)
     if not keys:
         return append_rows(target, batch)
-    if check and not repeated_keys(batch, keys).isEmpty():
+    if check and not repeated_keys(batch, keys, null_safe).isEmpty():
         raise DuplicateKeys(f"keys {keys} repeat within the batch")
     old = target.select(F.struct("*").alias("target"))
     new = batch.select(F.struct("*").alias("batch"))
-    pairs = [(F.col(f"target.{k}"), F.col(f"batch.{k}")) for k in keys]
-    match = reduce(Column.__and__, [a.eqNullSafe(b) if null_safe and len(keys) == 1 else a == b for a, b in pairs])
+    match = _matches(keys, "target.{}", "batch.{}", null_safe)
     if predicate:
         match &= F.expr(predicate)
     updated = set(update_columns(batch.columns, update, exclude))
@@ -198,7 +207,7 @@ def build_incremental(
 
     What stands in a table keeps its layout, properties and comments. While the schema and the layout stay,
     'append' writes the batch alone; on a partitioned table an overwrite whose predicate speaks of partition
-    columns only, and a merge whose key has them all, read and write just the partitions touched.
+    columns only, a merge and a delete+insert rewrite just the partitions that they change (:func:`change_partitions`).
     Everything else writes new contents and swaps them in.
     """
     tables.recover(spark, name)
@@ -216,8 +225,14 @@ def build_incremental(
             return spark.table(name)
         if strategy == "insert_overwrite" and parts and _speaks_of(target, options.get("predicate"), parts):
             return overwrite_where(spark, name, new, options["predicate"])
-        if strategy in ("merge", "microbatch") and parts and parts <= set(_listed(key)) and not options.get("predicate"):
-            return merge_partitions(spark, name, new, key, sorted(parts), **options)
+        if strategy in ("merge", "microbatch", "delete+insert", "default") and parts and _listed(key):
+            held = session.materialize(new, "batch")  # it is asked several times
+            try:
+                done = change_partitions(spark, name, held, strategy, key, **options)
+            finally:
+                session.delete(spark, held.kept_at)
+            if done is not None:
+                return done
     return tables.build_table(spark, name, apply_strategy(expand_column_types(old, new), new, strategy, key, **options), partition_by, like=layout)
 
 
@@ -255,17 +270,70 @@ def overwrite_where(spark: SparkSession, name: str, batch: DataFrame, predicate:
     return spark.table(name)
 
 
-def merge_partitions(spark: SparkSession, name: str, batch: DataFrame, key: str | Sequence[str], partition: str | Sequence[str], **options) -> DataFrame:
-    """A merge that reads and rewrites only the partitions that the batch touches.
+def changed_partitions(target: DataFrame, batch: DataFrame, key: str | Sequence[str], partition: Sequence[str], null_safe: bool = False, predicate: str | None = None) -> list[Row] | None:
+    """The partitions with rows that a batch matches, or None if they are more than MAX_PARTITIONS.
+
+    A scan of the keys alone: a broadcast semi-join where the batch is counted to be small. If the key has
+    partition columns, only the partitions that the batch names are scanned.
+    """
+    keys, parts = _listed(key), list(partition)
+    named = [c for c in parts if c in keys]
+    if named:
+        near = batch.select(*named).distinct().limit(MAX_PARTITIONS + 1).collect()
+        if len(near) <= MAX_PARTITIONS:
+            target = target.where(tables.in_partitions(target, near))
+    wanted = batch.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    wanted = F.broadcast(wanted) if batch.limit(FEW_ROWS + 1).count() <= FEW_ROWS else wanted
+    match = _matches(keys, "{}", "__{}", null_safe)
+    if predicate:
+        match &= F.expr(predicate)
+    found = target.join(wanted, match, "left_semi").select(*parts).distinct().limit(MAX_PARTITIONS + 1).collect()
+    return found if len(found) <= MAX_PARTITIONS else None
+
 
-    Right if a key never moves to another partition. The touched partitions are found by a semi-join,
-    which prunes the scan at run time.
+def change_partitions(spark: SparkSession, name: str, batch: DataFrame, strategy: str, key: str | Sequence[str], **options) -> DataFrame | None:
+    """A merge or delete+insert that rewrites the partitions with rows that the batch matches, and no others.
+
+    Rows for other partitions are appended to them; a row that moves leaves its old partition, and a partition
+    that loses its last row is dropped. None, and nothing is done, if too many are touched. A run that was cut
+    short is mended by running the same batch again.
     """
-    touched = batch.select(*_listed(partition)).distinct()
-    part = spark.table(name).join(touched, _listed(partition), "left_semi")
+    target, parts = spark.table(name), list(tables.layout_of(spark, name).partition_by)
+    predicate = options.get("predicate") if strategy in ("delete+insert", "default") else None  # a merge's may speak of both sides
+    found = changed_partitions(target, batch, key, parts, options.get("null_safe", False), predicate)
+    if found is None:
+        return None
     staging = name + tables.NEW
     tables.drop_relation(spark, staging)
-    merge_rows(part.select(*spark.table(name).columns), batch, key, **options).write.saveAsTable(staging)
+    apply_strategy(target.where(tables.in_partitions(target, found)), batch, strategy, key, **options).write.saveAsTable(staging)
+    staged = spark.table(staging)
+    inside = tables.in_partitions(staged, found)
+    rewrite_partitions(spark, name, staged.where(inside), found)
+    tables.append(spark, name, staged.where(~F.coalesce(inside, F.lit(False))))
+    tables.drop_relation(spark, staging)
+    return spark.table(name)
+
+
+def rewrite_partitions(spark: SparkSession, name: str, rows: DataFrame, partitions: Sequence[Row]) -> None:
+    """Put ``rows``, which don't read the table, in the place of these partitions; those without rows are dropped."""
+    if not partitions:
+        return
+    left = {tuple(r) for r in rows.select(*partitions[0].__fields__).distinct().collect()}
+    tables.overwrite_partitions(spark, name, rows)
+    for row in partitions:
+        if tuple(row) not in left:
+            tables.drop_partition(spark, name, row.asDict())
+
+
+def merge_partitions(spark: SparkSession, name: str, batch: DataFrame, key: str | Sequence[str], partition: str | Sequence[str], **options) -> DataFrame:
+    """A merge that reads and rewrites only the partitions that the batch has rows of, the null partition included.
+
+    Right if a key never moves to another partition; :func:`change_partitions` finds a key wherever it is.
+    """
+    touched = batch.select(*_listed(partition)).distinct().collect()  # as many as the table gets
+    target, staging = spark.table(name), name + tables.NEW
+    tables.drop_relation(spark, staging)
+    merge_rows(target.where(tables.in_partitions(target, touched)), batch, key, **options).write.saveAsTable(staging)
     tables.overwrite_partitions(spark, name, spark.table(staging))
     tables.drop_relation(spark, staging)
     return spark.table(name)

@@ -216,9 +216,69 @@ def scd2_step(history: DataFrame, source: DataFrame, rule: Scd2, now: str) -> Da
     return ended.unionByName(rows.select(*history.columns, *added))
 
 
-def snapshot_table(spark: SparkSession, name: str, source: DataFrame, rule: Scd2, now: str) -> DataFrame:
-    """Keep the history of ``source`` in a table: created at first, stepped forward after that."""
+#: Properties of a history that is split, and of a step's rows that were written to their end.
+SPLIT, WHOLE = "tableloom.split", "tableloom.whole"
+
+
+def snapshot_table(
+    spark: SparkSession, name: str, source: DataFrame, rule: Scd2, now: str, partition_by: Sequence[str] = (), split: str | None = None,
+) -> DataFrame:
+    """Keep the history of ``source`` in a table: created at first, stepped forward after that.
+
+    ``partition_by`` lays out a new history; what stands keeps its layout, properties and comments.
+    ``split`` names a boolean column, true for current versions, that a new history is partitioned by before all else:
+    a step then reads and replaces the current versions alone and appends those that end, so its cost follows
+    what is current and not the length of the history.
+    """
     tables.recover(spark, name)
     if tables.relation_type(spark, name) is None:
-        return tables.build_table(spark, name, scd2_init(source, rule, now))
-    return tables.build_table(spark, name, scd2_step(spark.table(name), source, rule, now))
+        first = scd2_init(source, rule, now)
+        if not split:
+            return tables.build_table(spark, name, first, partition_by)
+        return tables.build_table(spark, name, first.withColumn(split, F.lit(True)), [split, *partition_by], properties={SPLIT: split})
+    layout = tables.layout_of(spark, name)
+    split = layout.properties.get(SPLIT)
+    if split is None:
+        return tables.build_table(spark, name, scd2_step(spark.table(name), source, rule, now), like=layout)
+    return _step_apart(spark, name, source, rule, now, split)
+
+
+def _step_apart(spark: SparkSession, name: str, source: DataFrame, rule: Scd2, now: str, split: str) -> DataFrame:
+    """A step on a split history. What it makes is written aside first; a step that was cut short after that is
+    finished by the next, one cut short before has changed nothing."""
+    staging, valid_to = name + tables.NEW, rule.name("valid_to")
+    if tables.relation_type(spark, staging):
+        if tables.layout_of(spark, staging).properties.get(WHOLE):
+            _publish_apart(spark, name, staging, rule, split, again=True)
+        tables.drop_relation(spark, staging)
+    history = spark.table(name)
+    fresh = [f for f in source.schema if f.name not in history.columns]
+    wider = [c for c in source.columns if c in history.columns and source.schema[c].dataType != history.schema[c].dataType]
+    if wider:
+        raise TypeError(f"the history of {name} has other types for {wider}")
+    both, changes, kept = _classified(history.where(F.col(split)).drop(split), source, rule, now)
+    rows = both.select(F.explode(F.concat(kept, changes)).alias("c")).select("c.version.*")
+    rows.withColumn(split, F.coalesce(_is_current(rule, F.col(valid_to)), F.lit(False))).write.saveAsTable(staging)
+    if fresh:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fresh)})")
+    spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{WHOLE}' = 'yes')")
+    _publish_apart(spark, name, staging, rule, split)
+    tables.drop_relation(spark, staging)
+    return spark.table(name)
+
+
+def _publish_apart(spark: SparkSession, name: str, staging: str, rule: Scd2, split: str, again: bool = False) -> None:
+    """Replace the current versions, then append those that end. ``again`` leaves out what a first try has appended."""
+    staged, parts = spark.table(staging), list(tables.layout_of(spark, name).partition_by)
+    current = staged.where(F.col(split))
+    was = [v for v in tables.partitions_of(spark, name).values() if v[split] == "true"]
+    stays = {tuple(r) for r in current.select(*[F.col(c).cast("string") for c in parts]).distinct().collect()}
+    tables.overwrite_partitions(spark, name, current)
+    for values in was:
+        if tuple(values[c] for c in parts) not in stays:
+            tables.drop_partition(spark, name, values)
+    ended = staged.where(~F.col(split))
+    if again:
+        version = [rule.name("scd_id"), rule.name("valid_to")]
+        ended = ended.join(spark.table(name).where(~F.col(split)).select(*version), version, "left_anti")
+    tables.append(spark, name, ended)

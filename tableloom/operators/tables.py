@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 NEW, OLD = "__new", "__old"
 
@@ -54,13 +56,21 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     if not [c for c in spark.catalog.listColumns(new) if c.isPartition]:
         return
     place = details["Location"].rstrip("/")
-    for (path,) in spark.sql(f"SHOW PARTITIONS {new}").collect():
-        spec = []
-        for part in path.split("/"):
-            column, _, value = part.partition("=")
-            null = value == "__HIVE_DEFAULT_PARTITION__"
-            spec.append(f"`{unquote(column)}` = " + ("null" if null else _text(unquote(value))))
-        spark.sql(f"ALTER TABLE {new} PARTITION ({', '.join(spec)}) SET LOCATION {_text(f'{place}/{path}')}")
+    for path, values in partitions_of(spark, new).items():
+        spark.sql(f"ALTER TABLE {new} PARTITION ({_spec(values)}) SET LOCATION {_text(f'{place}/{path}')}")
+
+
+def partitions_of(spark: SparkSession, name: str) -> dict[str, dict[str, str | None]]:
+    """What the catalog lists of a partitioned table: path -> values by column, as texts."""
+    out = {}
+    for (path,) in spark.sql(f"SHOW PARTITIONS {name}").collect():
+        pairs = [part.partition("=")[::2] for part in path.split("/")]
+        out[path] = {unquote(c): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for c, v in pairs}
+    return out
+
+
+def _spec(values: Mapping[str, object]) -> str:
+    return ", ".join(f"`{c}` = " + ("null" if v is None else _text(v)) for c, v in values.items())
 
 
 def publish_swap(spark: SparkSession, staging: str, target: str) -> None:
@@ -178,7 +188,10 @@ def build_materialized_view(spark: SparkSession, name: str, df: DataFrame, setti
         raise ValueError(f"settings of {name} changed")
     else:
         raise ValueError(f"unknown on_configuration_change {on_configuration_change!r}")
-    build_table(spark, name, df, properties=own | wanted)
+    like = layout_of(spark, name) if kind == "table" else None
+    if like:  # settings that are no longer wanted go, the rest of what was said about the table stays
+        like = replace(like, properties={k: v for k, v in like.properties.items() if not k.startswith(SETTING)})
+    build_table(spark, name, df, properties=own | wanted, like=like)
     return done
 
 
@@ -218,8 +231,26 @@ def overwrite_partitions(spark: SparkSession, name: str, df: DataFrame) -> None:
 
 
 def drop_partition(spark: SparkSession, name: str, values: Mapping[str, object]) -> None:
-    spec = ", ".join(f"`{c}` = " + ("null" if v is None else _text(v)) for c, v in values.items())
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({_spec(values)})")
+
+
+def in_partitions(df: DataFrame, rows: Sequence[Row]) -> Column:
+    """Whether a row of ``df`` is in one of these partitions (rows of partition columns, null being a value).
+
+    Literals only, so the scan is pruned when it is planned.
+    """
+    if not rows:
+        return F.lit(False)
+    columns = rows[0].__fields__
+    lit = lambda c, v: F.lit(v).cast(df.schema[c].dataType)
+    if len(columns) == 1:
+        (c,) = columns
+        some = F.col(c).isin([lit(c, r[0]) for r in rows if r[0] is not None])
+        return some | F.col(c).isNull() if any(r[0] is None for r in rows) else some
+    either = [reduce(Column.__and__, [F.col(c).isNull() if v is None else F.col(c) == lit(c, v) for c, v in zip(columns, r)]) for r in rows]
+    while len(either) > 1:  # a flat tree, however many
+        either = [a | b for a, b in zip(either[::2], either[1::2])] + either[len(either) // 2 * 2 :]
+    return either[0]
 
 
 def _text(value: str) -> str:

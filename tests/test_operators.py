@@ -325,10 +325,18 @@ def test_built_tables_keep_their_layout(spark, name):
     assert tables.layout_of(spark, bucketed).buckets == 3 and tables.layout_of(spark, bucketed).cluster_by == ("k",)
 
 
+def files_of(spark, name, column):
+    """The files of each partition."""
+    out = {}
+    for value, path in spark.table(name).select(column, "_metadata.file_path").distinct().collect():
+        out.setdefault(value, set()).add(path)
+    return out
+
+
 def test_only_touched_partitions_are_written(spark, name):
     rows = spark.createDataFrame([(k, k % 3, f"p{k % 3}") for k in range(9)] + [(9, 9, None)], "k int, v int, p string")
     inc.build_incremental(spark, name, rows, partition_by=["p"])
-    files = lambda: {r[0]: r[1] for r in spark.table(name).select("p", "_metadata.file_path").distinct().collect()}
+    files = lambda: files_of(spark, name, "p")
     before = files()
     inc.build_incremental(spark, name, rows.where("p = 'p1'").withColumn("v", F.lit(7)), "merge", ["k", "p"])
     after = files()
@@ -339,6 +347,129 @@ def test_only_touched_partitions_are_written(spark, name):
     assert files()["p0"] == before["p0"] and "p1" not in {r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
 
 
+def test_a_merge_by_partition_keeps_the_null_partition(spark, name):
+    rows = spark.createDataFrame([(1, "a"), (9, None), (10, None)], "k int, p string")
+    for columns, merge in ((["k", "p"], lambda b: inc.build_incremental(spark, name, b, "merge", ["k", "p"])), (["k"], lambda b: inc.merge_partitions(spark, name, b, "k", "p"))):
+        inc.build_incremental(spark, name, rows, full_refresh=True, partition_by=["p"])
+        batch = spark.createDataFrame([(20, None), (1, "a")], "k int, p string")
+        want = got(inc.merge_rows(rows, batch, columns))
+        assert got(merge(batch)) == want and (9, None) in want and (10, None) in want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_changed_partitions_agree_with_whole_contents(spark, name, seed):
+    """Merges and delete+insert on partitioned tables: rows with and without partition columns in the key, nulls,
+    rows that move, partitions that empty, and files of the others left as they are."""
+    import random
+
+    rng = random.Random(seed)
+    schema = "k int, v int, p string, q date"
+    day = lambda: rng.choice([None, datetime(2024, 1, 1).date(), datetime(2024, 1, 2).date()])
+    part = lambda: rng.choice([None, "a/b", "c d", "e=f", "g"])
+    keys = rng.sample(range(40), 24)
+    old = spark.createDataFrame([(rng.choice([k, k, k, None]), 0, part(), day()) for k in keys], schema)
+    for strategy, key, options in (
+        [("merge", ["k"], {}), ("microbatch", ["k", "p", "q"], {}), ("delete+insert", ["q"], {"predicate": "v = 0"}), ("merge", ["k"], {"null_safe": True})],
+        [("delete+insert", ["k"], {}), ("default", ["k", "q"], {}), ("merge", ["k"], {"update": ["v"]}), ("merge", ["k", "p"], {}), ("merge", ["k"], {"predicate": "target.p = batch.p"})],
+    )[seed]:
+        new = [(k, 1, part(), day()) for k in rng.sample(range(50), 6)] + ([] if options.get("null_safe") and rng.random() < 0.5 else [(None, 1, part(), day())])
+        new = spark.createDataFrame(new, schema)
+        inc.build_incremental(spark, name, old, full_refresh=True, partition_by=["p", "q"])
+        where = F.struct("p", "q").cast("string")
+        before = files_of(spark, name, where)
+        want = inc.apply_strategy(old, new, strategy, key, **options)
+        changed = inc.changed_partitions(old, new, key, ["p", "q"], options.get("null_safe", False), None)
+        inc.build_incremental(spark, name, new, strategy, key, **options)
+        spark.catalog.refreshTable(name)
+        assert got(spark.table(name)) == got(want), (strategy, key, options)
+        after, touched = files_of(spark, name, where), {r[0] for r in spark.createDataFrame(changed, "p string, q date").select(where).collect()} if changed else set()
+        assert all(paths <= after[p] for p, paths in before.items() if p not in touched)
+        listed = {tuple(v.values()) for v in tables.partitions_of(spark, name).values()}
+        assert listed == {(r.p, r.q and str(r.q)) for r in spark.table(name).select("p", "q").distinct().collect()}
+
+
+def test_too_many_partitions_rewrite_the_table(spark, name, monkeypatch):
+    monkeypatch.setattr(inc, "MAX_PARTITIONS", 2)
+    rows = spark.createDataFrame([(k, k % 5) for k in range(20)], "k int, p int")
+    inc.build_incremental(spark, name, rows, partition_by=["p"])
+    batch = spark.createDataFrame([(k, 9) for k in range(5)], "k int, p int")
+    assert got(inc.build_incremental(spark, name, batch, "delete+insert", "k")) == got(inc.delete_insert(rows, batch, "k"))
+    assert tables.layout_of(spark, name).partition_by == ("p",)
+
+
+def test_repeated_null_keys_are_an_error_if_null_matches_null(spark):
+    target, batch = spark.createDataFrame([(None, 1)], "k int, v int"), spark.createDataFrame([(None, 7), (None, 8)], "k int, v int")
+    with pytest.raises(inc.DuplicateKeys):
+        inc.merge_rows(target, batch, "k", null_safe=True)
+    assert inc.merge_rows(target, batch, "k").count() == 3
+    assert got(inc.merge_rows(target, batch.limit(1), "k", null_safe=True)) in ([(None, 7)], [(None, 8)])
+
+
+def histories(spark):
+    runs_ = [[(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (5, "e", "z")], [(1, "A", "x"), (3, "c", "y")], [(1, "A", "x"), (2, "b", "y"), (4, "d", None)], [(None, "n", "x"), (2, "B", "y")], []]
+    return [spark.createDataFrame(r, "k int, v string, p string") for r in runs_]
+
+
+@pytest.mark.parametrize("hard,sentinel,parts", [("ignore", None, []), ("invalidate", "9999-12-31 00:00:00", ["p"]), ("new_record", None, ["p"])])
+def test_split_histories_agree_with_whole_ones(spark, name, hard, sentinel, parts):
+    """Current and ended versions kept apart: the same history, and what has ended is never written again."""
+    rule = scd.Scd2(["k"], scd.Check(["v"]), hard, sentinel)
+    frames, history, ended = histories(spark), None, set()
+    for n, source in enumerate(frames):
+        now = f"2024-02-0{n + 1} 00:00:00"
+        scd.snapshot_table(spark, name, source, rule, now, parts, split="is_open")
+        step = scd.scd2_init(source, rule, now) if history is None else scd.scd2_step(history, source, rule, now)
+        history = spark.createDataFrame(step.collect(), step.schema)
+        table = spark.table(name)
+        assert got(table.select(*history.columns)) == got(history)
+        assert table.where(F.col("is_open") != scd._is_current(rule, F.col("valid_to"))).isEmpty()
+        files = files_of(spark, name, "is_open").get(False, set())
+        assert ended <= files
+        ended = files
+    assert tables.layout_of(spark, name).partition_by == ("is_open", *parts)
+
+
+def test_a_step_that_was_cut_short_is_finished(spark, name, monkeypatch):
+    rule = scd.Scd2(["k"], scd.Check(["v"]), "invalidate")
+    first, second, *_ = histories(spark)
+    scd.snapshot_table(spark, name, first, rule, "2024-02-01 00:00:00", split="is_open")
+    want = got(scd.scd2_step(scd.scd2_init(first, rule, "2024-02-01 00:00:00"), second, rule, "2024-02-02 00:00:00"))
+    for broken in ("overwrite_partitions", "append", "drop_relation"):
+        with monkeypatch.context() as m:
+            real = getattr(tables, broken)
+            m.setattr(tables, broken, lambda *a: real(*a) if not a[1].endswith(tables.NEW) and broken != "append" and broken != "overwrite_partitions" else (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                scd.snapshot_table(spark, name, second, rule, "2024-02-02 00:00:00")
+        scd.snapshot_table(spark, name, second, rule, "2024-02-02 00:00:00")
+        assert got(spark.table(name).drop("is_open")) == want
+        tables.drop_relation(spark, name)
+        scd.snapshot_table(spark, name, first, rule, "2024-02-01 00:00:00", split="is_open")
+
+
+def test_histories_keep_their_layout(spark, name):
+    rule = scd.Scd2(["k"], scd.Check(["v"]))
+    first, second, *_ = histories(spark)
+    for split, parts in ((None, ("p",)), ("is_open", ("is_open", "p"))):
+        scd.snapshot_table(spark, name, first, rule, "2024-02-01 00:00:00", ["p"], split=split)
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('team' = 'me')")
+        tables.persist_docs(spark, name, "about it", {"v": "a value"})
+        scd.snapshot_table(spark, name, second.withColumn("w", F.lit(5)), rule, "2024-02-02 00:00:00")
+        layout = tables.layout_of(spark, name)
+        assert layout.partition_by == parts and layout.properties["team"] == "me" and layout.description == "about it" and layout.columns["v"] == "a value"
+        assert got(spark.table(name).where("k = 1").select("v", "w")) == sorted([("a", None), ("A", 5)], key=repr)
+        tables.drop_relation(spark, name)
+
+
+def test_materialized_views_keep_what_was_said_about_them(spark, name):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, p string")
+    tables.build_table(spark, name, rows, partition_by=["p"], properties={"team": "me"})
+    assert tables.build_materialized_view(spark, name, rows, {"a": "1"}) == "rebuilt"
+    assert tables.build_materialized_view(spark, name, rows, {"b": "1"}) == "altered"
+    assert tables.build_materialized_view(spark, name, rows, {"b": "1"}) == "refreshed"
+    layout = tables.layout_of(spark, name)
+    assert layout.partition_by == ("p",) and layout.properties["team"] == "me"
+
+
 def test_a_small_batch_does_not_shuffle_its_target(spark):
     old = spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     new = spark.createDataFrame([(5, "b"), (None, "n"), (2000, "c")], "k long, v string")
