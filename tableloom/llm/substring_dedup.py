@@ -21,7 +21,7 @@ gives an empty result. Cuts never split a character.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize, ship
@@ -33,8 +33,8 @@ MAX_CHUNK = 1024
 EVERY = 28
 #: Least words, or else bytes, of a span that is removed.
 MIN_WORDS, MIN_BYTES = 50, 400
-#: Bytes compared before and after a run. A cut comes later than this with a probability below 0.001.
-AROUND = 256
+#: Bytes compared before and after a run: so many at least, and the whole neighbouring chunk with MARGIN beyond its cut.
+AROUND, MARGIN = 256, 64
 GEAR_SEED = 20_240_229
 
 
@@ -149,7 +149,10 @@ def copied_runs(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k", "c")).alias("first")
     keepers = materialize(found.groupBy("d1", "d2").agg(first), "keepers")
     again = found.join(keepers, ["d1", "d2"]).where("k <> first.k or c <> first.c")
-    again = again.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("k", "c").orderBy("seq")))
+    # equal rows have the same chunks: they meet as a set, before the shuffle where they share a task
+    chunks = F.array_sort(F.collect_set(F.struct("seq", "start", "end", "d1", "d2", "first")))
+    again = again.groupBy("k", "c").agg(chunks.alias("chunks")).select("k", "c", F.posexplode("chunks").alias("pos", "chunk"))
+    again = again.select("k", "c", (F.col("chunk.seq") - F.col("pos")).alias("run"), "chunk.*")
     side = F.struct("d1", "d2", F.col("first.k").alias("k"), F.col("first.c").alias("c"))
     runs = again.groupBy("k", "c", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first.doc_id", "seq").alias("first_id"),
@@ -161,7 +164,8 @@ def copied_runs(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """d1, d2, before, after: what stands around chunks, AROUND bytes each way, where the document that keeps them has them first."""
+    """d1, d2, before, after: what stands around chunks, the neighbouring chunk or AROUND bytes each way, where the document
+    that keeps them has them first."""
     asked = runs.select(F.explode(F.array("left", "right")).alias("s")).select("s.*").distinct()
     asked = asked.groupBy("k", "c").agg(F.collect_list(F.struct("d1", "d2")).alias("chunks"))  # no more than the document has
     texts = keyed(docs).join(asked, ["k", "c"]).select("text", F.col("chunks.d1").alias("d1"), F.col("chunks.d2").alias("d2"))
@@ -174,10 +178,11 @@ def surroundings(docs: DataFrame, runs: DataFrame) -> DataFrame:
             for text, d1, d2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 ends, wanted = cut_ends(data, gear), set(zip(d1, d2))
-                for start, end, d in zip([0, *ends], ends, map(tuple, digests(data, ends).tolist())):
+                around = zip([0, 0, *ends], [0, *ends], ends, [*ends[1:], len(data)], map(tuple, digests(data, ends).tolist()))
+                for last, start, end, then, d in around:
                     if d in wanted:
                         wanted.discard(d)
-                        out.append((*d, data[max(0, start - AROUND) : start], data[end : end + AROUND]))
+                        out.append((*d, data[max(0, min(last - MARGIN, start - AROUND)) : start], data[end : max(then + MARGIN, end + AROUND)]))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds)], ["d1", "d2", "before", "after"])
 
@@ -227,8 +232,9 @@ def removed_spans(data: bytes, runs: list[tuple]) -> list[tuple]:
     """(start, end, first_id) of what goes, from runs (start, end, first_id, before, after), in bytes."""
     spans: list[list] = []
     for start, end, owner, before, after in sorted(runs, key=lambda r: r[0]):
-        start -= common_end(data[max(0, start - AROUND) : start], before or b"")
-        end += common_start(data[end : end + AROUND], after or b"")
+        before, after = before or b"", after or b""
+        start -= common_end(data[max(0, start - len(before)) : start], before)
+        end += common_start(data[end : end + len(after)], after)
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], end)
         else:

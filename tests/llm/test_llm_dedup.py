@@ -205,6 +205,53 @@ def test_substrings_of_repeated_rows_and_rows_without_ids(spark):
     assert next(r.text for r in got if r.doc_id == 9) == long and next(r.text for r in got if r.doc_id == 10).strip() == "tail of its own"
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 60])
+def test_short_phrases_in_repeated_rows_stay(spark, copies):
+    """Twelve shared phrases of 14 words with words of their own between: nothing is long enough to go, however often a row repeats."""
+    rng = np.random.default_rng(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda n: " ".join("".join(letters[x] for x in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n))
+    rows = []
+    for k in range(6):
+        phrases = [words(14) for _ in range(12)]
+        a, b = (" ".join(p + " " + words(12) for p in phrases) for _ in range(2))
+        rows += [(2 * k, a), *[(2 * k + 1, b)] * copies]
+    passage = words(60)
+    rows += [(100, f"{words(30)} {passage} {words(30)}"), *[(101, f"{words(30)} {passage} {words(30)}")] * copies]
+    texts = dict(rows)
+    got = substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    for doc_id in texts:
+        mine = sorted((r for r in got if r.doc_id == doc_id), key=lambda r: -len(r.text))
+        assert all(r.text == "" for r in mine[1:])
+        if doc_id != 101:
+            assert mine[0].text == texts[doc_id] and not word_runs(texts[doc_id], [t for d, t in texts.items() if d < doc_id and d < 100], 50)
+        else:
+            (span,) = mine[0].removed
+            assert texts[101][span.start : span.end].strip() == passage
+
+
+def test_passages_of_few_cuts_grow_by_whole_chunks(spark):
+    """A table of numbers has chunks of up to MAX_CHUNK bytes; its edges go with it."""
+    rng = np.random.default_rng(8)
+    gear = substring_dedup.gear_table()
+    grown = 0
+    for k in range(12):
+        edge = f" {k % 10}{(k + 3) % 10}" * 300
+        passage = f"start{k} {edge} {sentence(300 + k, 60)} {edge} stop{k}"
+        a, b = (sentence(int(x), 80) for x in rng.integers(1000, 10**6, 2))
+        docs = spark.createDataFrame([(1, a + " " + passage + " " + b), (2, b[::-1] + " " + passage + " " + a[::-1])], "doc_id long, text string")
+        text = docs.where("doc_id = 2").first().text
+        kept = next(r for r in substring_dedup.clean(docs).collect() if r.doc_id == 2)
+        left = sum(len(text[s.start : s.end]) for s in kept.removed)
+        ends = substring_dedup.cut_ends(text.encode(), gear)
+        grown += max(np.diff([0, *ends])) > substring_dedup.AROUND
+        assert left >= len(passage) - 20, (k, left, len(passage))
+        if grown >= 3:
+            break
+    assert grown
+
+
 def test_gear_hash_and_cuts():
     gear = substring_dedup.gear_table()
     data = sentence(3, 300).encode()
