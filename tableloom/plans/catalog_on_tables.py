@@ -227,10 +227,13 @@ def met_preview(t):
 
 
 @query("""
-WITH d AS (SELECT o_orderkey, o_custkey, o_orderstatus, 1 AS s FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, -1 FROM orders WHERE o_orderkey % 10 = 0)
-SELECT CASE s WHEN 1 THEN '+ ' ELSE '- ' END || 'o_orderkey=' || o_orderkey || ', o_custkey=' || o_custkey || ', o_orderstatus=' || o_orderstatus || CASE s WHEN 1 THEN ' (x2)' ELSE '' END AS line FROM d ORDER BY 1 LIMIT 20""")
+WITH d AS (SELECT o_orderkey, o_custkey, o_orderstatus, 1 AS s FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, -1 FROM orders WHERE o_orderkey % 10 = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey || ', ' || o_custkey || ', ' || o_orderstatus) AS r FROM d)
+SELECT 'columns: o_orderkey, o_custkey, o_orderstatus' AS line
+UNION ALL SELECT CASE s WHEN 1 THEN '+ actual   (x2): ' ELSE '- expected (x1): ' END || o_orderkey || ', ' || o_custkey || ', ' || o_orderstatus FROM n WHERE r <= 20
+UNION ALL SELECT '... (more rows differ)' FROM n WHERE r = 21""")
 def cmp_report(t):
-    """The first twenty lines of a comparison: some rows too many, twice, and some missing."""
+    """The columns and the first twenty rows of a comparison, some there too often, twice, and some missing."""
     orders = t.orders.select(*ORDER_COLUMNS)
     more = orders.where("o_orderkey % 10 = 3")
     actual = orders.where("o_orderkey % 10 <> 0").union(more).union(more)

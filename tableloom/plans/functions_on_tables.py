@@ -160,6 +160,23 @@ def udf_aggregate(t):
     return t.events.where("value is not null").groupBy("user_id").agg(F.round(F.expr(f"{name}(value)"), 6).alias("spread"))
 
 
+@query("SELECT event_type, round(stddev_samp(value), 6) AS deviation FROM events GROUP BY 1")
+def udf_mergeable(t):
+    """A deviation from counts, means and squares that tasks make of their own rows and merge: every group here is a hot one."""
+    def update(state, values):
+        v = values.dropna().to_numpy()
+        own = (len(v), float(v.mean()) if len(v) else 0.0, float(((v - v.mean()) ** 2).sum()) if len(v) else 0.0)
+        return own if state is None else merge(state, own)
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        far = b[1] - a[1]
+        return (n, a[1] + far * b[0] / n, a[2] + b[2] + far * far * a[0] * b[0] / n) if n else a
+
+    rule = udfs.Mergeable("n long, mean double, squares double", "double", update, merge, lambda s: (s[2] / (s[0] - 1)) ** 0.5 if s[0] > 1 else None)
+    return udfs.aggregate_by(t.events, "event_type", "value", rule, "deviation").withColumn("deviation", F.round("deviation", 6))
+
+
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 def udf_python_model(t):
     def model(ctx):

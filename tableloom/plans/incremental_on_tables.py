@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as ck
 from ..operators import incremental as inc
-from ..operators import scd, tables
+from ..operators import scd, tables, views
 from ..streaming import events as ev
 from .base import query
-from .catalog_on_tables import scratch
+from .catalog_on_tables import exported, scratch
 
 OLD = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
 NEW = "SELECT o_orderkey, o_custkey, 'N' AS o_orderstatus, o_totalprice * 1.1 AS o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01'"
@@ -376,3 +376,75 @@ def scd_date_times(t):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return scd.scd2_init(version_1(t).withColumn("changed", F.col("changed").cast("date")), scd.Scd2(["c_custkey"], scd.Timestamp("changed")), NOW1)
+
+
+BY_STATUS = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status"
+
+
+@query(f"""
+SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS o_totalprice, CASE WHEN o_orderkey % 4 = 1 THEN 'moved' ELSE status END AS status
+FROM (SELECT *, {BY_STATUS} FROM orders) UNION ALL SELECT -o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 50 = 0""")
+def inc_build_null_partition(t):
+    """A merge into a table with a null partition: rows move to another partition, others are added to the null one, which keeps its own."""
+    name = scratch(t, "orders")
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")
+    rows = t.orders.select("o_orderkey", "o_totalprice", status)
+    inc.build_incremental(t.spark, name, rows, "merge", "o_orderkey", partition_by=["status"])
+    moved = rows.where("o_orderkey % 4 = 1").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("moved").alias("status"))
+    more = t.orders.where("o_orderkey % 50 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit(None).cast("string").alias("status"))
+    return inc.build_incremental(t.spark, name, moved.union(more), "merge", "o_orderkey")
+
+
+@query("""
+SELECT event_id, user_id, value, event_type FROM events WHERE event_type <> 'click' OR user_id % 5 <> 0
+UNION ALL SELECT -event_id, user_id, 0.5, 'click' FROM events WHERE event_type = 'click' AND user_id % 5 = 0 AND event_id % 2 = 0""")
+def inc_build_delete_insert(t):
+    """delete+insert by user within clicks: the partition of clicks is written again, the others are not read but for their keys."""
+    name, rows = scratch(t, "events"), t.events.select("event_id", "user_id", "value", "event_type")
+    inc.build_incremental(t.spark, name, rows, partition_by=["event_type"])
+    again = rows.where("event_type = 'click' and user_id % 5 = 0 and event_id % 2 = 0")
+    gone = rows.where("event_type = 'click' and user_id % 5 = 0").select("user_id", "event_type").distinct()
+    again = gone.join(again.select("user_id", "event_type", (-F.col("event_id")).alias("event_id"), F.lit(0.5).alias("value")), ["user_id", "event_type"], "left")
+    inc.build_incremental(t.spark, name, again.select(*rows.columns), "delete+insert", ["user_id", "event_type"])
+    return t.spark.table(name).where("event_id is not null")
+
+
+SPLIT = _history(T1, T2, "h.nation IS DISTINCT FROM v2.nation", GONE)
+
+
+@query(f"SELECT *, valid_to IS NULL AS is_open FROM ({SPLIT})")
+def scd_partitioned(t):
+    """A history whose current and ended versions are stored apart; the third run changes nothing."""
+    name, rule = scratch(t, "customers"), scd.Scd2(["c_custkey"], scd.Check(["nation"]), hard_deletes="invalidate")
+    for rows, now in ((version_1(t), NOW1), (version_2(t), NOW2), (version_2(t), NOW3)):
+        scd.snapshot_table(t.spark, name, rows, rule, now, split="is_open")
+    return t.spark.table(name)
+
+
+@query("""
+SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS latest, round(avg(value), 6) AS mean, bool_or(value > 400) AS high
+FROM events WHERE event_type NOT IN ('view') GROUP BY 1""")
+def snk_view_refresh(t):
+    """A view over a table whose partitions come, change and go: a refresh reads those that did."""
+    src, name = scratch(t, "events"), scratch(t, "users")
+    rows = t.events.select("user_id", "value", "ts", (F.col("value") > 400).alias("over"), "event_type")
+    tables.build_table(t.spark, src, rows.where("event_type = 'view' or event_id % 2 = 0"), partition_by=["event_type"])
+    measures = {"n": ("count", "*"), "total": ("sum", "value"), "latest": ("max", "ts"), "mean": ("avg", "value"), "high": ("bool_or", "over")}
+    view = views.AggregateView(src, ["user_id"], measures)
+    views.refresh(t.spark, name, view)
+    tables.append(t.spark, src, rows.where("event_type <> 'view' and event_id % 2 = 1"))
+    tables.drop_partition(t.spark, src, {"event_type": "view"})
+    views.refresh(t.spark, name, view)
+    return t.spark.table(name).select("user_id", "n", F.round("total", 4).alias("total"), "latest", F.round("mean", 6).alias("mean"), "high")
+
+
+@query("SELECT user_id, max(ts) AS latest FROM events GROUP BY 1")
+def evt_stream_latest(t):
+    """Events in three files, in no order of time, streamed one file at a time: the latest of each user stands in the table."""
+    path, name = exported(t, "stream"), scratch(t, "latest")
+    rows = t.events.select("user_id", "ts", "event_id")
+    rows.repartition(3, F.pmod(F.xxhash64("event_id"), F.lit(3))).write.parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ev.merge_stream(stream, name, "user_id", f"{path}-checkpoint", event_time="ts").awaitTermination()
+    t.spark.catalog.refreshTable(name)
+    return t.spark.table(name).select("user_id", F.col("ts").alias("latest"))

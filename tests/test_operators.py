@@ -10,7 +10,7 @@ from tableloom.functions import collections
 from tableloom.functions import dates as fd
 from tableloom.functions import scalar as fs
 from tableloom.functions import udfs
-from tableloom.operators import checks, compare, freshness, lineage, metadata, runs, scd, tables
+from tableloom.operators import checks, compare, freshness, lineage, metadata, runs, scd, tables, views
 from tableloom.operators import incremental as inc
 from tableloom.sources import fixtures, relations, seeds
 from tableloom.streaming import events
@@ -92,7 +92,8 @@ def test_compare(spark):
     diff = compare.multiset_diff(a, b)
     assert got(diff) == sorted([(1, None, 1), (3, "NULL", -1)], key=repr)
     assert compare.comparison(diff).first() == (2, False)
-    assert compare.diff_report(diff) == ["+ k=1, v=NULL", "- k=3, v=NULL"]
+    assert compare.diff_report(diff) == ["columns: k, v", "+ actual   (x1): 1, NULL", "- expected (x1): 3, NULL"]
+    assert compare.diff_report(diff, 1) == ["columns: k, v", "+ actual   (x1): 1, NULL", "... (more rows differ)"]
     assert compare.comparison(compare.multiset_diff(a, a)).first() == (0, True)
     assert compare.expected_columns(a, b, {"v": 1}) == ["v"] and compare.expected_columns(a, None) == ["k", "v"]
     assert compare.run_model_test(lambda orders: orders.select("k"), {"orders": a}, a.select("k")) == (True, [])
@@ -534,3 +535,102 @@ def test_kept_steps_come_and_go(spark):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_views_are_refreshed_from_what_changed(spark, name):
+    rows = spark.createDataFrame([(k % 4, float(k), f"d/{k % 3}" if k % 5 else None) for k in range(40)], "g int, v double, day string")
+    src = name + "s"
+    tables.build_table(spark, src, rows, partition_by=["day"])
+    measures = {"n": ("count", "*"), "some": ("count", "v"), "total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "mean": ("avg", "v"), "kinds": ("approx_distinct", "g")}
+    view = views.AggregateView(src, ["g"], measures, where="v <> 7")
+    right = lambda: got(spark.table(name)) == got(view.whole(spark).select(*spark.table(name).columns))
+    assert views.refresh(spark, name, view) == "created" and right()
+    assert views.refresh(spark, name, view) == "unchanged"
+    tables.persist_docs(spark, name, "about it")
+    before = files_of(spark, name + views.STATE, "part__day")
+    tables.append(spark, src, spark.createDataFrame([(9, 1.5, "d/1"), (9, 2.5, "new"), (1, None, "new")], rows.schema))
+    tables.drop_partition(spark, src, {"day": "d/2"})
+    assert views.refresh(spark, name, view) == "refreshed" and right()
+    after = files_of(spark, name + views.STATE, "part__day")
+    assert {p for p in before if before[p] != after.get(p)} == {"d/1", "d/2"} and "new" in after and None in after
+    inc.overwrite_where(spark, src, rows.where("day is null").withColumn("v", F.lit(1.0)), "day is null")
+    assert views.refresh(spark, name, view) == "refreshed" and right()
+    assert tables.layout_of(spark, name).description == "about it"
+    less = views.AggregateView(src, ["g"], {"n": ("count", "*")})
+    assert views.refresh(spark, name, less) == "rebuilt" and got(spark.table(name)) == got(less.whole(spark))
+    tables.truncate(spark, src)
+    assert views.refresh(spark, name, less) == "refreshed" and spark.table(name).count() == 0
+    whole = name + "w"
+    tables.build_table(spark, whole, rows)
+    flat = views.AggregateView(whole, ["g"], {"n": ("count", "v")})
+    assert views.refresh(spark, name + "f", flat) == "created" and views.refresh(spark, name + "f", flat) == "rebuilt"
+
+
+def test_streams_in_any_order_give_one_table(spark, name, tmp_path):
+    """Late and repeated keys, ties, nulls and replays: the latest version stands."""
+    import random
+
+    base = datetime(2024, 1, 1)
+    rows = [(k % 7, base.replace(day=1 + (k * 5) % 20), f"v{k}") for k in range(60)] + [(3, None, "no time"), (8, None, "alone"), (1, base.replace(day=25), "tie a"), (1, base.replace(day=25), "tie b")]
+    schema = "k int, at timestamp_ntz, v string"
+    want = {}
+    for n in range(2):
+        mixed = random.Random(n).sample(rows, len(rows)) + rows[:10]
+        for part in range(3):
+            spark.createDataFrame(mixed[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in{n}"))
+        events.merge_stream(stream, f"{name}{n}", "k", str(tmp_path / f"cp{n}"), "at").awaitTermination(120)
+        if n:  # and all of it once more
+            again = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{n}"))
+            events.merge_stream(again, f"{name}{n}", "k", str(tmp_path / "cp-again"), "at").awaitTermination(120)
+        spark.catalog.refreshTable(f"{name}{n}")
+        want[n] = got(spark.table(f"{name}{n}"))
+    latest = {k: max(a for j, a, _ in rows if j == k and a) for k in range(7)}
+    assert want[0] == want[1] and {r[0]: r[1] for r in want[0]} == {**latest, 8: None}
+
+
+def test_streams_refuse_what_chance_would_decide(spark, name, tmp_path):
+    spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="repeat within"):
+        events.merge_stream(stream, name, "k", str(tmp_path / "cp")).awaitTermination(60)
+
+
+def test_watermarks_bound_the_repeats_that_are_known(spark, name, tmp_path):
+    rows = [(k, datetime(2024, 1, 1 + k % 3), "x") for k in range(9)]
+    for part in (rows, rows, rows[:4]):
+        spark.createDataFrame(part, "k int, at timestamp, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, at timestamp, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = events.merge_stream(stream, name, "k", str(tmp_path / "cp"), "at", "10 days")
+    query.awaitTermination(120)
+    spark.catalog.refreshTable(name)
+    assert sorted(r.k for r in spark.table(name).collect()) == list(range(9))
+    assert sum(p.numInputRows for p in query.recentProgress) == 22 and query.recentProgress[0].stateOperators[0].numRowsTotal == 9
+
+
+def test_mergeable_aggregates(spark):
+    """Null keys and values, several keys, a hot group in many tasks, and states that are handed on early."""
+    rule = udfs.Mergeable("n long, low double", "struct<n:long,low:double>", lambda s, v: ((s[0] if s else 0) + int(v.notna().sum()), min([x for x in (s[1] if s else None, *v.dropna().tolist()) if x is not None], default=None)),
+                          lambda a, b: (a[0] + b[0], min([x for x in (a[1], b[1]) if x is not None], default=None)), lambda s: {"n": s[0], "low": s[1]})
+    rows = [(1, "a", float(k)) for k in range(400)] + [(k, None, None if k % 2 else 2.0) for k in range(50)] + [(None, "b", 7.0), (None, "b", None)]
+    df = spark.createDataFrame(rows, "k int, g string, v double").repartition(8)
+    want = got(df.groupBy("k", "g").agg(F.struct(F.count("v").alias("n"), F.min("v").alias("low")).alias("r")))
+    assert got(udfs.aggregate_by(df, ["k", "g"], "v", rule, "r")) == want
+    before, udfs.MAX_GROUPS = udfs.MAX_GROUPS, 3
+    try:
+        assert got(udfs.aggregate_by(df, ["k", "g"], "v", rule, "r")) == want
+    finally:
+        udfs.MAX_GROUPS = before
+    assert udfs.aggregate_by(df.limit(0), "g", "v", rule).count() == 0
+
+
+def test_bucketed_comparison(spark):
+    """The same rows as the plain one; rows that differ only in where a null stands are told apart; equal tables stay where they are."""
+    rows = [(k, None if k % 3 else f"v{k}", k % 2 or None) for k in range(300)]
+    a = spark.createDataFrame(rows + [(None, "x", 5), (1000, "x", None)], "k int, v string, w int")
+    b = spark.createDataFrame(rows + [(5, "x", None), (1000, None, 0)] + rows[:2] * 2, "k int, v string, w int")
+    for left, right in ((a, b), (b, a), (a, a), (a, a.limit(0)), (a.limit(0), a.limit(0))):
+        for buckets in (1, 16, 4096):
+            assert got(compare.bucketed_diff(left, right, buckets=buckets)) == got(compare.multiset_diff(left, right))
+    assert "Exchange" in compare.multiset_diff(a, a)._jdf.queryExecution().toString()
+    assert compare.bucketed_diff(a, a)._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation")
