@@ -383,7 +383,7 @@ BY_STATUS = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS s
 
 @query(f"""
 SELECT o_orderkey, o_totalprice * CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END AS o_totalprice, CASE WHEN o_orderkey % 4 = 1 THEN 'moved' ELSE status END AS status
-FROM (SELECT *, {BY_STATUS} FROM orders) UNION ALL SELECT -o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 50 = 0""")
+FROM (SELECT *, {BY_STATUS} FROM orders) UNION ALL SELECT -o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 50 = 10""")
 def inc_build_null_partition(t):
     """A merge into a table with a null partition: rows move to another partition, others are added to the null one, which keeps its own."""
     name = scratch(t, "orders")
@@ -391,7 +391,7 @@ def inc_build_null_partition(t):
     rows = t.orders.select("o_orderkey", "o_totalprice", status)
     inc.build_incremental(t.spark, name, rows, "merge", "o_orderkey", partition_by=["status"])
     moved = rows.where("o_orderkey % 4 = 1").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("moved").alias("status"))
-    more = t.orders.where("o_orderkey % 50 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit(None).cast("string").alias("status"))
+    more = t.orders.where("o_orderkey % 50 = 10").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", F.lit(None).cast("string").alias("status"))
     return inc.build_incremental(t.spark, name, moved.union(more), "merge", "o_orderkey")
 
 
