@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import delete, materialize
 
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
         found = materialize(newest.join(step, "node").select(F.col("next").alias("node")).distinct(), "reach-found")
         again = seen.join(found, "node", "left_semi").select("node")
         newest = materialize(found.join(again, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        discard(found)
+        delete(found.sparkSession, found.kept_at)
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, freshness, metadata, runs, tables
+from ..operators import compare, freshness, incremental, metadata, runs, tables, views
 from ..session import SCRATCH, own_dir
 from ..sources import fixtures, relations, seeds
 from .base import query
@@ -261,3 +261,24 @@ def cmp_columns(t):
     expected = t.customer.where("c_custkey % 6 <> 1").select("c_custkey", F.lit("other").alias("c_name"))
     columns = compare.expected_columns(t.customer, expected, {"c_custkey": 1})
     return compare.multiset_diff(t.customer.select("c_custkey", "c_name"), expected, columns)
+
+
+@query("""
+WITH e AS (SELECT * FROM events WHERE event_type <> 'view' OR event_id % 3 <> 0)
+SELECT 'events' AS relation, 'event_id' AS "column", 1 AS position, count(*) AS n_rows, count(event_id) AS n_values, CAST(min(event_id) AS VARCHAR) AS low, CAST(max(event_id) AS VARCHAR) AS high, true AS near_distinct, true AS near_median FROM e
+UNION ALL SELECT 'events', 'user_id', 2, count(*), count(user_id), CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR), true, true FROM e
+UNION ALL SELECT 'events', 'event_type', 3, count(*), count(event_type), min(event_type), max(event_type), true, NULL FROM e""")
+def met_statistics(t):
+    """Statistics kept for each partition: a second look scans the partition that changed. Sketches are held against exact numbers."""
+    name, kept = scratch(t, "events"), scratch(t, "statistics")
+    rows = t.events.select("event_id", "user_id", "event_type")
+    tables.build_table(t.spark, name, rows, partition_by=["event_type"])
+    views.table_statistics(t.spark, name, kept)
+    incremental.overwrite_where(t.spark, name, rows.where("event_type = 'view' and event_id % 3 <> 0"), "event_type = 'view'")
+    found = views.table_statistics(t.spark, name, kept)
+    now = t.spark.table(name)
+    exact = now.agg(*[F.count_distinct(c).alias(c) for c in now.columns], *[F.percentile(c, F.array(F.lit(0.46), F.lit(0.54))).alias(f"{c}_middle") for c in ("event_id", "user_id")]).first()
+    pick = lambda suffix, n=None: F.coalesce(*[F.when(F.col("column") == c, F.lit(exact[c + suffix] if n is None else exact[c + suffix][n])) for c in now.columns if c + suffix in exact])
+    near = (F.abs(F.col("n_distinct") - pick("")) <= 0.08 * pick("") + 1).alias("near_distinct")
+    middle = F.col("median").between(pick("_middle", 0), pick("_middle", 1)).alias("near_median")
+    return found.select(F.lit("events").alias("relation"), "column", "position", "n_rows", "n_values", "low", "high", near, middle)

@@ -634,3 +634,25 @@ def test_bucketed_comparison(spark):
             assert got(compare.bucketed_diff(left, right, buckets=buckets)) == got(compare.multiset_diff(left, right))
     assert "Exchange" in compare.multiset_diff(a, a)._jdf.queryExecution().toString()
     assert compare.bucketed_diff(a, a)._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation")
+
+
+def test_statistics_stay_within_their_bounds(spark, name):
+    """Sketches of partitions, merged: distinct values within 5 percent, quantiles within 1.5 percent of the rows, as new partitions come."""
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.concat(F.lit("u"), (F.col("id") % 5000).cast("string")).alias("u"), F.when(F.col("id") % 4 > 0, F.sqrt("id")).alias("x"), (F.col("id") % 6).cast("int").alias("day"))
+    stats = name + "stats"
+    for upto in (2, 4, 6):
+        tables.build_table(spark, name, rows.where(F.col("day") < upto), partition_by=["day"]) if upto == 2 else tables.append(spark, name, rows.where((F.col("day") < upto) & (F.col("day") >= upto - 2)))
+        before = files_of(spark, stats + views.STATE, "part__day") if upto > 2 else {}
+        found = {r.column: r for r in views.table_statistics(spark, name, stats).collect()}
+        assert all(files_of(spark, stats + views.STATE, "part__day")[p] == f for p, f in before.items())
+        now = rows.where(F.col("day") < upto)
+        n = now.count()
+        for c in ("k", "u", "x"):
+            exact = now.select(c).distinct().dropna().count()
+            assert found[c].n_rows == n and found[c].n_values == now.where(f"{c} is not null").count() and abs(found[c].n_distinct - exact) <= 0.05 * exact
+            low, high = now.agg(F.min(c).cast("string"), F.max(c).cast("string")).first()
+            assert (found[c].low, found[c].high) == (low, high)
+        for c, share, value in (("k", 0.25, found["k"].q25), ("k", 0.5, found["k"].median), ("x", 0.75, found["x"].q75)):
+            assert abs(now.where(F.col(c) <= value).count() / found[c].n_values - share) <= 0.015
+        assert found["u"].median is None
+    assert found["day"].position == 4
