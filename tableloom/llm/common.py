@@ -62,9 +62,11 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds copy, gapless from 0 among the rows that agree in ``keys``.
 
     Copies are numbered within the parts that a table was read in, and after the counted copies of
-    the parts before, so no task holds all copies of a row.
+    the parts before, so no task holds all copies of a row. Where no row repeats, which is counted first, there is no more to do.
     """
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "numbered-rows")
+    if rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows.drop("part").withColumn("copy", F.lit(0).cast("long"))
     upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))

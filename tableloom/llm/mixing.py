@@ -119,7 +119,12 @@ def laid_out(sizes: DataFrame, targets: DataFrame, n_docs: int, few_sources: boo
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, copy: what the mix needs of the documents, kept, so that texts are read once."""
+    return materialize(numbered(word_counts(docs), ["doc_id", "source", "size"]), "word-counts")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
     """The mix: one row per slot and piece of a document in it.
 
     doc_id, source, size, source_no, source_size, target, start (of the document in its source), slot,
@@ -128,7 +133,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     deviates from its target, stay unused.
     """
     spark = docs.sparkSession
-    sizes = materialize(numbered(word_counts(docs), ["doc_id", "source", "size"]), "word-counts")  # texts are read once
+    sizes = sized(docs) if sizes is None else sizes
     targets = source_targets(sizes, block=block)
     n_docs, n_sources = sizes.agg(F.count(F.lit(1)), F.approx_count_distinct("source")).first()
     laid = laid_out(sizes, targets, n_docs, n_sources <= FEW_SOURCES)
@@ -165,18 +170,25 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     All columns of ``docs`` stay. A document that its source's share takes only in part (at most
     one per source and round) has its text cut to the words taken; n_chars, if there, follows.
     """
+    sizes = sized(docs.select("doc_id", "text", "source"))
     parts = (
-        mix(docs.select("doc_id", "text", "source"))
+        mix(docs, sizes=sizes)
         .where("slot is not null")
         .groupBy("doc_id", "source", "copy", "size", "epoch")
         .agg(F.min("from_word").alias("a"), F.max("to_word").alias("b"))
         .groupBy("doc_id", "source", "copy", "size")
         .agg(F.collect_list(F.struct("epoch", "a", "b")).alias("parts"))  # MAX_EPOCHS at most
     )
-    # rows that repeat doc_id, source and size share the parts out by their number
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_key"), F.col("source").alias("source_key"), n.alias("n_words"))
-    held = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_key", "source_key", "n_words").orderBy("row.text")) - 1)
+    # rows that repeat doc_id, source and size share the parts out by their number; the others are not moved for that
+    again = materialize(sizes.where("copy > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).distinct(), "repeated-names")
+    named = F.col("doc_key").eqNullSafe(F.col("d")) & F.col("source_key").eqNullSafe(F.col("s")) & (F.col("n_words") == F.col("z"))
+    if again.isEmpty():
+        held = held.withColumn("nth", F.lit(0).cast("long"))
+    else:
+        once = held.join(again, named, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+        held = once.unionByName(numbered(held.join(again, named, "left_semi"), ["doc_key", "source_key", "n_words"]).withColumnRenamed("copy", "nth"))
     same = F.col("doc_key").eqNullSafe(parts["doc_id"]) & F.col("source_key").eqNullSafe(parts["source"]) & (F.col("n_words") == parts["size"]) & (F.col("nth") == parts["copy"])
     part = held.join(parts, same).select("row", "size", F.explode("parts").alias("p"))
     whole = (F.col("p.a") == 0) & (F.col("p.b") == F.col("size"))
