@@ -7,8 +7,9 @@ hashed. The messages' own texts are hashed the same way and pre-aggregated to on
 pairs up the messages that share a common line. A quoting message replies to the original of the
 match at the lowest quote level, of these the longest: the earliest message before it in its own
 conversation, else the earliest before it in (conv_id, turn) order anywhere. So a deeper passage links
-where none above it has an original. Replies follow from their thread's first message by
-pointer doubling over paths; within a thread messages are ordered by path, that is by reply.
+where none above it has an original. A thread's first message is found by pointer doubling; within a
+thread a message comes before its replies, which follow in their own order, each with its replies. That order
+comes from ranking the walk around each tree as a linked list, so rows keep one size however deep a thread is.
 
 Defined results: null text counts as empty and stays empty; a message without quote marks keeps its text
 as it is and is ordered by its turn; a quotation without an original is removed all the same; units
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import delete
 from .common import materialize
 
 MARK = r"^(?:[ \t]*>)+"
@@ -99,38 +101,70 @@ def reply_links(messages: DataFrame) -> DataFrame:
     return best.select("conv_id", "turn", F.col("original.conv_id").alias("reply_conv"), F.col("original.turn").alias("reply_turn"))
 
 
-def reply_paths(links: DataFrame) -> DataFrame:
-    """conv_id, turn, path: the messages from the thread's first down to this one.
+def in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds at, gapless from 0 in the order of ``columns``: a distributed sort, then counts of the partitions before."""
+    rows = rows.orderBy(*columns).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    rows = materialize(rows, "in-order")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", "low", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(counts), "part").withColumn("at", F.col("at") - F.col("low") + F.col("before")).drop("part", "low", "before")
+
 
-    Every step doubles the distance looked back, so a chain of n replies takes log2(n) joins. A reply
+def thread_roots(edges: DataFrame) -> DataFrame:
+    """node, root, depth for each row of ``edges`` (node, up).
+
+    Every step doubles the distance looked back, so a chain of n replies takes log2(n) joins of rows of one size. A reply
     comes after its original in (conv_id, turn) order, so there are no cycles.
     """
-    node = F.struct("conv_id", "turn")
-    state = links.select(node.alias("node"), F.struct(F.col("reply_conv").alias("conv_id"), F.col("reply_turn").alias("turn")).alias("up"), F.array(node).alias("path"))
-    state = materialize(state, "reply-paths")
-    while not state.where("up is not null").isEmpty():
-        above = state.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("path").alias("a_path"))
-        state = state.join(above, F.col("up") == F.col("a_node"), "left").select(
-            "node",
-            F.col("a_up").alias("up"),
-            F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("a_path", F.array("up")), F.col("path"))).alias("path"),
+    state = materialize(edges.select("node", "up", F.lit(1).alias("depth"), F.lit(False).alias("done")), "thread-roots")
+    while not (live := state.where("not done")).isEmpty():
+        above = state.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("done").alias("a_done"))
+        moved = live.join(above, F.col("up") == F.col("a_node"), "left").select(
+            "node", F.coalesce("a_up", "up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"), F.coalesce("a_done", F.lit(True)).alias("done")
         )
-        state = materialize(state, "reply-paths")
-    return state.select("node.conv_id", "node.turn", "path")
+        state, old = materialize(state.where("done").unionByName(moved), "thread-roots"), state
+        delete(state.sparkSession, old.kept_at)
+    return state.select("node", F.col("up").alias("root"), "depth")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """key, copies, position and what else ``rows`` has: the place in the order of path and key.
+def preorder(edges: DataFrame) -> DataFrame:
+    """node, place for each row of ``edges`` (node, up): places rise in the order of a tree's walk, each message before
+    its replies, those in the order of their nodes.
 
-    Positions are gapless from 0 within thread_conv; a key that repeats takes as many places. A
-    distributed sort, then sums by partition: a thread of any size is spread over partitions.
+    The walk is a list that enters and leaves each node; the length of what is left of it is found by doubling, so
+    deep and broad threads alike take as many joins as their size has binary digits, on unique keys.
     """
-    rows = rows.orderBy("thread_conv", "path", "key").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    rows = materialize(rows, "sorted-messages")
-    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("part", "low", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    rows = rows.join(F.broadcast(counts), "part").withColumn("at", F.col("at") - F.col("low") + F.col("before")).drop("part", "low", "before")
+    sorted_ = in_order(edges.select("up", "node"), ["up", "node"])
+    after = sorted_.select((F.col("at") - 1).alias("at"), F.col("up").alias("n_up"), F.col("node").alias("sibling"))
+    sibling = F.when(F.col("n_up") == F.col("up"), F.col("sibling"))
+    children = sorted_.join(after, "at", "left").select("node", "up", sibling.alias("sibling"))
+    first = edges.groupBy("up").agg(F.min("node").alias("child")).withColumnRenamed("up", "parent")
+    end = lambda node, side: F.struct(F.col(node).alias("node"), F.lit(side).alias("side"))
+    nodes = edges.select("node").union(edges.select("up")).distinct().join(first, F.col("node") == F.col("parent"), "left")
+    enters = nodes.select(end("node", 0).alias("e"), F.when(F.col("child").isNotNull(), end("child", 0)).otherwise(end("node", 1)).alias("next"), F.lit(1).cast("long").alias("left"))
+    leaves = children.select(end("node", 1).alias("e"), F.when(F.col("sibling").isNotNull(), end("sibling", 0)).otherwise(end("up", 1)).alias("next"), F.lit(0).cast("long").alias("left"))
+    state = materialize(enters.unionByName(leaves), "walk")  # to leave a root is the end of its list, which has no row
+    while not (live := state.where("next is not null")).isEmpty():
+        ahead = state.select(F.col("e").alias("a_e"), F.col("next").alias("a_next"), F.col("left").alias("a_left"))
+        moved = live.join(ahead, F.col("next") == F.col("a_e"), "left").select("e", F.col("a_next").alias("next"), (F.col("left") + F.coalesce("a_left", F.lit(0))).alias("left"))
+        state, old = materialize(state.where("next is null").unionByName(moved), "walk"), state
+        delete(state.sparkSession, old.kept_at)
+    return state.where("e.side = 0").select(F.col("e.node").alias("node"), (-F.col("left")).alias("place"))
+
+
+def reply_places(links: DataFrame) -> DataFrame:
+    """conv_id, turn, thread_conv, thread_turn (of the thread's first message), reply_depth, place: for each reply."""
+    edges = links.select(F.struct("conv_id", "turn").alias("node"), F.struct(F.col("reply_conv").alias("conv_id"), F.col("reply_turn").alias("turn")).alias("up"))
+    edges = materialize(edges, "reply-edges")
+    found = thread_roots(edges).join(preorder(edges), "node")
+    return found.select("node.conv_id", "node.turn", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("depth").alias("reply_depth"), "place")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds position, gapless from 0 within thread_conv in the order of thread_turn, place and key; a key that repeats takes
+    as many. A thread of any size is spread over partitions."""
+    rows = in_order(rows, ["thread_conv", "thread_turn", "place", "key"])
     first = rows.groupBy(F.col("thread_conv").alias("t")).agg(F.min("at").alias("first"))
     rows = rows.join(first, F.col("thread_conv").eqNullSafe(F.col("t"))).withColumn("position", F.col("at") - F.col("first"))
     return rows.drop("t", "first", "at")
@@ -156,12 +190,16 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     rows = parsed(messages)
     links = materialize(reply_links(rows), "reply-links")
-    paths = materialize(reply_paths(links), "reply-paths")
+    threads = materialize(reply_places(links), "reply-places")
     keyed = rows.select(message_key().alias("key"), "conv_id", "turn")
-    keyed = with_few(with_few(keyed, links), paths)
-    keyed = keyed.withColumn("path", F.coalesce("path", F.array(F.struct("conv_id", "turn"))))
-    keyed = keyed.select("key", "reply_conv", "reply_turn", "path", F.col("path")[0]["conv_id"].alias("thread_conv"), (F.size("path") - 1).alias("reply_depth"))
-    places = placed(keyed).drop("path").groupBy("key", "reply_conv", "reply_turn", "thread_conv", "reply_depth").agg(
+    keyed = with_few(with_few(keyed, links), threads)
+    # what replies to nothing comes first in a thread of its own
+    first = F.col("place").isNull()
+    keyed = keyed.select(
+        "key", "reply_conv", "reply_turn", *[F.when(first, F.col(own)).otherwise(F.col(c)).alias(c) for c, own in (("thread_conv", "conv_id"), ("thread_turn", "turn"))],
+        F.coalesce("reply_depth", F.lit(0)).alias("reply_depth"), F.coalesce("place", F.lit(-(2**62))).alias("place"),
+    )
+    places = placed(keyed).groupBy("key", "reply_conv", "reply_turn", "thread_conv", "reply_depth").agg(
         F.min("position").alias("first"), F.count(F.lit(1)).alias("copies")
     )
     held = rows.select(message_key().alias("key"), "conv_id", "turn", "role", "text", "quote_depth")

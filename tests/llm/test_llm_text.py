@@ -458,6 +458,30 @@ def test_quotations_against_brute_force(spark, tmp_path, seed):
     compare(queries.QUERIES["op4_chat_format"](spark, str(tmp_path)), queries.ORACLE_SQL["op4_chat_format"], str(tmp_path))
 
 
+@pytest.mark.parametrize("shape", ["random", "star", "chain"])
+def test_walks_of_reply_trees(spark, shape):
+    """Forests, one message with very many replies, and a chain of 100 000: the order of a walk, roots and depths."""
+    rng = np.random.default_rng(3)
+    n = 100_000 if shape == "chain" else 2000
+    up = {k: k - 1 if shape == "chain" else 0 if shape == "star" else int(rng.integers(max(0, k - 40), k)) for k in range(1, n) if shape != "random" or k % 50}
+    node = lambda k: (k // 7, k % 7)
+    links = spark.createDataFrame([(*node(k), *node(p)) for k, p in up.items()], "conv_id long, turn int, reply_conv long, reply_turn int")
+    got = {(r.conv_id, r.turn): r for r in chat_format.reply_places(links).collect()}
+    children: dict = {}
+    for k in sorted(up):
+        children.setdefault(up[k], []).append(k)
+    assert len(got) == len(up)
+    for root in [k for k in children if k not in up]:
+        walk, todo = [], [(root, 0)]
+        while todo:
+            k, depth = todo.pop()
+            walk.append((k, depth))
+            todo += [(c, depth + 1) for c in reversed(children.get(k, ()))]
+        rows = [got[node(k)] for k, _ in walk[1:]]
+        assert all((r.thread_conv, r.thread_turn) == node(root) and r.reply_depth == d for r, (_, d) in zip(rows, walk[1:]))
+        assert all(a.place < b.place for a, b in zip(rows, rows[1:]))
+
+
 def test_a_line_that_all_quote_and_a_very_long_text(spark):
     rows = [(0, 0, "user", "The same line that all quote here."), (0, 1, "user", "The same line that all quote here.")]
     rows += [(k, 0, "user", f"> The same line that all quote here.\nMy own answer {k}") for k in range(1, 400)]
