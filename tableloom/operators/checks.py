@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 VERDICT = "failures long, should_warn boolean, should_error boolean"
 
 
@@ -19,9 +21,81 @@ def not_null(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
 
 
-def unique(df: DataFrame, column: str) -> DataFrame:
-    """unique_field, n_records: values, null aside, that more than one row has."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("unique_field"))
+#: Hashes that a task packs at once, and as many as a group of them gets; repeated hashes that are broadcast at most.
+PACKED, FEW_REPEATS = 2_000_000, 500_000
+
+
+def hash_repeats(rows: DataFrame) -> DataFrame:
+    """h: the 64-bit hashes that more than one row of ``rows`` has.
+
+    A task sorts its hashes and sends the differences, split by the leading bits and compressed, in about six bytes a row
+    however wide a row is; what repeats within a task is sent once. Groups of leading bits are as many as the count of
+    the rows asks for, so each fits its task.
+    """
+    import zlib
+
+    import pyarrow as pa
+
+    h = F.xxhash64(*[x for c in rows.columns for x in (F.col(c), F.col(c).isNull())])
+    bits = max(0, (rows.count() // PACKED).bit_length())
+    at_once = PACKED
+
+    def deltas(sorted_):
+        import numpy as np
+
+        return zlib.compress(np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+    def pack(batches):
+        import numpy as np
+
+        def packed(held):
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            group = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            parts = [(int(group[i]), deltas(hashes[i:j]), deltas(hashes[i:j][n[i:j] > 1])) for i, j in zip(cuts[:-1], cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*parts), (pa.int64(), pa.binary(), pa.binary()))], ["g", "once", "twice"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            size += len(held[-1])
+            if size >= at_once:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def repeats(table):
+        import numpy as np
+
+        whole = lambda data: np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
+        every, n = np.unique(np.concatenate([whole(x) for x in table["once"].to_pylist()]), return_counts=True)
+        found = np.unique(np.concatenate([every[n > 1], *[whole(x) for x in table["twice"].to_pylist()]]))
+        return pa.table({"h": pa.array(found.view(np.int64))})
+
+    return rows.select(h.alias("h")).mapInArrow(pack, "g long, once binary, twice binary").groupBy("g").applyInArrow(repeats, "h long")
+
+
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` that are there more than once, found by their hashes: rows that are there once stay where they are.
+
+    A row whose hash is another's by chance may come along, so who counts must count these. Where more hashes repeat than are
+    broadcast, it is all rows.
+    """
+    found = materialize(hash_repeats(rows), "repeated-hashes")
+    if found.limit(FEW_REPEATS + 1).count() > FEW_REPEATS:
+        return rows
+    h = F.xxhash64(*[x for c in rows.columns for x in (F.col(c), F.col(c).isNull())])
+    return rows.withColumn("__h", h).join(F.broadcast(found.withColumnRenamed("h", "__h")), "__h", "left_semi").drop("__h")
+
+
+def unique(df: DataFrame, column: str, by_hash: bool = False) -> DataFrame:
+    """unique_field, n_records: values, null aside, that more than one row has.
+
+    ``by_hash`` is for large tables of wide keys: a first pass finds what repeats by hashes, and only that is shuffled.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("unique_field"))
+    counts = (repeated_rows(rows) if by_hash else rows).groupBy("unique_field")
     return counts.agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
 
 
@@ -45,13 +119,14 @@ def _columns(df: DataFrame, columns: Sequence[str], skip: Sequence[str]) -> list
     return [c for c in columns if c not in set(skip)] if columns else []
 
 
-def aggregated_unique(df: DataFrame, columns: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+def aggregated_unique(df: DataFrame, columns: Sequence[str], skip: Sequence[str] = (), by_hash: bool = False) -> DataFrame:
     """column_name, unique_field, n_records: :func:`unique` for many columns in one scan and one shuffle."""
     names = _columns(df, columns, skip)
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, unique_field string, n_records long")
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("unique_field")) for c in names])
-    counts = df.select(F.explode(cells).alias("c")).select("c.*").where("unique_field is not null").groupBy("column_name", "unique_field")
+    rows = df.select(F.explode(cells).alias("c")).select("c.*").where("unique_field is not null")
+    counts = (repeated_rows(rows) if by_hash else rows).groupBy("column_name", "unique_field")
     return counts.agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1").orderBy("column_name", "unique_field")
 
 

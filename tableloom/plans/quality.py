@@ -117,6 +117,17 @@ def cmp_multiset(t):
     return compare.multiset_diff(orders.where("o_orderkey % 10 <> 0").union(orders.where("o_orderkey % 7 = 0")), orders)
 
 
+@query("""
+WITH k AS (SELECT 'order-' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-line-' || l_linenumber AS name FROM lineitem
+  UNION ALL SELECT 'order-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '-line-1' FROM orders WHERE o_orderkey % 97 = 3)
+SELECT name AS unique_field, count(*) AS n_records FROM k GROUP BY 1 HAVING count(*) > 1""")
+def chk_unique_by_hash(t):
+    """Wide keys: their hashes are packed and shuffled, and of the keys themselves only those that repeat."""
+    name = lambda order, line: F.concat(F.lit("order-"), F.lpad(F.col(order).cast("string"), 12, "0"), F.lit("-line-"), line.cast("string")).alias("name")
+    keys = t.lineitem.select(name("l_orderkey", F.col("l_linenumber"))).union(t.orders.where("o_orderkey % 97 = 3").select(name("o_orderkey", F.lit(1))))
+    return ck.unique(keys, "name", by_hash=True)
+
+
 @query("""
 WITH a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 7 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders),
 u AS (SELECT *, 1 AS s FROM a UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, -1 FROM orders)

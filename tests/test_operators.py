@@ -656,3 +656,27 @@ def test_statistics_stay_within_their_bounds(spark, name):
             assert abs(now.where(F.col(c) <= value).count() / found[c].n_values - share) <= 0.015
         assert found["u"].median is None
     assert found["day"].position == 4
+
+
+def test_uniqueness_by_hash(spark, monkeypatch):
+    """Exact on planted repeats, nulls and several columns, within tasks and across them; and where too much repeats."""
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("key-"), (F.col("id") % 2950).cast("string"))).alias("a"), (F.col("id") % 2990).alias("b"), F.lit("same").alias("c")).repartition(6)
+    for packed in (checks.PACKED, 100):
+        monkeypatch.setattr(checks, "PACKED", packed)
+        assert got(checks.unique(df, "a", by_hash=True)) == got(checks.unique(df, "a")) and checks.unique(df, "a").count() == 45
+        assert got(checks.aggregated_unique(df, ["a", "b", "c"], by_hash=True)) == got(checks.aggregated_unique(df, ["a", "b", "c"]))
+        assert checks.unique(df.where("b < 2950 and a is not null").dropDuplicates(["a"]), "a", by_hash=True).count() == 0
+        assert checks.unique(df.limit(0), "a", by_hash=True).count() == 0
+    monkeypatch.setattr(checks, "FEW_REPEATS", 3)
+    assert got(checks.unique(df, "a", by_hash=True)) == got(checks.unique(df, "a"))
+
+
+def test_unique_keys_move_as_packed_hashes(spark):
+    """Of wide keys, all unique, a small share of the bytes is shuffled."""
+    rows = spark.range(200_000).select(F.concat(F.sha2(F.col("id").cast("string"), 256), F.md5(F.col("id").cast("string"))).alias("k"))
+    found = checks.hash_repeats(rows)
+    assert found.collect() == []
+    node = found._jdf.queryExecution().executedPlan().executedPlan()
+    while "ShuffleQueryStage" not in node.nodeName():
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    assert 0 < node.plan().metrics().apply("shuffleBytesWritten").value() < 0.12 * 200_000 * 96
