@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +11,37 @@ from pyspark.sql import functions as F
 from ..session import delete, materialize
 
 
+#: Steps of a walk between two writes.
+LEAP = 4
+
+
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
-    """node, depth: what ``seeds`` (column node) lead to along ``edges`` (src, dst), and themselves.
+    """node, depth: what ``seeds`` (column node) lead to along ``edges`` (src, dst), and themselves. Null is no node.
 
-    A breadth-first walk: each step joins the newest nodes to the edges and drops what has been seen.
-    Every step is a table in the shared folder, so none is computed twice, the plan does not grow with
-    depth, and its real size lets a small frontier be broadcast: then neither the edges nor what has been
-    seen is shuffled. The walk ends when a step finds nothing.
+    A breadth-first walk in leaps of ``LEAP`` steps. Within a leap each step joins the one before to the edges, in one plan whose
+    exchanges are shared between the steps; nodes that were seen before may come up again there and are dropped at
+    its end, when each node keeps its least depth. Every leap is a table in the shared folder, so none is computed twice, the
+    plan does not grow with depth, and its real size lets a small frontier be broadcast. The walk ends when the last step of
+    a leap finds nothing new.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seen = newest = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
+    step = edges.dropna(subset=["src", "dst"]).select(F.col(a).alias("node"), F.col(b).alias("next"))
+    seen = frontier = materialize(seeds.select("node").dropna().distinct().withColumn("depth", F.lit(0)), "reach")
     depth = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        found = materialize(newest.join(step, "node").select(F.col("next").alias("node")).distinct(), "reach-found")
-        again = seen.join(found, "node", "left_semi").select("node")
-        newest = materialize(found.join(again, "node", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        steps = LEAP if max_depth is None else min(LEAP, max_depth - depth)
+        front, waves = frontier.select("node"), []
+        for k in range(steps):
+            front = front.join(step, "node").select(F.col("next").alias("node")).distinct()
+            waves.append(front.withColumn("depth", F.lit(depth + k + 1)))
+        found = materialize(reduce(DataFrame.unionByName, waves).groupBy("node").agg(F.min("depth").alias("depth")), "reach-found")
+        again = seen.join(found.select("node"), "node", "left_semi").select("node")
+        newest = materialize(found.join(again, "node", "left_anti"), "reach")
         delete(found.sparkSession, found.kept_at)
-        if newest.isEmpty():
+        depth += steps
+        seen, frontier = seen.unionByName(newest), newest.where(F.col("depth") == depth)
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(newest)
     return seen
 
 

@@ -680,3 +680,21 @@ def test_unique_keys_move_as_packed_hashes(spark):
     while "ShuffleQueryStage" not in node.nodeName():
         node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
     assert 0 < node.plan().metrics().apply("shuffleBytesWritten").value() < 0.12 * 200_000 * 96
+
+
+def test_reach_in_leaps(spark):
+    """Depths of a graph with cycles, short cuts and a chain, against a plain walk."""
+    import random
+
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(30)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(110)] + [(5, 5), (100, 101), (None, 3), (3, None)]
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    for seeds, direction, most in (([0], "down", None), ([7, 60, 999], "up", None), ([0], "down", 5), ([0], "down", 0)):
+        want, front, depth = {s: 0 for s in seeds}, set(seeds), 0
+        while front and (most is None or depth < most):
+            depth += 1
+            ends = {(b if direction == "down" else a) for a, b in pairs if (a if direction == "down" else b) in front}
+            front = {e for e in ends if e is not None and e not in want}
+            want |= {e: depth for e in front}
+        found = lineage.reach(edges, spark.createDataFrame([(s,) for s in seeds], "node int"), direction, most)
+        assert {r.node: r.depth for r in found.collect()} == want and found.count() == len(want)
