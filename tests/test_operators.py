@@ -698,3 +698,40 @@ def test_reach_in_leaps(spark):
             want |= {e: depth for e in front}
         found = lineage.reach(edges, spark.createDataFrame([(s,) for s in seeds], "node int"), direction, most)
         assert {r.node: r.depth for r in found.collect()} == want and found.count() == len(want)
+
+
+def plain_walk(pairs, seeds):
+    want, front, depth = {s: 0 for s in seeds}, set(seeds), 0
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    while front:
+        depth += 1
+        front = {b for a in front for b in out.get(a, ()) if b not in want}
+        want |= {b: depth for b in front}
+    return want
+
+
+def test_reach_contracts_what_is_deep(spark, monkeypatch):
+    """A chain of 1000, with leaves at each node, a cycle of its own, short cuts into it, and a ring at its end: exact depths in few rounds."""
+    import random
+
+    chain = [(k, k + 1) for k in range(1000)]
+    leaves = [(k, 5000 + k) for k in range(0, 1000, 3)]
+    cuts = [(100, 400), (350, 120), (600, 900), (600, 899)]
+    ring = [(1000, 2000), *((2000 + k, 2000 + (k + 1) % 50) for k in range(50)), (3000, 3001), (3001, 3000)]
+    rng = random.Random(4)
+    tree = [(10_000 + rng.randrange(max(0, k - 6), k), 10_000 + k) for k in range(1, 900)]
+    wild = [(k, k + 1) for k in range(40)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(100)]
+    writes = []
+    keep = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, label: writes.append(label) or keep(df, label))
+    for pairs, seeds, most in ((chain, [0], 40), (chain + leaves + cuts + ring, [0, 3000], 70), (tree, [10_000], 110), (wild, [0], None)):
+        writes.clear()
+        edges = spark.createDataFrame(pairs, "src int, dst int")
+        found = lineage.reach(edges, spark.createDataFrame([(s,) for s in seeds], "node int"))
+        assert {r.node: r.depth for r in found.collect()} == plain_walk(pairs, seeds) and found.count() == len(plain_walk(pairs, seeds))
+        assert most is None or len(writes) <= most, len(writes)
+    edges = spark.createDataFrame(chain + cuts, "src int, dst int")
+    some = lineage.reach(edges, spark.createDataFrame([(0,)], "node int"), "down", 150)
+    assert {r.node: r.depth for r in some.collect()} == {k: d for k, d in plain_walk(chain + cuts, [0]).items() if d <= 150}
