@@ -5,7 +5,8 @@ fingerprints collapse first; the distinct ones are cut into segments with a radi
 fingerprints that differ in at most 4 bits differ within the radius in one of the segments at least. A
 Hamming ball of that radius is enumerated in each segment; the matches of the segment tables are verified
 over all 64 bits, and links are joined to components. Wide segments make more probes and fewer chance
-matches, so the cut follows the number of distinct fingerprints (:func:`segments_for`).
+matches, so the cut follows the number of distinct fingerprints (:func:`segments_for`). A segment value that very many
+distinct fingerprints share is compared with its middle first; pairs are made between components only (:func:`near_links`).
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null doc_id is
 ignored as a component's id unless a component has no other; repeated rows share a fingerprint; texts
@@ -36,6 +37,10 @@ CUTS = (
 )
 SHINGLE = 4
 SEED = 42
+#: Segment values with more fingerprints than this are compared by stars before pairs.
+FULL = 16
+#: Stars of a full segment value, at most.
+TURNS = 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -99,17 +104,82 @@ def around(key, flips: list[int]):
     return F.transform(F.lit(flips).cast("array<bigint>"), lambda x: key.bitwiseXOR(x))
 
 
-def near_pairs(fps: DataFrame, segments=CUTS[0]) -> DataFrame:
-    """a, b: pairs of distinct fingerprints (column fp) that differ in at most MAX_BITS bits."""
+def keyed(fps: DataFrame, segments) -> tuple[DataFrame, DataFrame]:
+    """(b, key: the segment tables; a, key: what every fingerprint probes there)."""
     held, probed = [], []
     for k, (low, bits, radius) in enumerate(segments):
         own = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(k << 40))
         held.append(own)
         probed.append(around(own, ball(bits, radius)))
     tables = fps.select(F.col("fp").alias("b"), F.explode(F.array(*held)).alias("key"))
-    probes = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probed))).alias("key"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return probes.join(tables, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    return tables, fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probed))).alias("key"))
+
+
+def close(a, b):
+    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+
+
+def near_pairs(fps: DataFrame, segments=CUTS[0]) -> DataFrame:
+    """a, b: pairs of distinct fingerprints (column fp) that differ in at most MAX_BITS bits."""
+    tables, probes = keyed(fps, segments)
+    return probes.join(tables, "key").where((F.col("a") < F.col("b")) & close(F.col("a"), F.col("b"))).select("a", "b").distinct()
+
+
+def stars(placed: DataFrame) -> DataFrame:
+    """a, b: links of the fingerprints of a segment value (``placed``: key, fp, part) to one that stands in the middle of
+    those that are not in its main part: the one that differs least from their majority of bits."""
+    main = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    apart = placed.join(materialize(main.where("parts > 1"), "main-parts"), "key").where("part <> main OR most = 1")
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"bit{i}") for i in range(64)]
+    sums = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *bits)
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.shiftleft((F.col(f"bit{i}") * 2 > F.col("n")).cast("long"), i))
+    middles = materialize(sums.select("key", middle.alias("middle")), "middles")
+    off = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))), "fp")
+    heads = apart.join(middles, "key").groupBy("key").agg(F.min_by(F.struct("fp", "part"), off).alias("head"))
+    near = placed.join(materialize(heads, "segment-heads"), "key").where((F.col("part") != F.col("head.part")) & close(F.col("fp"), F.col("head.fp")))
+    return near.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def near_links(fps: DataFrame, segments=CUTS[0], full: int = FULL) -> DataFrame:
+    """a, b: links between fingerprints that differ in at most MAX_BITS bits, enough to make the components of them all.
+
+    Segment values of at most ``full`` fingerprints are probed for all pairs. Fuller ones, where a large group of
+    near copies stands, first get TURNS of stars; only pairs of fingerprints that these leave in different components are
+    made there, so a group does not make all its pairs, and no pair that joins components is left out.
+    """
+    tables, probes = keyed(fps, segments)
+    hot = materialize(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > full).select("key"), "full-segments")
+    if hot.isEmpty():
+        return near_pairs(fps, segments)
+    own = materialize(tables.join(hot, "key").select("key", F.col("b").alias("fp")), "full-rows")
+    links = parts = None
+    placed = own.withColumn("part", F.col("fp"))
+    for _ in range(TURNS):
+        found = materialize(stars(placed), "stars")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        parts = materialize(connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("part")), "star-parts")
+        placed = materialize(own.join(parts, "fp", "left").select("key", "fp", F.coalesce("part", "fp").alias("part")), "full-rows")
+    main = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    main = materialize(main, "main-parts")
+    asked = probes.join(main, "key")
+    if parts is not None:
+        asked = asked.join(parts.select(F.col("fp").alias("a"), F.col("part").alias("of_a")), "a", "left")
+    asked = asked.withColumn("of_a", F.coalesce("of_a", "a") if parts is not None else F.col("a"))
+    held = placed.select("key", F.col("fp").alias("b"), F.col("part").alias("of_b"))
+    aside = held.join(main, "key").where("of_b <> main").drop("main")
+    fit = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & close(F.col("a"), F.col("b"))
+    # those of the main part meet what is not of it only, so no two of its fingerprints are paired
+    crossing = [asked.where("of_a = main").join(aside, "key").where(fit), asked.where("of_a <> main").join(held, "key").where(fit)]
+    few = probes.join(hot, "key", "left_anti").join(tables, "key").where((F.col("a") < F.col("b")) & close(F.col("a"), F.col("b")))
+    out = few.select("a", "b")
+    for more in [*crossing, *([links] if links is not None else [])]:
+        out = out.unionByName(more.select("a", "b"))
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -120,8 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = materialize(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first")
     distinct = materialize(marked.groupBy("fp").agg(first), "distinct-fingerprints")
-    pairs = near_pairs(distinct.select("fp"), segments_for(distinct.count()))
-    parts = connected_components(pairs).select(F.col("node").alias("fp"), "component")
+    links = near_links(distinct.select("fp"), segments_for(distinct.count()))
+    parts = connected_components(links).select(F.col("node").alias("fp"), "component")
     placed = materialize(distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "fingerprint-parts")
     # the heads are a table of their own, so that the join back can split a component that holds much
     heads = materialize(placed.groupBy("component").agg(F.min("first").alias("head")), "component-heads")

@@ -129,6 +129,40 @@ def test_hamming_balls_find_every_pair(spark):
     assert simhash.segments_for(10**5) == simhash.CUTS[0] and simhash.segments_for(10**10) == simhash.CUTS[3]
 
 
+def flipped(rng, base, flips):
+    """A fingerprint (signed) with some bits of ``base`` flipped."""
+    x = int(base) & (2**64 - 1)
+    for bit in rng.choice(64, flips, replace=False):
+        x ^= 1 << int(bit)
+    return x - 2**64 if x >= 2**63 else x
+
+
+def test_groups_of_near_fingerprints_make_few_pairs(spark):
+    """Two large groups, one of which shares a segment with the other, a chain of steps of four bits, and strangers: the components of
+    all pairs, from a small share of them."""
+    rng = np.random.default_rng(8)
+    one = int(rng.integers(-(2**63), 2**63 - 1, dtype=np.int64))
+    two = one ^ (0x5A5A5A << 40)  # the low segments are the same
+    fps = {flipped(rng, b, int(rng.integers(0, 5))) for b in (one, two) for _ in range(700)}
+    step = one
+    for k in range(12):
+        step ^= 0b1111 << 4 * k
+        fps.add(step)
+    fps |= {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)}
+    fps = sorted(fps)
+    u = np.array(fps, np.int64).view(np.uint64)
+    pairs = list(zip(*np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None]) <= 4, 1))))
+    comp = union_find(len(fps), pairs)
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for cut, full in ((simhash.CUTS[0], 8), (simhash.CUTS[3], simhash.FULL), (simhash.CUTS[0], 0)):
+        got = [(r.a, r.b) for r in simhash.near_links(table, cut, full).collect()]
+        at = {f: k for k, f in enumerate(fps)}
+        assert all((a ^ b).bit_count() <= 4 if a ^ b >= 0 else ((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in got)
+        mine = union_find(len(fps), [(at[a], at[b]) for a, b in got])
+        assert len({(comp[k], mine[k]) for k in range(len(fps))}) == len(set(comp[k] for k in range(len(fps)))) == len(set(mine[k] for k in range(len(fps))))
+        assert full > 8 or len(got) < len(pairs) / 3, (len(got), len(pairs))
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 200), (200, 200)]
     links = spark.createDataFrame(pairs + [(None, 5)], "a long, b long")
