@@ -28,7 +28,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words and a Jaccard similarity of 0.8; why it is not found by fingerprints stands in ``near_jaccard``."""
+    """SimHash links of five-word shingles, verified at a Jaccard similarity of 0.8; pairs of that similarity whose
+    fingerprints lie further apart are linked by prefix filtering (``near_jaccard``)."""
     return near_jaccard.drop_near_duplicates(docs)
 
 

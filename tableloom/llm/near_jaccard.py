@@ -1,12 +1,15 @@
-"""Near-duplicate documents by exact Jaccard similarity of five-word shingles.
+"""Near-duplicate documents: SimHash links, an exact check of them, and an exact way for the rest.
 
 Two texts are near duplicates if their sets of lower-cased shingles of ``SHINGLE`` words have a
-Jaccard similarity of at least ``THRESHOLD``. SimHash cannot propose these pairs: at 0.8 two
-fingerprints differ in about 10 of 64 bits, up to 18, and balls of that radius hold a fixed share of
-all pairs. Candidates come from prefix filtering instead, which misses none: with the shingles of each set
-in one global order, two sets of n shingles can only reach the similarity t if they share one of their first
-n - ceil(t n) + 1. The order puts rare shingles first, by a hashed table of counts of bounded size, so a
-passage that many documents share proposes nothing.
+Jaccard similarity of at least ``THRESHOLD``. SimHash comes first: fingerprints of these shingles are linked by
+multi-index hashing (:func:`simhash.near_links`), and each link is kept if the sets of its texts confirm it.
+
+Fingerprints miss links: at 0.8 two of them differ in about 10 of 64 bits, up to 18, and balls of that radius
+hold a fixed share of all pairs. What they leave in different components is therefore linked by prefix filtering,
+which misses none: with the shingles of each set in one global order, two sets of n shingles can only reach the
+similarity t if they share one of their first n - ceil(t n) + 1. The order puts rare shingles first, by a hashed
+table of counts of bounded size, so a passage that many documents share proposes nothing. Shingles that only
+texts of one component share are left out, before anything of them is kept.
 
 Equal sets collapse first. The texts of a shared shingle are compared with one of them, at each turn
 another; only those that are then still in different components are compared pair by pair, so a large group
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, keep_rows, materialize, row_key, ship
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, near_links, segments_for, shingle_hashes
 
 ship(__name__)
 SHINGLE = 5
@@ -109,43 +112,45 @@ def usualness(held, levels) -> int:
 
 
 def sketches(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, text_key, node (a hash of the shingle set), n (its size), usual (how frequent its shingles are)."""
+    """doc_id, text_key, node (a hash of the shingle set), n (its size), usual (how frequent its shingles are),
+    fp (the SimHash fingerprint), prefix (the shingles of :func:`prefix` as bytes)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        import numpy as np
+
         levels = shared.value
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            hashes = [shingle_hashes(t, SHINGLE) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
             columns = [
                 pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
-                pa.array([usualness(x, levels) for x in sets], pa.int32()),
+                pa.array([usualness(x, levels) for x in sets], pa.int32()), pa.array([fingerprint_of(h) for h in hashes], pa.int64()),
+                pa.array([prefix(x, levels).tobytes() for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "n", "usual"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "n", "usual", "fp", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, usual int")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, usual int, fp long, prefix binary")
 
 
-def prefixes(docs: DataFrame, shared) -> DataFrame:
-    """key, node, at: the prefix shingles of every text and their places."""
+def prefixes(nodes: DataFrame, with_part: bool) -> DataFrame:
+    """key and part, or key, node and at (its place): the prefix shingles of ``nodes``."""
 
     def run(batches):
         import numpy as np
 
-        levels = shared.value
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                held = shingle_set(text)
-                keys.append(prefix(held, levels))
-                nodes.append(set_key(held))
-                sizes.append(len(keys[-1]))
-            if keys:
-                at = np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                columns = [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), sizes), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "at"])
+            texts = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in texts], np.int64)
+            keys = np.frombuffer(b"".join(texts), np.int64)
+            columns = [keys, np.repeat(batch.column(0).to_numpy(), sizes)]
+            if not with_part:
+                columns.append((np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "part"] if with_part else ["key", "node", "at"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, at int")
+    rows = nodes.select("part" if with_part else "node", "prefix")
+    return rows.mapInArrow(run, "key long, part long" if with_part else "key long, node long, at int")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,24 +243,56 @@ def all_pairs(placed: DataFrame, mixed: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of ``asked`` (a, b) whose shingle sets are similar."""
+    ends = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key"))
+    sets = materialize(shingle_sets(docs, wanted), "shingle-sets")
+    links = materialize(verified(asked, sets), "verified-pairs")
+    discard(sets)
+    return links
+
+
+def fingerprint_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: the links between ``nodes`` that SimHash proposes and the shingle sets confirm."""
+    distinct = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "distinct-fingerprints")
+    near = near_links(distinct.select("fp"), segments_for(distinct.count()))
+    one, two = (distinct.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+    near = near.join(one, "a").join(two, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    equal = nodes.select("fp", "node").join(distinct, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    asked = materialize(near.unionByName(equal), "fingerprint-pairs")
+    links = confirmed(docs, nodes, asked)
+    discard(asked)
+    return links
+
+
 def components(docs: DataFrame, marked: DataFrame, shared) -> DataFrame:
     """node, component, first (doc_id and text_key of the node) for every node of ``marked``.
 
-    Turns of star pairs join what links to a bucket's head of the turn; texts that are in one component
-    make no more pairs. Once the pairs between components are few beside the texts, a turn joins nothing, or
-    the turns are over, all of them that can be similar are verified, so no link that joins two components is
-    left out.
+    SimHash links make the first components. Then turns of star pairs join what links to a bucket's head of the
+    turn; texts that are in one component make no more pairs. Once the pairs between components are few beside the
+    texts, a turn joins nothing, or the turns are over, all of them that can be similar are verified, so no link
+    that joins two components is left out.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first")
-    nodes = materialize(marked.groupBy("node").agg(first, F.first("n").alias("n"), F.first("usual").alias("usual")), "shingle-nodes")
-    held = prefixes(docs, shared).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    same = [F.first("n").alias("n"), F.first("usual").alias("usual"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")]
+    nodes = materialize(marked.groupBy("node").agg(first, *same), "shingle-nodes")
+    shared.unpersist()
+    links = fingerprint_links(docs, nodes)
+    parts = materialize(connected_components(links).select("node", F.col("component").alias("part")), "fingerprint-parts")
+    few = parts.count() <= FEW_NODES
+    whole = nodes.join(F.broadcast(parts) if few else parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    held = prefixes(whole, True).groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     held = materialize(held.select("key"), "shared-keys")
-    discard()
-    # twice computed, not kept: most shingles of a prefix are in one text only
-    spread = materialize(prefixes(docs, shared).join(held, "key").distinct(), "shared-prefixes")
-    placed = materialize(spread.join(nodes.select("node", "n", "usual"), "node").withColumn("part", F.col("node")), "shared-shingles")
-    discard(held, spread)
-    part_of = placed.select("node", "part").distinct()
+    discard(links)
+    # unpacked twice, not kept: most shingles of a prefix are in one text only
+    spread = materialize(prefixes(nodes, False).join(held, "key"), "shared-prefixes")
+    discard(held)
+    whole = materialize(whole.drop("prefix", "fp"), "node-parts")
+    discard(nodes, parts)
+    nodes, part_of = whole, whole.select("node", "part")
+    placed = materialize(spread.join(nodes.select("node", "n", "usual", "part"), "node"), "shared-shingles")
+    discard(spread)
     last = False
     for turn in range(TURNS + 1):
         mixed = materialize(crossing(placed), "mixed")
@@ -264,30 +301,28 @@ def components(docs: DataFrame, marked: DataFrame, shared) -> DataFrame:
             break
         last = last or turn == TURNS or pairs <= rows
         asked = materialize(all_pairs(placed, mixed) if last else star_pairs(placed, mixed, turn), "asked-pairs")
-        ends = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node", "left_semi").select(row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key"))
-        sets = materialize(shingle_sets(docs, wanted), "shingle-sets")
-        links = materialize(verified(asked, sets), "verified-pairs")
-        discard(sets)
+        links = confirmed(docs, nodes, asked)
         one = part_of.select(F.col("node").alias("a"), F.col("part").alias("part_a"))
         two = part_of.select(F.col("node").alias("b"), F.col("part").alias("part_b"))
         joined = connected_components(links.join(one, "a").join(two, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
-        joined = joined.select(F.col("node").alias("part"), "component")
-        finished, last = last, joined.isEmpty()
-        placed, before = placed.join(joined, "part", "left").select("key", "node", "n", "usual", "at", F.coalesce("component", "part").alias("part")), placed
-        placed = materialize(placed, "shared-shingles")
-        part_of = placed.select("node", "part").distinct()
-        discard(before, mixed, asked, links)
-        if finished:
+        joined = materialize(joined.select(F.col("node").alias("part"), "component"), "joined-parts")
+        part_of = part_of.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part"))
+        part_of = materialize(part_of, "node-parts")
+        discard(asked, links)
+        if last:
             break
-    found = part_of.select("node", F.col("part").alias("component"))
-    return nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        last, before = joined.isEmpty(), placed
+        # what only texts of one component share makes no more pairs
+        placed = placed.join(mixed.select("key"), "key", "left_semi").join(joined, "part", "left")
+        placed = placed.select("key", "node", "n", "usual", "at", F.coalesce("component", "part").alias("part"))
+        placed = materialize(placed, "shared-shingles")
+        discard(before, mixed)
+    return nodes.select("node", "first").join(part_of.select("node", F.col("part").alias("component")), "node")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: its smallest doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
-    marked = materialize(sketches(docs, shared), "sketches")
-    heads = components(docs, marked, shared).groupBy("component").agg(F.min("first").alias("head"))
+    heads = components(docs, sketches(docs, shared), shared).groupBy("component").agg(F.min("first").alias("head"))
     kept = heads.select(row_key(F.col("head.doc_id"), F.col("head.text_key")).alias("key"))
     return keep_rows(docs, text_key(), kept)

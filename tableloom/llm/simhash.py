@@ -61,9 +61,12 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
 
 def fingerprint(text: str | None, shingle: int) -> int:
     """The 64-bit fingerprint of one text, as a signed number."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     import numpy as np
 
-    hashes = shingle_hashes(text, shingle)
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -359,6 +359,44 @@ def test_near_stage_links_five_words_at_point_eight(spark):
     assert kept == {k for k in range(len(texts)) if want[k] == k}
 
 
+def test_near_stage_links_fingerprints_first(spark, monkeypatch):
+    """SimHash links near copies, the sets reject what only repeats alike, and linked texts place no shingle in the rest."""
+    import corpus_pipeline
+    from tableloom.llm import near_jaccard
+
+    rng = np.random.default_rng(41)
+    texts = []
+    for k in range(40):
+        words = sentence(6000 + k, 400).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            copy = list(words)
+            copy[rng.integers(400)] = "changed"
+            texts.append(" ".join(copy))
+    alike = len(texts)  # fingerprints of what is repeated, sets of what is not
+    texts += [f"{'one two three four five six seven ' * 60}{sentence(7000 + k, 30)}" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    similar = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    shared = spark.sparkContext.broadcast(near_jaccard.shingle_levels(docs))
+    marked = near_jaccard.sketches(docs, shared)
+    of = {r.node: r for r in marked.collect()}
+    first = F.struct("doc_id", "text_key").alias("first")
+    asked = []
+    check = near_jaccard.confirmed
+    monkeypatch.setattr(near_jaccard, "confirmed", lambda d, n, pairs: asked.append({(of[r.a].doc_id, of[r.b].doc_id) for r in pairs.collect()}) or check(d, n, pairs))
+    links = {(of[r.a].doc_id, of[r.b].doc_id) for r in near_jaccard.fingerprint_links(docs, marked.withColumn("first", first)).collect()}
+    rows = {r.doc_id: r for r in of.values()}
+    close = [(a, b) for a in rows for b in rows if b < a and bin((rows[a].fp ^ rows[b].fp) % 2**64).count("1") <= 4]
+    assert any(not similar(a, b) for a, b in asked[0]) and all(similar(a, b) for a, b in links)
+    part = union_find(len(texts), list(links))
+    assert len(links) > 40 and all(part[a] == part[b] for a, b in close if similar(a, b))
+    asked.clear()
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert kept == {*range(0, alike, 3), *range(alike, len(texts))}
+    assert all(part[a] != part[b] for more in asked[1:] for a, b in more)
+
+
 def test_near_copies_around_one_text_and_a_passage_of_all(spark, monkeypatch):
     """Copies edited less and more from one text, a passage that a hundred texts share, nulls, repeats and clashing names."""
     from tableloom.llm import near_jaccard
