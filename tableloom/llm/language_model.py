@@ -58,9 +58,11 @@ LEAST_SEEN = 2
 PRIOR = 8.0
 WORD_STEPS = 8
 #: Keys that one group of contexts adds up, about.
-GROUP_KEYS = 1_000_000
+GROUP_KEYS = 500_000
 #: Tokens that a task counts before it sends them.
-FLUSH = 1_000_000
+FLUSH = 400_000
+#: Distinct words that a task counts before it sends them.
+FLUSH_WORDS = 150_000
 #: A key is a context of CONTEXT_BITS bits and a word number of 16 bits. Frequent words come first; the other
 #: words of class c are RARE + c, and a class as what follows a context is WHOLE + c.
 CONTEXT_BITS = 36
@@ -88,7 +90,7 @@ class Codes(dict):
     """word -> number * CLASSES + class. Frequent words are given; others get 65536 + a hash, and a
     bounded number of them is remembered."""
 
-    most = 200_000
+    most = 60_000
 
     def __missing__(self, word: bytes) -> int:
         code = (65_536 + zlib.crc32(word)) * CLASSES + class_of(word)
@@ -183,7 +185,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 seen.update(words)
             code, one, two, _ = coded(docs, codes)
             cells += np.bincount(((two % CLASSES) * CLASSES + one % CLASSES) * CLASSES + code % CLASSES, minlength=CLASSES**3)
-            if len(seen) > 300_000:
+            if len(seen) > FLUSH_WORDS:
                 yield out(0, list(seen), list(seen.values()))
                 seen.clear()
         yield out(0, list(seen), list(seen.values()))
@@ -306,6 +308,18 @@ def unpacked(planes: bytes, more: bytes):
     return keys, counts
 
 
+def summed(held: list):
+    """The distinct keys of some arrays, sorted, and how often each is there. Empties the list, so that an array goes
+    before the next is made."""
+    import numpy as np
+
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    start, _ = starts_of(keys)
+    return keys[start], np.diff(start, append=len(keys))
+
+
 def word_grams(docs: DataFrame, known, groups: int) -> DataFrame:
     """context_group, keys, more: the n-grams and skips of the training texts, as blocks of sorted keys."""
 
@@ -317,7 +331,7 @@ def word_grams(docs: DataFrame, known, groups: int) -> DataFrame:
         held, size = [], 0
 
         def out():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = summed(held)
             group = group_of(keys >> np.uint64(16), groups)
             numbers, start = np.unique(group, return_index=True)
             blocks = [packed(k, c) for k, c in zip(np.split(keys, start[1:]), np.split(n, start[1:]))]
@@ -337,7 +351,7 @@ def word_grams(docs: DataFrame, known, groups: int) -> DataFrame:
             size += len(code)
             if size >= FLUSH:
                 yield from out()
-                held, size = [], 0
+                size = 0
         if held:
             yield from out()
 
@@ -349,7 +363,7 @@ def starts_of(x):
     import numpy as np
 
     new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    return np.flatnonzero(new), np.cumsum(new, dtype=np.int32 if len(x) < 1 << 31 else np.int64) - 1
 
 
 def fit_words(base, n, run, total):
@@ -438,15 +452,16 @@ def word_table(grams: DataFrame, log_base, log_class, groups: int, slots: int) -
     def merge(key, group):
         import numpy as np
 
-        blocks = [unpacked(*b) for b in zip(group.column("keys").to_pylist(), group.column("more").to_pylist())]
-        every = np.concatenate([b[0] for b in blocks])
-        keys = np.sort(every)
-        start, _ = starts_of(keys)
-        n = np.diff(np.append(start, len(keys)))
-        keys = keys[start]
-        for k, c in blocks:
-            more = np.flatnonzero(c > 1)
-            np.add.at(n, np.searchsorted(keys, k[more]), c[more] - 1)
+        held, again = [], []
+        for planes, more in zip(group.column("keys"), group.column("more")):
+            k, c = unpacked(planes.as_buffer(), more.as_buffer())
+            often = np.flatnonzero(c > 1)
+            held.append(k)
+            again.append((k[often], c[often] - 1))
+        keys, n = summed(held)
+        for k, more in again:
+            np.add.at(n, np.searchsorted(keys, k), more)
+        del again
         parts = word_features(keys, n, *shared.value, key[0].as_py(), groups, slots)
         kinds = (np.uint64, np.float32, np.uint64, np.float32)
         columns = [pa.array([np.asarray(x).astype(k).tobytes()], pa.binary()) for x, k in zip(parts, kinds)]

@@ -500,6 +500,22 @@ def test_registered_queries_match_sql(spark, sf):
         compare(queries.QUERIES[name](spark, sf), sql, sf)
 
 
+def test_language_model_adds_keys_up_in_place():
+    """A flush and a group hold little beside their keys, and count as np.unique does."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 2**52, 30_000).astype(np.uint64) % np.uint64(2**40) for _ in range(3 * 13)] + [np.arange(500, dtype=np.uint64)] * 2
+    want = np.unique(np.concatenate(held), return_counts=True)
+    tracemalloc.start()
+    begun = tracemalloc.get_traced_memory()[0]
+    keys, n = language_model.summed(held)
+    grown = tracemalloc.get_traced_memory()[1] - begun
+    tracemalloc.stop()
+    assert (keys == want[0]).all() and (n == want[1]).all() and not held
+    assert grown < 6 * want[0].nbytes
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
