@@ -121,13 +121,13 @@ def sketches(docs: DataFrame, shared) -> DataFrame:
 
         levels = shared.value
         for batch in batches:
-            hashes = [shingle_hashes(t, SHINGLE) for t in batch.column(2).to_pylist()]
-            sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
-            columns = [
-                pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
-                pa.array([usualness(x, levels) for x in sets], pa.int32()), pa.array([fingerprint_of(h) for h in hashes], pa.int64()),
-                pa.array([prefix(x, levels).tobytes() for x in sets], pa.binary()),
-            ]
+            rows = []
+            for text in batch.column(2):  # text by text: the hashes of a whole batch would be some hundred bytes a word
+                hashes = shingle_hashes(text.as_py(), SHINGLE)
+                held = np.unique(np.array(hashes, np.uint64))
+                rows.append((set_key(held), len(held), usualness(held, levels), fingerprint_of(hashes), prefix(held, levels).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "n", "usual", "fp", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")

@@ -160,13 +160,19 @@ def ranked(cut: DataFrame) -> DataFrame:
     )
 
 
+def slot_table(spark, rows: list[tuple]) -> DataFrame:
+    """The rows of :func:`plan` as a table. It goes by Arrow: a list of tuples would be read through an RDD of pickled
+    rows, for which every executor starts a second set of Python workers beside those of the SQL operators."""
+    columns = zip(*rows) if rows else [()] * 6
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], ["length", "r0", "r1", "each", "s0", "at"]))
+
+
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: PIECES, sequence_id, offset. The slot table is broadcast: its size is bounded by plan()."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id).withColumn("run", F.spark_partition_id()), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    rows = plan(counts, capacity)
-    slots = spark.createDataFrame(rows, "length long, r0 long, r1 long, each long, s0 long, at long")
+    slots = slot_table(spark, plan(counts, capacity))
     here = (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1"))
     place = F.col("rank") - F.col("r0")
     return ranked(cut).join(F.broadcast(slots), "length").where(here).select(

@@ -28,6 +28,8 @@ ship(__name__)
 #: About the most labelled rows the model is fitted on, those with the smallest hashes: the documented bound.
 MAX_SAMPLE = 40_000
 N_FEATURES = 2_000
+#: Counts that a task holds before it sends them on, and what one text adds; Spark sums them before the shuffle.
+HELD = 100_000
 #: Chance gives one in a million features a G squared above this.
 LEAST_G2 = 24.0
 THRESHOLD = 0.7
@@ -93,20 +95,17 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         seen = (Counter(), Counter())
 
         def out():
-            keys = [*{**seen[0], **seen[1]}]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([seen[0][k] for k in keys], pa.int64()), pa.array([seen[1][k] for k in keys], pa.int64())],
-                ["feature", "n0", "n1"],
-            )
+            for toxic, c in enumerate(seen):  # a table of both would hold all keys a second time
+                n = [pa.array(c.values(), pa.int64()), pa.array([0] * len(c), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), *(n[::-1] if toxic else n)], ["feature", "n0", "n1"])
+                c.clear()
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[toxic].update(features(text))
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield out()
-                for c in seen:
-                    c.clear()
-        yield out()
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield from out()
+        yield from out()
 
     partial = rows.select("text", "toxic").mapInArrow(run, "feature string, n0 long, n1 long")
     return partial.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

@@ -516,6 +516,62 @@ def test_language_model_adds_keys_up_in_place():
     assert grown < 6 * want[0].nbytes
 
 
+def task(stub):
+    """The function that an operator, called with the stub, gives to mapInArrow."""
+    return stub.select.return_value.mapInArrow.call_args[0][0]
+
+
+def test_packing_starts_no_second_set_of_workers(odd):
+    """The slot table is local data, not an RDD of pickled rows with Python workers of its own."""
+    plan = packing.pack(odd)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_toxicity_holds_few_counts(spark):
+    """What a task sends at once, and so holds, stays small within a batch too, and adds up to all counts."""
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"{k * 400 + i:06d}x" for i in range(500)) for k in range(400)]  # 160 100 words, each in two texts at most
+    stub = MagicMock()
+    toxicity.feature_counts(stub)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(400)], pa.int32())], ["text", "toxic"])
+    sent = list(task(stub)(iter([batch] * 2)))
+    got, want = (Counter(), Counter()), (Counter(), Counter())
+    for b in sent:
+        for f, *n in zip(*(c.to_pylist() for c in b.columns)):
+            for toxic in (0, 1):
+                got[toxic][f] += n[toxic]
+    for k, t in enumerate(texts):
+        for f in toxicity.features(t):
+            want[k % 2][f] += 2
+    assert all(+g == w for g, w in zip(got, want))
+    assert max(b.num_rows for b in sent) <= 110_000
+
+
+def test_sketches_hold_one_text(spark):
+    """Hashes are numbers of Python's, forty bytes each: those of a text are let go before the next one's are made."""
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+    from tableloom.llm import near_jaccard
+
+    texts = [" ".join(f"{k}w{i}" for i in range(1000)) for k in range(500)]
+    stub, levels = MagicMock(), MagicMock(value=np.zeros(near_jaccard.CELLS, np.uint8))
+    stub.sparkSession.conf.get.return_value = "1000"
+    near_jaccard.sketches(stub, levels)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array(texts)], ["doc_id", "text_key", "text"])
+    tracemalloc.start()
+    out = list(task(stub)(iter([batch])))[0].to_pylist()
+    grown = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = near_jaccard.shingle_set(texts[7])
+    assert out[7]["node"] == near_jaccard.set_key(held) and out[7]["n"] == len(held) == 996
+    assert grown < 8_000_000  # 498 000 hashes as numbers of Python's are 20 MB
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
