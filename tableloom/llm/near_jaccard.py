@@ -11,9 +11,10 @@ similarity t if they share one of their first n - ceil(t n) + 1. The order puts
 table of counts of bounded size, so a passage that many documents share proposes nothing. Shingles that only
 texts of one component share are left out, before anything of them is kept.
 
-Equal sets collapse first. The texts of a shared shingle are compared with one of them, at each turn
-another; only those that are then still in different components are compared pair by pair, so a large group
-of near copies seldom makes all its pairs, and no pair that could join two components is left out.
+Equal sets collapse first. A shingle that few texts share is settled by its pairs that can be similar, at once. The
+texts of a fuller one are compared with one of them, at each turn another; only those that are then still in different
+components are compared pair by pair, so a large group of near copies seldom makes all its pairs, and no pair that could
+join two components is left out.
 
 Defined results: null and empty texts have the empty set and are equal; a text of fewer words is one
 shingle; null doc_id is kept only of a component that has no other; repeated rows count once; other
@@ -41,6 +42,8 @@ CELLS, BLOCKS = 1 << 20, 64
 FEW_NODES = 1_000_000
 #: Turns of comparing buckets with a head, at most, before all their pairs.
 TURNS = 3
+#: Shingles of at most so many texts are settled first, by all their pairs that can be similar.
+FULL = 32
 
 
 def text_key():
@@ -243,6 +246,17 @@ def all_pairs(placed: DataFrame, mixed: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def few_pairs(placed: DataFrame) -> DataFrame:
+    """a, b: the pairs of buckets of at most FULL texts between components that can be similar.
+
+    Most shingles that two prefixes share by chance stand too far in, or in sets of too different sizes, so these pairs
+    are fewer than the rows, and never more than FULL / 2 times as many.
+    """
+    side = lambda x: placed.where(F.col("rows") <= FULL).select("key", F.struct("node", "n", "at", "part").alias(x))
+    fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & both_fit("x.", "y.")
+    return side("x").join(side("y"), "key").where(fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """The pairs of ``asked`` (a, b) whose shingle sets are similar."""
     ends = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -269,10 +283,11 @@ def fingerprint_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(docs: DataFrame, marked: DataFrame, shared) -> DataFrame:
     """node, component, first (doc_id and text_key of the node) for every node of ``marked``.
 
-    SimHash links make the first components. Then turns of star pairs join what links to a bucket's head of the
-    turn; texts that are in one component make no more pairs. Once the pairs between components are few beside the
-    texts, a turn joins nothing, or the turns are over, all of them that can be similar are verified, so no link
-    that joins two components is left out.
+    SimHash links make the first components. Shingles of at most FULL texts are settled at once: of their pairs those
+    that can be similar are verified, so what is shared by chance is never carried on. Fuller ones get turns of star
+    pairs, which join what links to a bucket's head of the turn; texts that are in one component make no more pairs. Once
+    the pairs between components are few beside the texts, a turn joins nothing, or the turns are over, all of them that
+    can be similar are verified, so no link that joins two components is left out.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first")
     same = [F.first("n").alias("n"), F.first("usual").alias("usual"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")]
@@ -282,18 +297,37 @@ def components(docs: DataFrame, marked: DataFrame, shared) -> DataFrame:
     parts = materialize(connected_components(links).select("node", F.col("component").alias("part")), "fingerprint-parts")
     few = parts.count() <= FEW_NODES
     whole = nodes.join(F.broadcast(parts) if few else parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    held = prefixes(whole, True).groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    held = materialize(held.select("key"), "shared-keys")
+    held = prefixes(whole, True).groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows"))
+    held = materialize(held.where("low <> high").select("key", "rows"), "shared-keys")
     discard(links)
     # unpacked twice, not kept: most shingles of a prefix are in one text only
     spread = materialize(prefixes(nodes, False).join(held, "key"), "shared-prefixes")
     discard(held)
     whole = materialize(whole.drop("prefix", "fp"), "node-parts")
     discard(nodes, parts)
-    nodes, part_of = whole, whole.select("node", "part")
+    nodes = whole
     placed = materialize(spread.join(nodes.select("node", "n", "usual", "part"), "node"), "shared-shingles")
     discard(spread)
-    last = False
+    one, two = (nodes.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+
+    def joined_by(asked, found):
+        """The links between parts with those that ``asked`` adds, what they join (part, component), whether there were any."""
+        links = confirmed(docs, nodes, asked)
+        more = links.join(one, "a").join(two, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        found = materialize(more if found is None else found.unionByName(more), "part-links")
+        joined = materialize(connected_components(found).select(F.col("node").alias("part"), "component"), "joined-parts")
+        none = links.isEmpty()
+        discard(asked, links)
+        return found, joined, none
+
+    def now_in(rows, joined):
+        """``rows`` with the part that their part is joined to."""
+        return rows.join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+
+    found, joined, _ = joined_by(materialize(few_pairs(placed), "asked-pairs"), None)
+    full = materialize(placed.where(F.col("rows") > FULL).drop("rows"), "full-shingles")
+    discard(placed)
+    placed, last = materialize(now_in(full, joined), "full-parts"), False
     for turn in range(TURNS + 1):
         mixed = materialize(crossing(placed), "mixed")
         rows, pairs = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
@@ -301,23 +335,14 @@ def components(docs: DataFrame, marked: DataFrame, shared) -> DataFrame:
             break
         last = last or turn == TURNS or pairs <= rows
         asked = materialize(all_pairs(placed, mixed) if last else star_pairs(placed, mixed, turn), "asked-pairs")
-        links = confirmed(docs, nodes, asked)
-        one = part_of.select(F.col("node").alias("a"), F.col("part").alias("part_a"))
-        two = part_of.select(F.col("node").alias("b"), F.col("part").alias("part_b"))
-        joined = connected_components(links.join(one, "a").join(two, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
-        joined = materialize(joined.select(F.col("node").alias("part"), "component"), "joined-parts")
-        part_of = part_of.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part"))
-        part_of = materialize(part_of, "node-parts")
-        discard(asked, links)
+        found, joined, none = joined_by(asked, found)
         if last:
             break
-        last, before = joined.isEmpty(), placed
+        last, before = none, placed
         # what only texts of one component share makes no more pairs
-        placed = placed.join(mixed.select("key"), "key", "left_semi").join(joined, "part", "left")
-        placed = placed.select("key", "node", "n", "usual", "at", F.coalesce("component", "part").alias("part"))
-        placed = materialize(placed, "shared-shingles")
+        placed = materialize(now_in(full.join(mixed.select("key"), "key", "left_semi"), joined), "full-parts")
         discard(before, mixed)
-    return nodes.select("node", "first").join(part_of.select("node", F.col("part").alias("component")), "node")
+    return now_in(nodes.select("node", "first", "part"), joined).withColumnRenamed("part", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

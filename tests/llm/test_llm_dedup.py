@@ -422,6 +422,34 @@ def test_near_copies_around_one_text_and_a_passage_of_all(spark, monkeypatch):
     assert near_jaccard.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("full", [32, 5])
+def test_passages_of_few_texts_are_not_carried_through_turns(spark, monkeypatch, full):
+    """Pairs of texts that share a passage, and groups of near copies: of buckets of a few texts nothing reaches the turns."""
+    from tableloom.llm import near_jaccard
+
+    rng = np.random.default_rng(61)
+    texts = [f"{sentence(8000 + k, 100)} {sentence(8500 + k // 2, 9)} {sentence(8600 + k, 60)}" for k in range(80)]
+    for k in range(3):
+        base = sentence(8800 + k, 150).split()
+        for _ in range(20):
+            copy = list(base)
+            for at in rng.choice(150, rng.integers(1, 12), replace=False):
+                copy[at] = f"e{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = union_find(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])])
+    carried, crossing = [], near_jaccard.crossing
+    monkeypatch.setattr(near_jaccard, "FULL", full, raising=False)
+    monkeypatch.setattr(near_jaccard, "crossing", lambda placed: carried.extend(placed.select("key", "node").collect()) or crossing(placed))
+    kept = {r.doc_id for r in near_jaccard.drop_near_duplicates(docs).collect()}
+    assert kept == {k for k in range(len(texts)) if want[k] == k}
+    sizes = {r.key: set() for r in carried}
+    for r in carried:
+        sizes[r.key].add(r.node)
+    assert all(len(nodes) > full for nodes in sizes.values()) and bool(sizes) == (full == 5)
+
+
 def test_a_large_group_of_near_copies_keeps_its_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PER_LIST", 20)  # as many lists in the group as a large table has
     rng = np.random.default_rng(12)
